@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility
+from . import bpe, cotraining, fertility, langid, mixing, sharding, toolcalls
 from .workspace import keep
 
 #: Folder of the public vocabulary files; the installed package's own by default.
@@ -24,6 +24,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every asking turn as a call with its reply linked, its level, validity and canonical JSON."""
+    calls, results = toolcalls.calls_of_turns(table(spark, sf_dir, "conversations"))
+    linked = toolcalls.link_calls(calls, results, toolcalls.REPLY_SCHEMAS)
+    return linked.select("conv_id", "turn", "call_id", "linked", F.col("level").cast("int").alias("level"), "valid", "json")
+
+
+OP1_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, role, text, coalesce(role IN ('assistant', 'tool'), false) AS answer FROM conversations
+), calls AS (
+  SELECT conv_id, turn, role, text, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id FROM turns WHERE NOT answer
+), results AS (
+  SELECT conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS call_id, arg_min(text, turn) AS content, count(*) AS n
+  FROM turns WHERE answer GROUP BY 1
+), deps AS (
+  SELECT DISTINCT c.call_id, d.call_id AS dep FROM calls c JOIN calls d ON d.conv_id = c.conv_id AND d.turn IN (c.turn - 1, c.turn - 2)
+), walk AS (
+  SELECT DISTINCT call_id, 0 AS level FROM calls
+  UNION
+  SELECT deps.call_id, walk.level + 1 FROM walk JOIN deps ON deps.dep = walk.call_id
+), levels AS (SELECT call_id, max(level) AS level FROM walk GROUP BY 1)
+SELECT c.conv_id, c.turn, c.call_id, r.n IS NOT NULL AS linked, l.level::INT AS level,
+  c.text IS NOT NULL AND length(c.text) > 0 AND coalesce(c.role IN ('user', 'system'), false) AND c.turn >= 0 AS valid,
+  '{"arguments":{"prompt":' || to_json(c.text)::VARCHAR || ',"role":' || to_json(c.role)::VARCHAR || ',"turn":' || c.turn::VARCHAR
+  || '},"depends_on":["' || least(c.conv_id::VARCHAR || ':' || (c.turn - 1)::VARCHAR, c.conv_id::VARCHAR || ':' || (c.turn - 2)::VARCHAR)
+  || '","' || greatest(c.conv_id::VARCHAR || ':' || (c.turn - 1)::VARCHAR, c.conv_id::VARCHAR || ':' || (c.turn - 2)::VARCHAR)
+  || '"],"id":"' || c.call_id || '","name":"reply","result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
+FROM calls c LEFT JOIN results r USING (call_id) JOIN levels l USING (call_id)
+"""
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document at rates that even out the sources, with their global random position."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rates = mixing.source_rates(docs)
+    copies = mixing.replicate(docs.select("doc_id", "source", F.lit(None).cast("string").alias("text")), rates)
+    rows = copies.select("_row.doc_id", "_row.source", F.col("_copy").alias("copy_no"), "_order")
+    placed = mixing.global_positions(rows, ["doc_id", "copy_no"])
+    return placed.select("doc_id", "source", "copy_no", F.col("position").cast("long").alias("position"))
+
+
+OP4_SQL = """
+WITH RECURSIVE sizes AS (
+  SELECT coalesce('=' || source, 'null') AS s, sum(greatest(strlen(coalesce(text, '')), 1))::BIGINT AS size FROM documents GROUP BY 1
+), weights AS (SELECT s, size, pow(size, 0.5) AS weight FROM sizes
+), rates AS (
+  SELECT s, (SELECT sum(size) FROM weights)::BIGINT * (weight / (SELECT sum(weight) FROM weights)) / size AS rate FROM weights
+), walk AS (
+  SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS f FROM rates
+  UNION ALL
+  SELECT s, rate, k + 1, p * rate / (k + 1), f + p * rate / (k + 1) FROM walk WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
+), draws AS (
+  SELECT doc_id, source, coalesce('=' || source, 'null') AS s,
+    ('0x' || sha256(doc_id::VARCHAR || '|copies0|1')[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents
+), counted AS (
+  SELECT d.doc_id, d.source, count(*) AS n FROM draws d JOIN walk w ON w.s = d.s AND w.f <= d.u GROUP BY 1, 2
+), copies AS (
+  SELECT doc_id, source, unnest(range(n::BIGINT))::INT AS copy_no FROM counted
+)
+SELECT doc_id, source, copy_no, row_number() OVER (
+  ORDER BY ('0x' || sha256(doc_id::VARCHAR || '|order0|' || copy_no::VARCHAR)[1:13])::BIGINT, doc_id, copy_no) - 1 AS position
+FROM copies
+"""
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the mixture of largest proportion."""
+    found = langid.identify_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by the rank queue, and what they decode to, as digests."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -40,8 +112,25 @@ def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal counts, by a ring with bounded loads."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by two co-trained views."""
+    docs = table(spark, sf_dir, "documents")
+    scored = cotraining.score_documents(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", *[F.round(c, 6).alias(c) for c in ("score_text", "score_meta", "score")], "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toolcalls": op1_toolcalls,
+    "op4_mixing": op4_mixing,
+    "op5_language": op5_language,
     "op7_bpe": op7_bpe,
     "op8_fertility": op8_fertility,
+    "op9_sharding": op9_sharding,
+    "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_toolcalls": OP1_SQL, "op4_mixing": OP4_SQL}
