@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotraining, fertility, langid, mixing, sharding, toolcalls
+from . import bpe, cotraining, fertility, langid, mixing, sharding, substring, toolcalls
 from .workspace import keep
 
 #: Folder of the public vocabulary files; the installed package's own by default.
@@ -96,6 +96,34 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word sequences that occur earlier, as digests."""
+    found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 20, with_text=False)
+    return found.select("_row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = """
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS t FROM starts
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+), cut AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM repeated
+), cuts AS (SELECT doc_id, list(p) AS ps FROM cut GROUP BY 1
+), kept AS (
+  SELECT w.doc_id, len(w.w) AS n_words, coalesce(len(c.ps), 0) AS n_removed,
+    CASE WHEN c.ps IS NULL THEN array_to_string(w.w, ' ')
+      ELSE array_to_string(list_transform(list_filter(list_zip(w.w, range(1, len(w.w) + 1)), lambda x: NOT list_contains(c.ps, x[2])), lambda x: x[1]), ' ') END AS t
+  FROM words w LEFT JOIN cuts c USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(t) AS kept_sha256 FROM kept
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by the rank queue, and what they decode to, as digests."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -128,9 +156,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toolcalls": op1_toolcalls,
     "op4_mixing": op4_mixing,
     "op5_language": op5_language,
+    "op6_substring": op6_substring,
     "op7_bpe": op7_bpe,
     "op8_fertility": op8_fertility,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op1_toolcalls": OP1_SQL, "op4_mixing": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_toolcalls": OP1_SQL, "op4_mixing": OP4_SQL, "op6_substring": OP6_SQL}
