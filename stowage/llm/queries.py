@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotraining, fertility, langid, mixing, sharding, substring, toolcalls
+from . import bpe, cotraining, fertility, langid, minhash, mixing, sharding, substring, toolcalls
 from .workspace import keep
 
 #: Folder of the public vocabulary files; the installed package's own by default.
@@ -56,6 +56,36 @@ FROM calls c LEFT JOIN results r USING (call_id) JOIN levels l USING (call_id)
 """
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, on sets of 2-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+OP2_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM words
+), classes AS (
+  SELECT row_number() OVER (ORDER BY min(doc_id)) AS class, min(doc_id) AS rep, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), links AS (
+  SELECT a.rep AS a, b.rep AS b FROM classes a JOIN classes b ON b.n <= a.n AND 100 * b.n >= 80 * a.n AND a.rep <> b.rep
+  WHERE 100 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n - len(list_intersect(a.s, b.s)))
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT rep AS node, rep AS seen FROM classes
+  UNION
+  SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.seen
+), roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY 1
+), labelled AS (
+  SELECT x.doc_id, len(x.s) AS n_shingles, coalesce(r.root, x.doc_id) AS component_id
+  FROM sets x LEFT JOIN classes c ON c.s = x.s LEFT JOIN roots r ON r.node = c.rep
+)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM labelled
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document at rates that even out the sources, with their global random position."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -154,6 +184,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toolcalls": op1_toolcalls,
+    "op2_minhash": op2_minhash,
     "op4_mixing": op4_mixing,
     "op5_language": op5_language,
     "op6_substring": op6_substring,
@@ -162,4 +193,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op1_toolcalls": OP1_SQL, "op4_mixing": OP4_SQL, "op6_substring": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_toolcalls": OP1_SQL, "op2_minhash": OP2_SQL, "op4_mixing": OP4_SQL, "op6_substring": OP6_SQL}
