@@ -1,4 +1,8 @@
-"""A training corpus from raw documents, in five stages."""
+"""A training corpus from raw documents, in five stages.
+
+Every stage takes all rows its predecessor kept. The first four return the
+columns of ``documents``; the last returns token ids.
+"""
 
 from __future__ import annotations
 
@@ -6,28 +10,56 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, fertility
+from stowage.llm import bpe, fertility, minhash, mixing, substring
 from stowage.llm.queries import table, tokenizer_file
+from stowage.llm.workspace import keep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the base rules and the fertility bands keep, unchanged."""
     return fertility.filter_documents(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group at a Jaccard similarity of 0.8 of 5-word shingles."""
+    return minhash.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 50 words or more that occur earlier."""
+    return substring.dedup_documents(docs, threshold=50)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to even out the sources, in a global random order."""
+    return mixing.mix_sources(docs, alpha=0.5, epochs=1.0)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, checked by decoding them."""
-    ids = bpe.encode_ids(F.coalesce("text", F.lit("")), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return docs.select("doc_id", "lang", "source", ids.alias("ids"))
+    """Token ids of every document, and whether they decode to its text."""
+    path, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    text = F.coalesce("text", F.lit(""))
+    encoded = docs.select("doc_id", "lang", "source", text.alias("text"), bpe.encode_ids(text, path, pattern).alias("ids"))
+    exact = bpe.decode_ids(F.col("ids"), path, pattern) == F.col("text").cast("binary")
+    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), exact.alias("round_trip"))
 
 
-STAGES = [("quality", quality), ("encode", encode)]
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mix", mix),
+    ("encode", encode),
+]
+#: SQL can't express the tokenisers of the first and the last stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents of ``sf_dir``."""
+    """The stages applied to the documents of ``sf_dir``, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs, _ = keep(docs, f"pipeline-{name}")
     return docs

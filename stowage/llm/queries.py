@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotraining, fertility, langid, minhash, mixing, sharding, substring, toolcalls
+from . import bpe, cotraining, fertility, langid, minhash, mixing, pq, sharding, substring, toolcalls
 from .workspace import keep
 
 #: Folder of the public vocabulary files; the installed package's own by default.
@@ -86,6 +86,28 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM labe
 """
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.9 or more."""
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+OP3_SQL = """
+WITH RECURSIVE lengths AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS len FROM embeddings
+), units AS (SELECT vec_id, list_transform(v, lambda x: x / len) AS u FROM lengths WHERE len > 0 AND isfinite(len)
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.9
+), reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  UNION
+  SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.seen
+), roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY 1
+), counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT r.node AS vec_id, coalesce(c.n, 0) AS n_links, r.root AS component_id, r.node = r.root AS kept
+FROM roots r LEFT JOIN counts c ON c.a = r.node
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document at rates that even out the sources, with their global random position."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -185,6 +207,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toolcalls": op1_toolcalls,
     "op2_minhash": op2_minhash,
+    "op3_embeddings": op3_embeddings,
     "op4_mixing": op4_mixing,
     "op5_language": op5_language,
     "op6_substring": op6_substring,
@@ -193,4 +216,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op1_toolcalls": OP1_SQL, "op2_minhash": OP2_SQL, "op4_mixing": OP4_SQL, "op6_substring": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_toolcalls": OP1_SQL, "op2_minhash": OP2_SQL, "op3_embeddings": OP3_SQL, "op4_mixing": OP4_SQL, "op6_substring": OP6_SQL}
