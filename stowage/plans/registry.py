@@ -1,10 +1,460 @@
-"""Every query over the relational tables, with the SQL it is checked against."""
+"""Every query over the relational tables, with the SQL it is checked against.
+
+The tables stand in for the catalogs: documents for files and blobs, orders and
+lineitem for versions, shards and locations, customers for clients, suppliers
+for peers, events for challenge results. Times are relative to the latest
+event, never to the clock.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import paths
+from ..operators import catalog, chunking, erasure, health, packing, placement, state
+from ..sources.tables import read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+CHUNK_CHARS = 4096
+SHARD_BYTES, SHARD_PIECES = 200_000, 4
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name."""
+
+    def register(run: Query) -> Query:
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return register
+
+
+def blobs_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per distinct text: hash, ord (first doc_id), size in bytes."""
+    docs = read(spark, folder, "documents").select("doc_id", paths.content_hash(F.col("text").cast("binary")).alias("hash"), F.octet_length("text").cast("long").alias("size"))
+    return docs.groupBy("hash").agg(F.min("doc_id").alias("ord"), F.max("size").alias("size"))
+
+
+PACKED = f"""
+  blobs AS (SELECT sha256(text) AS hash, min(doc_id) AS ord, max(strlen(text))::BIGINT AS size FROM documents GROUP BY 1),
+  placed AS (SELECT hash, size, coalesce(sum(size) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM blobs),
+  cuts AS (SELECT hash, start, start + size AS stop, unnest(range(start // {SHARD_BYTES // SHARD_PIECES}, (start + size - 1) // {SHARD_BYTES // SHARD_PIECES} + 1)) AS slot FROM placed WHERE size > 0),
+  packed AS (SELECT hash, (slot // {SHARD_PIECES})::BIGINT AS shard_id, (slot % {SHARD_PIECES})::INT AS piece_index,
+    (greatest(start, slot * {SHARD_BYTES // SHARD_PIECES}) - slot * {SHARD_BYTES // SHARD_PIECES})::BIGINT AS "offset",
+    (least(stop, (slot + 1) * {SHARD_BYTES // SHARD_PIECES}) - greatest(start, slot * {SHARD_BYTES // SHARD_PIECES}))::BIGINT AS length,
+    (slot - start // {SHARD_BYTES // SHARD_PIECES})::INT AS sequence FROM cuts)
+"""
+
+
+@query(f"WITH {PACKED} SELECT * FROM packed")
+def shard_packing(spark, folder):
+    return packing.pack(blobs_of_documents(spark, folder), "ord", SHARD_BYTES // SHARD_PIECES, SHARD_PIECES)
+
+
+@query(f"""WITH {PACKED} SELECT shard_id, sum(length)::BIGINT AS bytes, count(DISTINCT hash) AS blobs,
+  sum(length) = {SHARD_BYTES} AND shard_id < (SELECT max(shard_id) FROM packed) AS sealed FROM packed GROUP BY shard_id""")
+def shard_summary(spark, folder):
+    return packing.summarise(shard_packing(spark, folder), SHARD_BYTES)
+
+
+@query("""SELECT user_id, count(*) AS made, count(*) FILTER (event_type IN ('click', 'view', 'error')) AS ok,
+  count(*) FILTER (event_type = 'click') AS passed, count(*) FILTER (event_type IN ('click', 'error')) AS attempts,
+  round(100.0 * count(*) FILTER (event_type IN ('click', 'view', 'error')) / count(*), 6)::DOUBLE AS uptime,
+  round(coalesce(100.0 * count(*) FILTER (event_type = 'click') / nullif(count(*) FILTER (event_type IN ('click', 'error')), 0), 0), 6)::DOUBLE AS integrity
+FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY user_id""")
+def reputation_7d(spark, folder):
+    events = read(spark, folder, "events").select("user_id", "ts", F.when(F.col("event_type") == "click", "pass").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "view", "ok").alias("result"))
+    as_of = events.agg(F.max("ts")).scalar()
+    out = health.reputation(events, "user_id", "result", "ts", as_of)
+    return out.select("user_id", "made", "ok", "passed", "attempts", F.round("uptime", 6).alias("uptime"), F.round("integrity", 6).alias("integrity"))
+
+
+@query("""WITH daily AS (SELECT user_id, ts::DATE AS day, count(*) AS n, count(*) FILTER (event_type = 'click') AS passed FROM events GROUP BY 1, 2)
+SELECT user_id, day, (sum(n) OVER w)::BIGINT AS made, (sum(passed) OVER w)::BIGINT AS passed FROM daily
+WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)""")
+def reputation_rolling(spark, folder):
+    daily = read(spark, folder, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("p"))
+    week = Window.partitionBy("user_id").orderBy(F.unix_date("day")).rangeBetween(-6, 0)
+    return daily.select("user_id", "day", F.sum("n").over(week).alias("made"), F.sum("p").over(week).alias("passed"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // {CHUNK_CHARS} + 1)) AS s FROM documents WHERE length(text) > 0)
+SELECT doc_id, s::INT AS sequence, sha256(text[s * {CHUNK_CHARS} + 1 : (s + 1) * {CHUNK_CHARS}]) AS hash, length(text[s * {CHUNK_CHARS} + 1 : (s + 1) * {CHUNK_CHARS}])::BIGINT AS length FROM c""")
+def chunk_manifest(spark, folder):
+    return chunking.manifest(chunking.chunk(read(spark, folder, "documents"), ["doc_id"], "text", CHUNK_CHARS), ["doc_id"])
+
+
+@query("SELECT sha256(text) AS hash, min(doc_id) AS first_doc_id, count(*) AS refs, max(strlen(text))::BIGINT AS size FROM documents GROUP BY 1")
+def dedup_blobs(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("size"))
+    return chunking.dedup(docs, "hash", "doc_id", "size")
+
+
+@query("""WITH b AS (SELECT source, sha256(text) AS h, count(*) AS n, max(strlen(text)) AS s FROM documents GROUP BY 1, 2)
+SELECT source, sum(n * s)::BIGINT AS total_bytes, sum(s)::BIGINT AS unique_bytes, round(sum(s)::DOUBLE / nullif(sum(n * s)::DOUBLE, 0), 6) AS ratio FROM b GROUP BY source""")
+def dedup_savings(spark, folder):
+    docs = read(spark, folder, "documents").select("source", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("size"))
+    return chunking.savings(docs, "source", "hash", "size")
+
+
+@query("""WITH m AS (SELECT max(doc_id) // 2 AS h FROM documents), s AS (SELECT sha256(text) AS hash FROM documents WHERE doc_id < (SELECT h FROM m))
+SELECT doc_id AS position, sha256(text) AS hash FROM documents WHERE doc_id >= (SELECT h FROM m) AND sha256(text) NOT IN (SELECT hash FROM s)""")
+def needed_items(spark, folder):
+    docs = read(spark, folder, "documents").select(F.col("doc_id").alias("position"), F.sha2("text", 256).alias("hash"))
+    half = F.floor(docs.agg(F.max("position")).scalar() / 2)
+    return chunking.needed(docs.where(F.col("position") >= half), docs.where(F.col("position") < half))
+
+
+@query("""WITH o AS (SELECT source AS batch, doc_id AS position, sha256(text) AS hash FROM documents)
+SELECT batch, position, hash, position > min(position) OVER (PARTITION BY batch, hash) AS duplicate FROM o""")
+def batch_duplicates(spark, folder):
+    offer = read(spark, folder, "documents").select(F.col("source").alias("batch"), F.col("doc_id").alias("position"), F.sha2("text", 256).alias("hash"))
+    return chunking.batch_duplicates(offer).select("batch", "position", "hash", "duplicate")
+
+
+@query("""SELECT doc_id, sha256(text) = sha256(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS valid FROM documents""")
+def hash_validation(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary").alias("data"), F.sha2("text", 256).alias("claimed"))
+    good, bad = chunking.valid(docs, F.col("data"), F.col("claimed"))
+    return good.select("doc_id", F.lit(True).alias("valid")).unionByName(bad.select("doc_id", F.lit(False).alias("valid")))
+
+
+@query("SELECT doc_id, sha256(text) AS hash, true AS same FROM documents WHERE length(text) > 0")
+def restore_reassemble(spark, folder):
+    docs = read(spark, folder, "documents")
+    parts = chunking.chunk(docs, ["doc_id"], "text", CHUNK_CHARS)
+    whole = chunking.reassemble(parts, ["doc_id"]).select("doc_id", F.sha2("content", 256).alias("hash"))
+    return whole.join(docs.select("doc_id", F.sha2("text", 256).alias("original")), "doc_id").select("doc_id", "hash", (F.col("hash") == F.col("original")).alias("same"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
+def orphans(spark, folder):
+    orders = read(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("hash"), F.lit(0).alias("owner"), F.lit(False).alias("special"), "o_orderkey", "o_custkey")
+    used = read(spark, folder, "lineitem").select(F.col("l_orderkey").cast("string").alias("hash"), F.lit(0).alias("owner"))
+    return catalog.orphans(orders, used).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
+def not_also_peer(spark, folder):
+    clients = read(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("public_key"), F.col("c_custkey").alias("id"), F.lit(None).cast("timestamp_ntz").alias("last_seen"), "c_custkey", "c_name")
+    peers = read(spark, folder, "events").select(F.col("user_id").cast("string").alias("public_key"))
+    return health.list_clients(clients, peers).select("c_custkey", "c_name")
+
+
+LAST_ORDER = "SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders{}) WHERE n = 1"
+AS_OF = "1995-06-30"
+
+
+@query(LAST_ORDER.format(""))
+def latest_version(spark, folder):
+    orders = read(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return catalog.version_as_of(orders, "o_custkey", ["o_orderdate", "o_orderkey"])
+
+
+@query(LAST_ORDER.format(f" WHERE o_orderdate <= TIMESTAMP '{AS_OF}'"))
+def version_asof(spark, folder):
+    orders = read(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return catalog.version_as_of(orders, "o_custkey", ["o_orderdate", "o_orderkey"], F.col("o_orderdate") <= F.lit(AS_OF).cast("timestamp_ntz"))
+
+
+@query("""SELECT c_name, o_orderkey, o_orderdate, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INT AS nth
+FROM orders JOIN customer ON c_custkey = o_custkey""")
+def history(spark, folder):
+    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    joined = read(spark, folder, "orders").join(read(spark, folder, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return joined.select("c_name", "o_orderkey", "o_orderdate", "o_orderstatus", F.row_number().over(newest).alias("nth"))
+
+
+@query("""SELECT n_name AS dir_path, c_name AS filename, max(o_orderdate) AS mtime FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+WHERE c_acctbal >= 0 GROUP BY c_custkey, c_name, n_name""")
+def directory_state(spark, folder):
+    directories = read(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("full_path"))
+    files = read(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("dir_id"), F.col("c_name").alias("filename"), (F.col("c_acctbal") < 0).alias("deleted"))
+    versions = read(spark, folder, "orders").select(F.col("o_custkey").alias("file_id"), F.col("o_orderdate").alias("mtime"), F.struct("o_orderdate", "o_orderkey").alias("id"))
+    return catalog.directory_state(directories, files, versions)
+
+
+@query("""WITH a AS (SELECT o_custkey, max(o_orderdate) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' AND o_custkey % 10 <> 1 GROUP BY 1),
+b AS (SELECT o_custkey, max(o_orderdate) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_custkey % 10 <> 2 GROUP BY 1)
+SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.m IS NULL THEN 'new' WHEN b.m IS NULL THEN 'deleted' WHEN b.m > a.m THEN 'modified' ELSE 'same' END AS change
+FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""")
+def snapshot_diff(spark, folder):
+    orders = read(spark, folder, "orders")
+
+    def snapshot(end: str, absent: int) -> DataFrame:
+        rows = orders.where((F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz")) & (F.col("o_custkey") % 10 != absent))
+        return rows.groupBy("o_custkey").agg(F.max("o_orderdate").alias("mtime"))
+
+    return catalog.changes(snapshot("1995-01-01", 1), snapshot("1996-01-01", 2), ["o_custkey"])
+
+
+@query("SELECT page_id, url FROM pages WHERE ends_with(lower(url), lower('#TOP'))")
+def path_suffix(spark, folder):
+    return read(spark, folder, "pages").where(paths.ends_with(F.col("url"), F.lit("#TOP"))).select("page_id", "url")
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), lower('EXAMPLE.NET/en'))")
+def path_contains(spark, folder):
+    return read(spark, folder, "pages").where(paths.contains(F.col("url"), F.lit("EXAMPLE.NET/en"))).select("page_id", "url")
+
+
+@query("""SELECT page_id, regexp_replace(regexp_replace(url, '^https?:/', ''), '/[^/]*$', '') AS dir_path, regexp_extract(url, '[^/]*$') AS filename,
+  '/restore/' || regexp_replace(regexp_replace(url, '^https?:/', ''), '^/+', '') AS target FROM pages""")
+def path_parts(spark, folder):
+    path = F.regexp_replace("url", "^https?:/", "")
+    parts = catalog.split_path(read(spark, folder, "pages").select("page_id", path.alias("path")), "path")
+    return parts.select("page_id", "dir_path", "filename", paths.restore_path(F.col("path"), F.lit("/nowhere"), F.lit("/restore")).alias("target"))
+
+
+@query("""SELECT page_id, url FROM pages WHERE NOT (regexp_replace(url, '^https?:/', '') = '/m.ththth.example.net/en' OR starts_with(regexp_replace(url, '^https?:/', ''), '/m.ththth.example.net/en/')
+  OR starts_with(regexp_replace(url, '^https?:/', ''), '/ththre.example.com/'))""")
+def crawl_excludes(spark, folder):
+    from ..sources.files import exclude
+
+    pages = read(spark, folder, "pages").select("page_id", "url", F.regexp_replace("url", "^https?:/", "").alias("path"))
+    excludes = spark.createDataFrame([("/m.ththth.example.net/en",), ("/ththre.example.com",)], "prefix string")
+    return exclude(pages, excludes).select("page_id", "url")
+
+
+@query("""SELECT l_orderkey AS shard_id, sum(l_quantity) AS total, sum(CASE WHEN o_orderstatus = 'F' AND l_shipdate < TIMESTAMP '1998-01-01' THEN l_quantity ELSE 0 END) AS wasted,
+  round(sum(CASE WHEN o_orderstatus = 'F' AND l_shipdate < TIMESTAMP '1998-01-01' THEN l_quantity ELSE 0 END) / nullif(sum(l_quantity), 0), 6) AS ratio
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1
+HAVING sum(CASE WHEN o_orderstatus = 'F' AND l_shipdate < TIMESTAMP '1998-01-01' THEN l_quantity ELSE 0 END) / nullif(sum(l_quantity), 0) >= 0.5""")
+def gc_waste(spark, folder):
+    orders = read(spark, folder, "orders").select(F.col("o_orderkey").alias("blob_hash"), "o_orderstatus")
+    items = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("blob_hash"), "l_quantity", "l_shipdate").join(orders, "blob_hash")
+    expired = (F.col("o_orderstatus") == "F") & (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    sums = items.groupBy(F.col("blob_hash").alias("shard_id")).agg(F.sum("l_quantity").alias("total"), F.sum(F.when(expired, F.col("l_quantity")).otherwise(0.0)).alias("wasted"))
+    rated = sums.withColumn("ratio", F.try_divide("wasted", "total")).where("ratio >= 0.5")
+    return rated.withColumn("ratio", F.round("ratio", 6)).orderBy(F.desc("ratio"), "shard_id")
+
+
+GC_STATE = """CASE WHEN o_orderstatus = 'O' THEN 'live' WHEN o_orderpriority LIKE '5%' THEN 'limbo'
+  WHEN o_orderdate < TIMESTAMP '1998-01-01' - (CASE WHEN o_orderpriority LIKE '1%' THEN INTERVAL 1440 DAY ELSE INTERVAL 720 DAY END) THEN 'wasted' ELSE 'live' END"""
+
+
+@query(f"SELECT o_orderkey, {GC_STATE} AS state FROM orders")
+def gc_live(spark, folder):
+    orders = read(spark, folder, "orders")
+    refs = F.when(F.col("o_orderstatus") == "O", 1).otherwise(0)
+    deleted = F.when(~F.col("o_orderpriority").startswith("5"), F.col("o_orderdate"))
+    as_of = F.lit("1998-01-01").cast("timestamp_ntz")
+    return orders.select("o_orderkey", health.liveness(refs, deleted, F.col("o_orderpriority").startswith("1"), as_of, 720 * 1440, 1440 * 1440).alias("state"))
+
+
+@query("""WITH s AS (SELECT o.o_orderkey, o.o_orderpriority LIKE '1%' AS mirrored, count(DISTINCT l_linenumber) AS pieces, count(DISTINCT l_suppkey) AS peers
+  FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linestatus = 'F' GROUP BY 1, 2)
+SELECT o_orderkey AS id, mirrored, pieces, peers, CASE WHEN (mirrored AND peers >= 2) OR (NOT mirrored AND pieces >= 4) THEN 'full' WHEN peers > 0 THEN 'partial' ELSE 'none' END AS replication FROM s""")
+def replication_status(spark, folder):
+    return health.replication(*shards_of_orders(spark, folder), 3, 1)
+
+
+def shards_of_orders(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as sealed shards, their lines as pieces on suppliers."""
+    shards = read(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").startswith("1").alias("mirrored"), F.lit("sealed").alias("status"))
+    lines = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("shard_id"), F.col("l_linenumber").alias("piece_index"), F.col("l_suppkey").alias("peer_id"), F.when(F.col("l_linestatus") == "F", "uploaded").otherwise("pending").alias("status"))
+    return shards, lines
+
+
+@query("""WITH s AS (SELECT o.o_orderkey, o.o_orderpriority LIKE '1%' AS mirrored, count(DISTINCT l_linenumber) AS pieces, count(DISTINCT l_suppkey) AS peers
+  FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linestatus = 'F' GROUP BY 1, 2)
+SELECT count(*) AS shards, count(*) FILTER (full_) AS "full", count(*) FILTER (NOT full_ AND peers > 0) AS partial,
+  (SELECT count(DISTINCT text) FROM documents) AS blobs, (SELECT sum(size)::BIGINT FROM (SELECT max(strlen(text)) AS size FROM documents GROUP BY text)) AS own_bytes,
+  (SELECT coalesce(sum(p_size), 0)::BIGINT FROM part) AS hosted_bytes
+FROM (SELECT *, (mirrored AND peers >= 2) OR (NOT mirrored AND pieces >= 4) AS full_ FROM s)""")
+def status_report(spark, folder):
+    hosted = read(spark, folder, "part").select(F.col("p_size").cast("long").alias("size"))
+    return health.status_report(*shards_of_orders(spark, folder), blobs_of_documents(spark, folder), hosted, 3, 1)
+
+
+@query("""WITH dead AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000 AND s_nationkey <> 3),
+s AS (SELECT o.o_orderkey AS id, o.o_orderpriority LIKE '1%' AS mirrored, count(DISTINCT l_linenumber) AS pieces, count(DISTINCT l_suppkey) AS peers
+  FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linestatus = 'F' AND l.l_suppkey NOT IN (SELECT s_suppkey FROM dead) GROUP BY 1, 2)
+SELECT * FROM s WHERE CASE WHEN mirrored THEN peers < 2 ELSE pieces < 4 END""")
+def repair_candidates(spark, folder):
+    shards, lines = shards_of_orders(spark, folder)
+    as_of = F.lit("2024-01-31").cast("timestamp_ntz")
+    seen = as_of - F.make_dt_interval(F.when(F.col("s_acctbal") < 2000, 10).otherwise(1))
+    peers = read(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), seen.alias("last_seen"), F.when(F.col("s_nationkey") == 3, "blocked").otherwise("trusted").alias("status"))
+    return health.repair_candidates(shards, health.mark_lost(lines, peers, as_of, 7), 3, 1)
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS shard_id, l_linenumber AS piece_index, l_suppkey AS peer_id FROM lineitem WHERE l_linestatus = 'F'),
+c AS (SELECT user_id, event_id % 7 AS k, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT p.*, coalesce(c.n, 0) AS remaining FROM p LEFT JOIN c ON c.user_id = p.shard_id AND c.k = p.piece_index WHERE coalesce(c.n, 0) < 3""")
+def challenge_refill(spark, folder):
+    _, lines = shards_of_orders(spark, folder)
+    # challenges are left for (user, event number modulo 7), whoever the peer is
+    left = read(spark, folder, "events").select(F.col("user_id").alias("shard_id"), (F.col("event_id") % 7).cast("int").alias("piece_index"))
+    per_peer = lines.where("status = 'uploaded'").select("shard_id", "piece_index", "peer_id").distinct().join(left, ["shard_id", "piece_index"])
+    return health.refill(lines, per_peer)
+
+
+@query("""SELECT event_type, event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY sha256(event_id::VARCHAR || '|42'), event_id) AS n FROM events) WHERE n = 1""")
+def challenge_pick(spark, folder):
+    return health.pick(read(spark, folder, "events").select("event_type", "event_id", "user_id"), ["event_id"], 42, ["event_type"])
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unavailable' WHEN doc_id % 3 = 0 AND substr(text, 11, 32) <> upper(substr(text, 11, 32)) THEN 'fail' ELSE 'pass' END AS result
+FROM documents WHERE 10 + 32 <= n_chars""")
+def challenge_judge(spark, folder):
+    docs = health.in_bounds(read(spark, folder, "documents").withColumn("offset", F.lit(10)), "offset", "n_chars")
+    expected = F.when(F.col("doc_id") % 3 == 0, F.upper(F.substring("text", 11, 32))).otherwise(F.substring("text", 11, 32))
+    return docs.select("doc_id", health.judge(expected, F.when(F.col("doc_id") % 5 != 0, F.col("text")), F.col("offset")).alias("result"))
+
+
+@query("""WITH used AS (SELECT o_custkey, sum(o_totalprice) AS used FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1),
+inc AS (SELECT o_custkey, sum(o_totalprice) AS inc FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1)
+SELECT c_custkey, round(coalesce(i.inc, 0), 2) AS incoming, c_mktsegment <> 'MACHINERY' AND (c_acctbal < 0 OR round(coalesce(u.used, 0), 2) + round(coalesce(i.inc, 0), 2) <= c_acctbal * 200) AS accepted
+FROM customer LEFT JOIN used u ON u.o_custkey = c_custkey LEFT JOIN inc i ON i.o_custkey = c_custkey""")
+def quota_check(spark, folder):
+    orders, end = read(spark, folder, "orders"), F.lit("1998-01-01").cast("timestamp_ntz")
+    used = orders.where(F.col("o_orderdate") < end).groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("used"))
+    incoming = orders.where(F.col("o_orderdate") >= end).groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("incoming"))
+    customers = read(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_custkey").cast("string").alias("public_key"), F.when(F.col("c_mktsegment") == "MACHINERY", "pending").otherwise("trusted").alias("status"),
+        F.when(F.col("c_acctbal") < 0, 0.0).otherwise(F.when(F.col("c_acctbal") == 0, -1.0).otherwise(F.col("c_acctbal") * 200)).alias("max_storage_size"),
+    )
+    clients = customers.join(used, "o_custkey", "left").withColumn("current_storage_size", F.coalesce("used", F.lit(0.0)))
+    offers = customers.join(incoming, "o_custkey", "left").select("public_key", F.coalesce("incoming", F.lit(0.0)).alias("incoming"))
+    return health.client_quota(offers, clients).select(F.col("public_key").cast("long").alias("c_custkey"), "incoming", "accepted")
+
+
+@query("""WITH mine AS (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), theirs AS (SELECT l_suppkey, sum(l_quantity)::BIGINT AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT s_suppkey AS peer_id, (s_nationkey * 100)::BIGINT AS incoming, (coalesce(m.n, 0) + 1) * 10 AS allowance,
+  CASE WHEN s_acctbal >= 5000 THEN coalesce(t.b, 0) + s_nationkey * 100 <= 5000 WHEN s_acctbal >= 0 THEN coalesce(t.b, 0) + s_nationkey * 100 <= (coalesce(m.n, 0) + 1) * 10 ELSE false END AS accepted
+FROM supplier LEFT JOIN mine m ON m.l_suppkey = s_suppkey LEFT JOIN theirs t ON t.l_suppkey = s_suppkey""")
+def reciprocity(spark, folder):
+    suppliers, lines = read(spark, folder, "supplier"), read(spark, folder, "lineitem")
+    peers = suppliers.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") >= 5000, "trusted").when(F.col("s_acctbal") >= 0, "untrusted").otherwise("blocked").alias("status"), F.lit(5000).cast("long").alias("max_storage_size"))
+    outbound = lines.select(F.col("l_suppkey").alias("peer_id"), F.when(F.col("l_linestatus") == "F", "uploaded").alias("status"))
+    hosted = lines.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("peer_id"), F.col("l_quantity").cast("long").alias("size"))
+    offers = suppliers.select(F.col("s_suppkey").alias("peer_id"), (F.col("s_nationkey") * 100).cast("long").alias("incoming"))
+    return health.peer_quota(offers, peers, outbound, hosted, 10)
+
+
+@query("SELECT (SELECT coalesce(sum(l_quantity), 0)::BIGINT FROM lineitem) AS hosted_bytes, (SELECT count(*) FROM orders) AS own_blobs, (SELECT coalesce(sum(l_quantity), 0)::BIGINT FROM lineitem) + (SELECT coalesce(sum(o_totalprice::BIGINT), 0)::BIGINT FROM orders WHERE o_totalprice = floor(o_totalprice)) AS total")
+def storage_totals(spark, folder):
+    hosted = read(spark, folder, "lineitem").agg(F.coalesce(F.sum(F.col("l_quantity").cast("long")), F.lit(0)).alias("n"))
+    orders = read(spark, folder, "orders")
+    own = orders.agg(F.coalesce(F.sum(F.when(F.col("o_totalprice") == F.floor("o_totalprice"), F.col("o_totalprice").cast("long"))), F.lit(0)).alias("n"))
+    total = hosted.unionByName(own).agg(F.sum("n").alias("total"))
+    return total.select(hosted.scalar().alias("hosted_bytes"), orders.agg(F.count("*")).scalar().alias("own_blobs"), "total")
+
+
+@query("""WITH used AS (SELECT l_suppkey, sum(l_quantity)::BIGINT AS used FROM lineitem GROUP BY 1), held AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey = 1 AND l_linestatus = 'O')
+SELECT s_suppkey FROM supplier LEFT JOIN used ON l_suppkey = s_suppkey WHERE s_suppkey NOT IN (SELECT l_suppkey FROM held) AND s_nationkey <> 3 AND
+ ((s_acctbal < 5000 AND s_nationkey % 2 = 0 AND coalesce(used, 0) + 100 <= 15000) OR (s_acctbal >= 5000 AND coalesce(used, 0) + 100 <= 15000))""")
+def eligible_peers(spark, folder):
+    lines = read(spark, folder, "lineitem")
+    used = lines.groupBy(F.col("l_suppkey").alias("id")).agg(F.sum(F.col("l_quantity").cast("long")).alias("outbound_storage_size"))
+    peers = read(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.lit(1).cast("long").alias("shard_id"), F.when(F.col("s_nationkey") == 3, "blocked").when(F.col("s_acctbal") < 5000, "untrusted").otherwise("trusted").alias("status"),
+        F.when(F.col("s_nationkey") % 2 == 0, "none").otherwise("testing").alias("adoption_status"), F.lit(15000).alias("max_storage_size"),
+    )
+    peers = peers.join(used, "id", "left").fillna(0, ["outbound_storage_size"])
+    outbound = lines.where("l_orderkey = 1 AND l_linestatus = 'O'").select(F.col("l_orderkey").alias("shard_id"), F.col("l_suppkey").alias("peer_id"), F.lit("pending").alias("status"))
+    fit = placement.eligible(F.lit(False), F.lit(100))
+    return placement.lacking(peers.where(fit), outbound).select(F.col("id").alias("s_suppkey"))
+
+
+@query("""WITH held AS (SELECT c_nationkey AS shard_id, c_custkey % 101 AS peer_id, c_acctbal < 0 AS lost FROM customer),
+d AS (SELECT n_nationkey AS shard_id, s_suppkey AS peer_id FROM nation, supplier WHERE n_regionkey <> 1 AND s_nationkey <> 3)
+SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.shard_id = d.shard_id AND h.peer_id = d.peer_id)
+  OR EXISTS (SELECT 1 FROM held h WHERE h.shard_id = d.shard_id AND h.peer_id = d.peer_id AND lost)""")
+def mirror_fan_out(spark, folder):
+    shards = read(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") != 1).alias("mirrored"))
+    peers = read(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") == 3, "blocked").otherwise("trusted").alias("status"))
+    outbound = read(spark, folder, "customer").select(F.col("c_nationkey").alias("shard_id"), (F.col("c_custkey") % 101).alias("peer_id"), F.when(F.col("c_acctbal") < 0, "lost").otherwise("uploaded").alias("status"))
+    return placement.mirror_fan_out(shards, peers, outbound)
+
+
+@query("""WITH d AS (SELECT user_id, event_type, event_id, CASE WHEN value >= 50 THEN 1 ELSE -1 END AS delta FROM events),
+g AS (SELECT user_id, event_type, list(delta ORDER BY event_id) AS ds FROM d GROUP BY 1, 2)
+SELECT user_id, event_type, list_reduce(list_prepend(0, ds), lambda n, x: greatest(n + x, 0))::BIGINT AS refs FROM g""")
+def refcount_release(spark, folder):
+    log = read(spark, folder, "events").select("user_id", "event_type", "event_id", F.when(F.col("value") >= 50, 1).otherwise(-1).cast("long").alias("delta"))
+    return state.clamped_total(log, ["user_id", "event_type"], ["event_id"], "delta", "refs")
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id".replace("(ts, event_id)", "{'a': ts, 'b': event_id}"))
+def latest_wins_upsert(spark, folder):
+    return state.latest_wins(read(spark, folder, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, arg_min(event_id, {'a': ts, 'b': event_id}) AS event_id FROM events GROUP BY user_id")
+def first_wins_insert(spark, folder):
+    return state.first_wins(read(spark, folder, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
+
+
+@query("SELECT event_type, max({'v': value, 'e': event_id}).e AS event_id, max(value) AS value FROM events GROUP BY event_type")
+def newest_special(spark, folder):
+    return state.latest_wins(read(spark, folder, "events").select("event_type", "value", "event_id"), ["event_type"], ["value", "event_id"]).select("event_type", "event_id", "value")
+
+
+@query("""SELECT c_custkey, max(o_orderdate) AS last_seen FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1
+HAVING max(o_orderdate) IS NULL OR max(o_orderdate) < TIMESTAMP '1997-01-01' - INTERVAL 180 DAY""")
+def stale_peers(spark, folder):
+    as_of = F.lit("1997-01-01").cast("timestamp_ntz")
+    last = read(spark, folder, "orders").where(F.col("o_orderdate") < as_of).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last_seen"))
+    customers = read(spark, folder, "customer").select("c_custkey").join(last, "c_custkey", "left")
+    return customers.where(health.never_or_stale(F.col("last_seen"), as_of, days=180))
+
+
+@query("SELECT l_orderkey, bit_xor(l_partkey) AS parity, count(*) AS pieces FROM lineitem GROUP BY 1")
+def xor_parity(spark, folder):
+    return erasure.xor_parity(read(spark, folder, "lineitem"), "l_orderkey", "l_partkey")
+
+
+@query("""SELECT p_partkey, CASE WHEN b >= 1073741824 THEN printf('%.2f GB', b / 1073741824.0) WHEN b >= 1048576 THEN printf('%.2f MB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.2f KB', b / 1024.0) ELSE b::VARCHAR || ' B' END AS size,
+  CASE WHEN p_name = '' THEN '(empty file)' ELSE sha256(p_name)[1:32] || '...' END AS shown, (p_size * 64) & 511 AS mode
+FROM (SELECT *, floor(p_retailprice)::BIGINT * p_size * p_size * p_size AS b FROM part)""")
+def display_formats(spark, folder):
+    size = F.floor("p_retailprice").cast("long") * F.col("p_size") * F.col("p_size") * F.col("p_size")
+    shown = F.when(F.col("p_name") == "", F.lit("")).otherwise(F.sha2("p_name", 256))
+    return read(spark, folder, "part").select("p_partkey", paths.format_bytes(size).alias("size"), paths.short_hash(shown).alias("shown"), paths.permissions(F.col("p_size") * 64).alias("mode"))
+
+
+@query("""SELECT source, sum(strlen(text))::BIGINT AS bytes, count(*) AS files, round(sum(strlen(text)) / 0.001, 3)::DOUBLE AS bytes_per_second FROM documents GROUP BY 1""")
+def transfer_rates(spark, folder):
+    sums = read(spark, folder, "documents").groupBy("source").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("files"))
+    return sums.withColumn("bytes_per_second", F.round(paths.rate_per_second(F.col("bytes"), F.lit(0)), 3))
+
+
+@query()
+def placement_greedy(spark, folder):
+    """Every order line as a piece on a supplier; sequential, so checked against a simulation."""
+    lines = read(spark, folder, "lineitem")
+    queue = lines.groupBy(F.col("l_orderkey").alias("shard_id"), F.col("l_linenumber").alias("piece_index")).agg(F.max("l_quantity").cast("long").alias("size"))
+    queue = queue.select((F.col("shard_id") * 10 + F.col("piece_index")).alias("ord"), "shard_id", "piece_index", "size", F.lit(False).alias("mirrored"))
+    peers = read(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("trusted").alias("status"), F.lit("none").alias("adoption_status"), F.col("s_acctbal").alias("last_seen"), F.lit(20_000).alias("max_storage_size"), F.lit(0).alias("outbound_storage_size"))
+    return placement.place(queue, peers, spark.createDataFrame([], "shard_id long, peer_id long, status string"))
+
+
+@query()
+def erasure_recovery(spark, folder):
+    """Pieces of packed documents, encoded 4 + 2, recovered after two of each shard are lost."""
+    docs = read(spark, folder, "documents").select((F.floor(F.col("doc_id") / 4)).alias("shard_id"), (F.col("doc_id") % 4).cast("int").alias("piece_index"), F.substring("text", 1, 400).cast("binary").alias("data"))
+    coded = erasure.encode(docs, 4, 2, 1600)
+    lost = coded.where((F.col("piece_index") != F.col("shard_id") % 4) & (F.col("piece_index") != (F.col("shard_id") + 1) % 4))
+    found = erasure.reconstruct(lost, 4, 2)
+    both = found.join(coded.select("shard_id", "piece_index", "piece_hash"), ["shard_id", "piece_index"])
+    return both.select("shard_id", "piece_index", (F.sha2("data", 256) == F.col("piece_hash")).alias("recovered"))
+
+
+@query()
+def compressed_roundtrip(spark, folder):
+    """zstd sizes of the texts, and whether they come back."""
+    from ..functions.codecs import compress, decompress
+
+    docs = read(spark, folder, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    packed = docs.select("doc_id", "data", compress(F.col("data")).alias("packed"))
+    return packed.select("doc_id", F.length("packed").alias("packed_bytes"), (decompress(F.col("packed")) == F.col("data")).alias("same"))
