@@ -27,6 +27,13 @@ KINDS = {
 }
 
 
+def field_path(name: str) -> str:
+    """A variant path to one field; a name can't hold both kinds of quotes."""
+    if "'" in name and '"' in name:
+        raise ValueError(f"property name with both kinds of quotes: {name}")
+    return f"$['{name}']" if "'" not in name else f'$["{name}"]'
+
+
 def validate(arguments: Column, schema: dict) -> Column:
     """Whether a JSON text is an object that meets ``schema``.
 
@@ -37,7 +44,7 @@ def validate(arguments: Column, schema: dict) -> Column:
     valid = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
     required = set(schema.get("required", ()))
     for name, rule in schema.get("properties", {}).items():
-        path = "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        path = field_path(name)
         field = F.try_variant_get(value, path, "variant")
         checks = F.lit(True)
         if "type" in rule:
@@ -58,7 +65,7 @@ def validate(arguments: Column, schema: dict) -> Column:
         absent = F.lit(name not in required)
         valid = valid & F.when(field.isNull(), absent).otherwise(F.coalesce(checks, F.lit(False)))
     for name in required - set(schema.get("properties", {})):
-        valid = valid & F.try_variant_get(value, "$['" + name + "']", "variant").isNotNull()
+        valid = valid & F.try_variant_get(value, field_path(name), "variant").isNotNull()
     if schema.get("additionalProperties") is False:
         known = F.array(*[F.lit(n) for n in schema.get("properties", {})]).cast("array<string>")
         valid = valid & F.coalesce(F.size(F.array_except(F.json_object_keys(arguments), known)) == 0, F.lit(False))
