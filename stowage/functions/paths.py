@@ -45,7 +45,7 @@ def format_bytes(size: Column) -> Column:
     out = F.format_string("%d B", size.cast("long"))
     for name, power in (("KB", 10), ("MB", 20), ("GB", 30)):
         unit = 1 << power
-        out = F.when(size >= unit, F.format_string(f"%.2f {name}", size / float(unit))).otherwise(out)
+        out = F.when(size >= unit, F.format_string(f"%.2f {name}", F.round(size / float(unit), 2))).otherwise(out)
     return out
 
 

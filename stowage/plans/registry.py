@@ -414,7 +414,7 @@ def xor_parity(spark, folder):
     return erasure.xor_parity(read(spark, folder, "lineitem"), "l_orderkey", "l_partkey")
 
 
-@query("""SELECT p_partkey, CASE WHEN b >= 1073741824 THEN printf('%.2f GB', b / 1073741824.0) WHEN b >= 1048576 THEN printf('%.2f MB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.2f KB', b / 1024.0) ELSE b::VARCHAR || ' B' END AS size,
+@query("""SELECT p_partkey, CASE WHEN b >= 1073741824 THEN printf('%.2f GB', round(b / 1073741824.0, 2)) WHEN b >= 1048576 THEN printf('%.2f MB', round(b / 1048576.0, 2)) WHEN b >= 1024 THEN printf('%.2f KB', round(b / 1024.0, 2)) ELSE b::VARCHAR || ' B' END AS size,
   CASE WHEN p_name = '' THEN '(empty file)' ELSE sha256(p_name)[1:32] || '...' END AS shown, (p_size * 64) & 511 AS mode
 FROM (SELECT *, floor(p_retailprice)::BIGINT * p_size * p_size * p_size AS b FROM part)""")
 def display_formats(spark, folder):

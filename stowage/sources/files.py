@@ -16,9 +16,25 @@ from ..functions.paths import base_name, dir_name, local_path
 def crawl(spark: SparkSession, roots: list[str], with_content: bool = False) -> DataFrame:
     """(path, dir_path, filename, mtime, size[, content]) of every file under the roots."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
+    files = files.select("path", F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size"), *(["content"] if with_content else []))
+    empty = empty_files(spark, roots)
+    if with_content:
+        empty = empty.withColumn("content", F.lit(b""))
     path = local_path(F.col("path"))
-    columns = [path.alias("path"), dir_name(path).alias("dir_path"), base_name(path).alias("filename"), F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size")]
-    return files.select(*columns, *(["content"] if with_content else []))
+    return files.unionByName(empty).select(path.alias("path"), dir_name(path).alias("dir_path"), base_name(path).alias("filename"), "mtime", "size", *(["content"] if with_content else []))
+
+
+def empty_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(path, mtime, size) of files without bytes, which file scans leave out. Listed like a scan's files, on the driver."""
+    found = []
+    for root in roots:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        listing = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+        while listing.hasNext():
+            status = listing.next()
+            if status.getLen() == 0:
+                found.append((status.getPath().toString(), status.getModificationTime() // 1000, 0))
+    return spark.createDataFrame(found, "path string, mtime long, size long")
 
 
 def exclude(files: DataFrame, excludes: DataFrame) -> DataFrame:
