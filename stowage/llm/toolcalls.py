@@ -37,8 +37,8 @@ def field_path(name: str) -> str:
 def validate(arguments: Column, schema: dict) -> Column:
     """Whether a JSON text is an object that meets ``schema``.
 
-    Of JSON Schema: properties with type, enum (of strings), minLength, minimum
-    and maximum; required; additionalProperties false. What isn't JSON is invalid.
+    Of JSON Schema: properties with type, enum (of strings), minLength (of
+    strings), minimum and maximum (of numbers); required; additionalProperties false. What isn't JSON is invalid.
     """
     value = F.try_parse_json(arguments)
     valid = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
@@ -47,9 +47,9 @@ def validate(arguments: Column, schema: dict) -> Column:
         path = field_path(name)
         field = F.try_variant_get(value, path, "variant")
         checks = F.lit(True)
+        kind = F.schema_of_variant(field)
         if "type" in rule:
             kinds = rule["type"] if isinstance(rule["type"], list) else [rule["type"]]
-            kind = F.schema_of_variant(field)
             match = F.lit(False)
             for k in kinds:
                 match = match | kind.rlike(KINDS[k])
@@ -57,11 +57,11 @@ def validate(arguments: Column, schema: dict) -> Column:
         if "enum" in rule:
             checks = checks & F.coalesce(F.try_variant_get(value, path, "string").isin(*map(str, rule["enum"])), F.lit(False))
         if "minLength" in rule:
-            checks = checks & (F.length(F.try_variant_get(value, path, "string")) >= rule["minLength"])
+            checks = checks & (~kind.rlike(KINDS["string"]) | (F.length(F.try_variant_get(value, path, "string")) >= rule["minLength"]))
         if "minimum" in rule:
-            checks = checks & (F.try_variant_get(value, path, "double") >= float(rule["minimum"]))
+            checks = checks & (~kind.rlike(KINDS["number"]) | (F.try_variant_get(value, path, "double") >= float(rule["minimum"])))
         if "maximum" in rule:
-            checks = checks & (F.try_variant_get(value, path, "double") <= float(rule["maximum"]))
+            checks = checks & (~kind.rlike(KINDS["number"]) | (F.try_variant_get(value, path, "double") <= float(rule["maximum"])))
         absent = F.lit(name not in required)
         valid = valid & F.when(field.isNull(), absent).otherwise(F.coalesce(checks, F.lit(False)))
     for name in required - set(schema.get("properties", {})):
