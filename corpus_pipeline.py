@@ -12,21 +12,24 @@ from pyspark.sql import functions as F
 
 from stowage.llm import bpe, fertility, minhash, mixing, substring
 from stowage.llm.queries import table, tokenizer_file
-from stowage.llm.workspace import keep
+from stowage.llm.workspace import bound_batches, keep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the fertility bands keep, unchanged."""
+    bound_batches(spark)
     return fertility.filter_documents(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at a Jaccard similarity of 0.8 of 5-word shingles."""
+    bound_batches(spark)
     return minhash.drop_near_duplicates(docs, size=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words or more that occur earlier."""
+    bound_batches(spark)
     return substring.dedup_documents(docs, threshold=50)
 
 
@@ -37,6 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
+    bound_batches(spark)
     path, pattern = tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     text = F.coalesce("text", F.lit(""))
     encoded = docs.select("doc_id", "lang", "source", text.alias("text"), bpe.encode_ids(text, path, pattern).alias("ids"))

@@ -349,7 +349,8 @@ def decode_ids(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf(T.BinaryType())
     def decode(batch: pa.Array) -> pa.Array:
         vocabulary = encoder(path, pattern).vocabulary
-        return pa.array([None if row is None else vocabulary.decode(row) for row in batch.to_pylist()], pa.binary())
+        # one row's ids at a time as Python numbers
+        return pa.array([vocabulary.decode(row.values.to_numpy().tolist()) if row.is_valid else None for row in batch], pa.binary())
 
     return decode(ids)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, cotraining, fertility, langid, minhash, mixing, pq, sharding, substring, toolcalls
-from .workspace import keep
+from .workspace import bound_batches, keep
 
 #: Folder of the public vocabulary files; the installed package's own by default.
 TOKENIZERS = os.environ.get("STOWAGE_TOKENIZERS", os.path.dirname(public_tokenizers.__file__))
@@ -21,6 +21,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most, so that Python workers hold few whole texts at once."""
+    if int(spark.conf.get(BATCH_CONF)) in (0, 10_000):  # unbounded, or Spark's own default
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+
+
 def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` into the shared folder; returns the table read back and its path."""
     spark = df.sparkSession
