@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import discard, keep
+from .workspace import keep
 
 #: JSON Schema types and what they are called as variants.
 KINDS = {
@@ -80,58 +80,86 @@ def validate_calls(name: Column, arguments: Column, schemas: dict[str, dict]) ->
     return F.coalesce(out, F.lit(False))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """call_id and level: 0 without dependencies, else one more than the highest of them.
+def order_calls(calls: DataFrame) -> DataFrame:
+    """call_id and position: a number greater than that of every call it depends on.
+
+    ``calls`` has call_id, depends_on (array of identifiers; those that no call has are
+    ignored, as are nulls and a call's own), group and seq (both may be null). Where all
+    dependencies of a group lead to an earlier seq of the same group, which one join
+    finds out, the seq is the position. Other groups, and calls without group or seq, get
+    their level: 0 without dependencies, else one more than the highest of them;
+    calls on or behind a cycle get null.
+    """
+    grouped = calls.where(F.col("call_id").isNotNull()).groupBy("call_id")
+    ids = grouped.agg(
+        F.flatten(F.collect_set("depends_on")).alias("deps"), F.min("group").alias("group"), F.min("seq").alias("seq"),
+        ((F.count("group") < F.count("*")) | (F.count("seq") < F.count("*")) | (F.min("group") != F.max("group")) | (F.min("seq") != F.max("seq"))).alias("unclear"),
+    )
+    ids, _ = keep(ids, "toolcall-ids")
+    wants = ids.select("call_id", "group", "seq", F.explode(F.array_distinct("deps")).alias("dep")).where("dep <> call_id")
+    wants = wants.join(ids.select(F.col("call_id").alias("dep"), F.col("group").alias("dep_group"), F.col("seq").alias("dep_seq")), "dep")
+    edges, _ = keep(wants, "toolcall-edges")
+    earlier = F.coalesce((F.col("dep_group") == F.col("group")) & (F.col("dep_seq") < F.col("seq")), F.lit(False))
+    wrong = edges.where(~earlier)
+    wrong = wrong.select("group").union(wrong.select("dep_group")).union(ids.where("unclear").select("group"))
+    wrong, _ = keep(wrong.select(group_key(F.col("group")).alias("key")).distinct(), "toolcall-groups")
+    if wrong.isEmpty():
+        return ids.select("call_id", F.col("seq").alias("position"))
+    keyed = ids.withColumn("key", group_key(F.col("group")))
+    in_order = keyed.join(wrong, "key", "left_anti").select("call_id", F.col("seq").alias("position"))
+    # groups that share a dependency are both wrong, so the rest depends on itself alone
+    others = keyed.join(wrong, "key", "left_semi").select("call_id")
+    among = edges.withColumn("key", group_key(F.col("group"))).join(wrong, "key", "left_semi").select("call_id", "dep")
+    return in_order.unionByName(levels(others, among).withColumnRenamed("level", "position"))
+
+
+def group_key(group: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit("null"))
+
+
+def levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """call_id and level for distinct ids and edges (call_id, dep) between them.
 
-    ``calls`` has call_id and depends_on (array of identifiers; those that no
-    call has are ignored, as are nulls and a call's own). Calls on or behind a cycle get null.
     Each round places the calls whose dependencies are all placed and goes on
-    with the rest alone, so there are as many rounds as levels.
+    with the rest alone, so there are as many rounds as levels, of one written table each.
     """
-    spark = calls.sparkSession
-    ids = calls.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.flatten(F.collect_set("depends_on")).alias("deps"))
-    wants = ids.select("call_id", F.explode(F.array_distinct("deps")).alias("dep")).where("dep <> call_id")
-    wants = wants.join(ids.select(F.col("call_id").alias("dep")), "dep", "left_semi")
-    rest, rest_path = keep(wants.select("call_id", "dep"), "toolcall-edges")
-    paths = []
-    done, path = keep(ids.select("call_id").join(rest, "call_id", "left_anti").withColumn("level", F.lit(0)), "toolcall-level")
-    paths.append(path)
-    levelled = [done]
-    # best: the highest level seen so far among dependencies already placed
-    rest = rest.withColumn("seen", F.lit(None).cast("int"))
-    while not rest.isEmpty() and not done.isEmpty():
+    # seen: the level of a dependency that is placed
+    rest, _ = keep(edges.select("call_id", "dep", F.lit(None).cast("long").alias("seen")), "toolcall-rest")
+    done = ids.join(rest, "call_id", "left_anti").withColumn("level", F.lit(0).cast("long"))
+    out, before = done, None
+    while True:
         placed = done.select(F.col("call_id").alias("dep"), F.col("level").alias("found"))
-        marked, marked_path = keep(rest.join(placed, "dep", "left").select("call_id", "dep", F.coalesce("seen", "found").alias("seen")), "toolcall-edges")
-        state = marked.groupBy("call_id").agg(F.count_if(F.col("seen").isNull()).alias("open"), (F.max("seen") + 1).alias("level"))
-        done, path = keep(state.where("open = 0").select("call_id", "level"), "toolcall-level")
-        levelled.append(done)
-        rest, old = marked.join(done, "call_id", "left_anti"), rest_path
-        discard(spark, old)
-        rest_path = marked_path
-    out = levelled[0]
-    for more in levelled[1:]:
-        out = out.unionByName(more)
-    return ids.select("call_id").join(out, "call_id", "left")
+        waiting = rest.join(done, "call_id", "left_anti").join(placed, "dep", "left")
+        rest, _ = keep(waiting.select("call_id", "dep", F.coalesce("seen", "found").alias("seen")), "toolcall-rest")
+        state = tuple(rest.agg(F.count("*"), F.count("seen")).first())
+        if state[0] == 0 or state == before:
+            return ids.join(out, "call_id", "left")
+        before = state
+        done = rest.groupBy("call_id").agg(F.count_if(F.col("seen").isNull()).alias("open"), (F.max("seen") + 1).alias("level")).where("open = 0").select("call_id", "level")
+        out = out.unionByName(done)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """Every call with its result, level, validity and canonical JSON.
+    """Every call with its result, position, validity and canonical JSON.
 
-    ``calls``: call_id, name, arguments (JSON text), depends_on; ``results``:
+    ``calls``: call_id, name, arguments (JSON text), depends_on, and group and seq if known (see
+    ``order_calls``); ``results``:
     call_id, seq, content. Of several results the one of lowest seq counts
     (then of least content); n_results says how many there were. Calls with a
-    null identifier link with nothing. Results without a call don't appear.
+    null identifier link with nothing, and have no position. Results without a call don't appear.
+    Repeated rows of one identifier are given out alike; an empty table gives no rows.
     Other columns of ``calls`` pass through, except those added here.
     """
-    added = ("n_results", "linked", "level", "valid", "json")
+    added = ("n_results", "linked", "position", "valid", "json")
     calls = calls.drop(*added)
     found = (
         results.where(F.col("call_id").isNotNull())
         .groupBy("call_id")
         .agg(F.count("*").alias("n_results"), F.min(F.struct("seq", "content")).alias("_first"))
     )
-    depth = levels(calls.select("call_id", "depends_on"))
-    joined = calls.join(found, "call_id", "left").join(depth, "call_id", "left")
+    known = [F.col(c) if c in calls.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("group", "string"), ("seq", "long"))]
+    order = order_calls(calls.select("call_id", "depends_on", *known))
+    joined = calls.join(found, "call_id", "left").join(order, "call_id", "left")
     arguments = F.to_json(F.try_parse_json("arguments"))
     fields = {
         "arguments": F.coalesce(arguments, F.to_json(F.struct(F.col("arguments").alias("invalid")))),
@@ -145,7 +173,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         *calls.columns,
         F.coalesce("n_results", F.lit(0)).alias("n_results"),
         F.col("n_results").isNotNull().alias("linked"),
-        "level",
+        "position",
         validate_calls(F.col("name"), F.col("arguments"), schemas).alias("valid"),
         F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")).alias("json"),
     )
@@ -179,7 +207,7 @@ def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     answer = F.coalesce(F.col("role").isin("assistant", "tool"), F.lit(False))
     name = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
     calls = conversations.where(~answer).select(
-        "conv_id", "turn", name(0).alias("call_id"), F.lit("reply").alias("name"),
+        "conv_id", "turn", name(0).alias("call_id"), F.col("conv_id").cast("string").alias("group"), F.col("turn").cast("long").alias("seq"), F.lit("reply").alias("name"),
         F.to_json(F.struct(F.col("text").alias("prompt"), "role", F.col("turn").cast("long").alias("turn"))).alias("arguments"),
         F.array(name(1), name(2)).alias("depends_on"),
     )
