@@ -1,11 +1,11 @@
 """Quality rules from tokeniser fertility, with rejection bands per language or script.
 
 A public vocabulary with byte fallback splits every word. Per document this
-gives characters per token, the share of byte-fallback tokens and the entropy
-of its tokens relative to the most that so many tokens can have. What is usual
-differs between languages and, for the entropy, between lengths; so the bands
-are quartiles of the corpus per language (or script, where the language is
-null) and per power of two of the token count, widened by interquartile ranges.
+gives characters per token, tokens per word, the share of byte-fallback tokens and the
+entropy of its tokens relative to the most that so many tokens can have. What
+is usual differs between languages and, for the entropy, between lengths; so the
+bands are medians of the corpus per language (or script, where the language is
+null) and per quarter of a doubling of the token count, give or take some interquartile ranges.
 """
 
 from __future__ import annotations
@@ -159,7 +159,17 @@ def text_features(text: Column, model: str) -> Column:
     return features(text)
 
 
-METRICS = ("chars_per_token", "byte_share", "entropy")
+#: How far each metric may lie below and above the median, in spreads.
+REACH = {
+    "chars_per_token": (4.5, 6.0),
+    "tokens_per_word": (6.0, 7.0),
+    "byte_share": (8.0, 8.0),
+    "entropy": (2.75, 7.0),
+}
+#: A spread is the interquartile range, but this share of the median (and SMALL) at least.
+LEAST_SPREAD, SMALL = 0.02, 0.005
+#: Classes of size per doubling of the token count.
+SIZES = 4
 
 
 def with_metrics(features: DataFrame) -> DataFrame:
@@ -168,32 +178,35 @@ def with_metrics(features: DataFrame) -> DataFrame:
     return features.withColumns(
         {
             "chars_per_token": F.col("word_chars") / tokens,
+            "tokens_per_word": F.col("n_tokens") / F.greatest(F.col("n_words"), F.lit(1)),
             "byte_share": F.col("n_byte_tokens") / tokens,
             "band_group": F.coalesce(F.col("lang"), F.concat(F.lit("script:"), F.col("script"))),
-            "band_size": F.floor(F.log2(tokens)).cast("int"),
+            "band_size": F.floor(SIZES * F.log2(tokens)).cast("int"),
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         }
     )
 
 
-def fertility_bands(metrics: DataFrame, width: float = 6.0, least: int = 200) -> DataFrame:
+def fertility_bands(metrics: DataFrame, least: int = 100) -> DataFrame:
     """Lowest and highest usual value of each metric per band_group and band_size.
 
-    Quartiles are over all documents that pass the base rules. A size class of
-    under ``least`` documents takes the quartiles of its whole group. A band
-    reaches ``width`` interquartile ranges beyond the quartiles, a range being
-    taken as a tenth of the median (or 0.02) at least.
+    Quartiles are over all documents that pass the base rules; documents with
+    the same metrics, such as exact copies, count once. A size class of under ``least``
+    documents takes the quartiles of its doubling, or of its whole group.
     """
-    usable = metrics.where(~F.col("base_failed"))
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in METRICS]
-    by_size = usable.groupBy("band_group", "band_size").agg(F.count("*").alias("n"), *quartiles)
-    by_group = usable.groupBy("band_group").agg(*[q.alias(f"group_{m}") for q, m in zip(quartiles, METRICS)])
-    bands = by_size.join(by_group, "band_group")
+    usable = metrics.where(~F.col("base_failed")).select("band_group", "band_size", F.floor(F.col("band_size") / SIZES).alias("octave"), "n_words", *REACH).distinct()
+
+    def quartiles(prefix: str) -> list[Column]:
+        return [F.count("*").alias(f"{prefix}n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"{prefix}{m}") for m in REACH]]
+
+    bands = usable.groupBy("band_group", "octave", "band_size").agg(*quartiles("size_"))
+    bands = bands.join(usable.groupBy("band_group", "octave").agg(*quartiles("octave_")), ["band_group", "octave"])
+    bands = bands.join(usable.groupBy("band_group").agg(*quartiles("group_")), "band_group")
     out = []
-    for m in METRICS:
-        q = F.when(F.col("n") >= least, F.col(m)).otherwise(F.col(f"group_{m}"))
-        reach = width * F.greatest(q[2] - q[0], 0.1 * q[1], F.lit(0.02))
-        out += [(q[0] - reach).alias(f"{m}_low"), (q[2] + reach).alias(f"{m}_high")]
+    for m, (below, above) in REACH.items():
+        q = F.when(F.col("size_n") >= least, F.col(f"size_{m}")).when(F.col("octave_n") >= least, F.col(f"octave_{m}")).otherwise(F.col(f"group_{m}"))
+        spread = F.greatest(q[2] - q[0], LEAST_SPREAD * q[1], F.lit(SMALL))
+        out += [(q[1] - below * spread).alias(f"{m}_low"), (q[1] + above * spread).alias(f"{m}_high")]
     return bands.select("band_group", "band_size", *out)
 
 
@@ -205,7 +218,7 @@ def judge(metrics: DataFrame, bands: DataFrame) -> DataFrame:
     one of their class fails the base rules) are not kept.
     """
     inside = F.lit(True)
-    for m in METRICS:
+    for m in REACH:
         inside = inside & (F.col(m) >= F.col(f"{m}_low")) & (F.col(m) <= F.col(f"{m}_high"))
     joined = metrics.join(bands, ["band_group", "band_size"], "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
