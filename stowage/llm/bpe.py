@@ -20,7 +20,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import resident
+
 NONE = np.int64(-1)
 #: Marks of block keys; no UTF-8 text holds them.
 FIRST, ODD = "\ud800", "\ud801"
@@ -219,7 +220,7 @@ class Encoder:
     text's first block, and blocks with white space at their end or spaces inside.
     """
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 1 << 18):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 1 << 17):
         self.vocabulary = vocabulary
         self.limit = limit
         self.names = list(map(str, range(vocabulary.size)))
@@ -282,10 +283,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    return Encoder(Vocabulary.load(path, pattern))
+    """The worker's encoder of a vocabulary."""
+    return resident(("bpe", path, pattern), lambda: Encoder(Vocabulary.load(path, pattern)))
 
 
 def _slices(texts: list, most: int) -> Iterator[tuple[int, int]]:
@@ -317,7 +317,7 @@ def encode_digests(text: Column, path: str, pattern: str) -> Column:
         bpe = encoder(path, pattern)
         counts, id_hashes, decoded_hashes = [], [], []
         texts = batch.to_pylist()
-        for begin, end in _slices(texts, 4_000_000):
+        for begin, end in _slices(texts, 2_000_000):
             for ids, raw in bpe.encode_batch(texts[begin:end]):
                 counts.append(ids.count(" ") + 1 if ids else 0)
                 id_hashes.append(hashlib.sha256(ids.encode()).hexdigest())
@@ -335,7 +335,7 @@ def encode_ids(text: Column, path: str, pattern: str) -> Column:
         bpe = encoder(path, pattern)
         texts = batch.to_pylist()
         out = []
-        for begin, end in _slices(texts, 4_000_000):
+        for begin, end in _slices(texts, 2_000_000):
             for ids, _ in bpe.encode_batch([text or "" for text in texts[begin:end]]):
                 out.append(np.array(ids.split(), np.int32))
         return pa.array(out, pa.list_(pa.int32()))

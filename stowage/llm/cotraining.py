@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .words import WordHashes, split_words, word_hashes
+from .words import WordHashes, shared_hashes, split_words, word_hashes
 
 MOST_LABELLED = 8000
 POOL = 8000
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
 
     @F.arrow_udf(f"struct<text:{width},meta:{width}>")
     def view(text: pa.Array, source: pa.Array, lang: pa.Array, size: pa.Array) -> pa.Array:
-        a = text_view(text.to_pylist(), WordHashes())
+        a = text_view(text.to_pylist(), shared_hashes())
         b = meta_view(source.to_pylist(), lang.to_pylist(), size.to_pylist())
         return pa.StructArray.from_arrays([pa.array(list(a), pa.list_(pa.float32())), pa.array(list(b), pa.list_(pa.float32()))], names=["text", "meta"])
 
@@ -199,7 +199,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
 
     @F.arrow_udf(SCORES)
     def score(text: pa.Array, source: pa.Array, lang: pa.Array, size: pa.Array) -> pa.Array:
-        cache = WordHashes()
+        cache = shared_hashes()
         texts = text.to_pylist()
         content = [text_view(texts[a:b], cache) for a, b in _slices(texts, 2_000_000)]
         content = np.concatenate(content) if content else np.zeros((0, TEXT_SIZE))

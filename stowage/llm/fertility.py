@@ -10,8 +10,6 @@ null) and per quarter of a doubling of the token count, give or take some interq
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .words import split_words
+from .words import resident, split_words
 
 SYMBOLS = b"#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
@@ -36,7 +34,7 @@ FEATURES = T.StructType(
 class WordTable(dict):
     """Words to codes, with the tokens, characters and symbols of each; bounded by ``limit``."""
 
-    def __init__(self, model: str, limit: int = 1 << 18):
+    def __init__(self, model: str, limit: int = 1 << 17):
         import sentencepiece
 
         super().__init__()
@@ -74,9 +72,9 @@ class WordTable(dict):
         self.starts = np.cumsum(self.lengths) - self.lengths
 
 
-@lru_cache(maxsize=2)
 def word_table(model: str) -> WordTable:
-    return WordTable(model)
+    """The worker's word table of a vocabulary."""
+    return resident(("words", model), lambda: WordTable(model))
 
 
 def repeat_words(codes: np.ndarray) -> int:

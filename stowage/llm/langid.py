@@ -12,7 +12,7 @@ hashed to BUCKETS values, so a model has languages x BUCKETS numbers.
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .words import split_words
+from .words import resident, split_words
 
 BUCKETS = 1 << 15
 #: A model is sent to every executor; learning fails beyond this many languages (64 MB).
@@ -80,7 +80,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 class WordLikelihoods(dict):
     """Words to codes, and the log-likelihood of each word in each language; bounded by ``limit``."""
 
-    def __init__(self, model: np.ndarray, limit: int = 1 << 18):
+    def __init__(self, model: np.ndarray, limit: int = 1 << 17):
         super().__init__()
         self.model, self.limit = model, limit
         self.clear()
@@ -193,13 +193,11 @@ def predict(text: Column, langs: list[str], model: np.ndarray, spark) -> Column:
     ``und`` and 0. Ties go to the language that comes first in order.
     """
     shared = spark.sparkContext.broadcast(model)
-    tables: dict[int, WordLikelihoods] = {}
+    name = ("likelihoods", uuid.uuid4().hex)
 
     @F.arrow_udf(RESULT)
     def identify(batch: pa.Array) -> pa.Array:
-        table = tables.get(0)
-        if table is None:
-            table = tables[0] = WordLikelihoods(shared.value)
+        table = resident(name, lambda: WordLikelihoods(shared.value))
         texts = batch.to_pylist()
         rows = [row for begin, end in _slices(texts, 2_000_000) for row in batch_predict(texts[begin:end], langs, table)]
         pred, score, found = zip(*rows) if rows else ((), (), ())

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .workspace import keep
-from .words import Windows, WordHashes, split_words, word_hashes
+from .words import Windows, shared_hashes, split_words, word_hashes
 
 SEED = 4
 #: A place packs 16 bits of the text's hash, the first window start and how many more windows follow.
@@ -98,7 +98,7 @@ def emit_anchors(docs: DataFrame, threshold: int) -> DataFrame:
     """(anchor, context, doc_id, place) of every anchor of every text that has a doc_id."""
 
     def emit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out = WordHashes(), Columns(["anchor", "context", "doc_id", "place"])
+        cache, out = shared_hashes(), Columns(["anchor", "context", "doc_id", "place"])
         for frame in frames:
             cache.trim()
             for doc_id, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
@@ -161,7 +161,7 @@ def lay_out(docs: DataFrame, heads: DataFrame, threshold: int) -> DataFrame:
     """(anchor, window, doc_id, place) for each single window of the given anchors' places."""
 
     def emit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out = WordHashes(), Columns(["anchor", "window", "doc_id", "place"])
+        cache, out = shared_hashes(), Columns(["anchor", "window", "doc_id", "place"])
         for frame in frames:
             cache.trim()
             for doc_id, text, places in zip(*(frame.column(i).to_pylist() for i in range(3))):

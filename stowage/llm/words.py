@@ -7,7 +7,12 @@ every process (xxHash64), so hashes can be compared across executors.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 LOWER_ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -16,10 +21,31 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, make: Callable):
+    """What a Python worker keeps from one task to the next: one object, that of its last operator.
+
+    Workers outlive stages. Taking up another operator's object drops the
+    former and gives its memory back, so that a pipeline's tables don't add up.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 class WordHashes(dict):
     """Word to hash, remembered up to ``limit`` words, then forgotten all at once."""
 
-    def __init__(self, limit: int = 1 << 18):
+    def __init__(self, limit: int = 1 << 17):
         super().__init__()
         self.limit = limit
 
@@ -34,6 +60,11 @@ class WordHashes(dict):
             self.clear()
 
 
+def shared_hashes() -> WordHashes:
+    """The worker's word hashes."""
+    return resident(("hashes",), WordHashes)
+
+
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     """Words of a text (null: none), with A-Z lower-cased if asked."""
     if not text:

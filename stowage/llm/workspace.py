@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
