@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import keep
+
 #: A uniform number has 52 bits, the hexadecimal digits 1 to 13 of a SHA-256.
 DIGITS = 13
 #: Ranks are counted in this many parts of the hash range and added up.
@@ -52,35 +54,44 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The least k whose Poisson distribution function exceeds ``u``.
+#: exp(-rate) is far from underflow below this; larger rates are drawn in parts.
+LARGEST_PART = 500.0
+#: Rates of up to this many sources are broadcast (a few MB); more are joined by shuffle.
+MOST_BROADCAST = 10_000
+
+
+def parts_of(rate: Column) -> Column:
+    return F.greatest(F.ceil(rate / LARGEST_PART), F.lit(1)).cast("int")
 
-    Sums the probabilities up to ``rate + 12 sqrt(rate) + 30``, beyond which less
-    than 2**-53 is left. Rates above 500 are drawn as a sum of equal parts, each
-    with its own share of the digits of ``u`` mixed anew.
+
+def poisson_table(rate: Column) -> Column:
+    """The Poisson distribution function at 0, 1, ... as an array, empty for rate 0.
+
+    It ends before ``rate + 12 sqrt(rate) + 30``, beyond which less than 2**-53 is left.
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    first = F.exp(-rate)
     walk = F.aggregate(
-        F.sequence(F.lit(1), last),
-        F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("f"), F.lit(0).alias("k")),
+        F.sequence(F.lit(1), last - 1),
+        F.struct(first.alias("p"), first.alias("f"), F.array(first).alias("table")),
         lambda s, i: F.struct(
             (s["p"] * rate / i).alias("p"),
             (s["f"] + s["p"] * rate / i).alias("f"),
-            (s["k"] + F.when(s["f"] <= u, 1).otherwise(0)).alias("k"),
+            F.concat(s["table"], F.array(s["f"] + s["p"] * rate / i)).alias("table"),
         ),
     )
-    return F.when(rate <= 0, F.lit(0)).otherwise(walk["k"])
+    return F.when(rate <= 0, F.array().cast("array<double>")).otherwise(walk["table"])
 
 
-#: exp(-rate) is far from underflow below this; larger rates are drawn in parts.
-LARGEST_PART = 500.0
+def poisson_inverse(u: Column, table: Column) -> Column:
+    """The least k whose distribution function exceeds ``u``: how many entries of the table don't."""
+    return F.size(F.filter(table, lambda f: f <= u))
 
 
-def copies(key: list[Column], rate: Column, seed: int) -> Column:
-    """Number of copies of a document from its key."""
-    parts = F.greatest(F.ceil(rate / LARGEST_PART), F.lit(1)).cast("int")
-    draw = lambda i: poisson_inverse(uniform(*key, F.lit(f"copies{seed}"), i), rate / parts)
-    return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, i: n + draw(i))
+def copies(key: list[Column], rate: Column, table: Column, seed: int) -> Column:
+    """Number of copies of a document from its key; ``table`` is for the rate divided by its parts."""
+    draw = lambda i: poisson_inverse(uniform(*key, F.lit(f"copies{seed}"), i), table)
+    return F.aggregate(F.sequence(F.lit(1), parts_of(rate)), F.lit(0), lambda n, i: n + draw(i))
 
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = 0) -> DataFrame:
@@ -90,9 +101,10 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = 0) -> DataFrame:
     text where that is null; repeated rows have the same count and order.
     """
     packed = docs.select(F.struct(*docs.columns).alias("_row"), source_key(F.col("source")).alias("_source"), F.coalesce(F.col("doc_id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("_key"))
-    joined = packed.join(rates, "_source")
-    # copies() holds a fold, which generated code can't contain: it is done once, before the explode
-    counted = joined.withColumn("_n", copies([F.col("_key")], F.col("rate"), seed)).where("_n > 0")
+    # the distribution is tabulated once per source; a hot source isn't shuffled by its name
+    tables, _ = keep(rates.withColumn("table", poisson_table(F.col("rate") / parts_of(F.col("rate")))), "rates")
+    joined = packed.join(F.broadcast(tables) if tables.count() <= MOST_BROADCAST else tables, "_source")
+    counted = joined.withColumn("_n", copies([F.col("_key")], F.col("rate"), F.col("table"), seed)).where("_n > 0")
     out = counted.select("_row", "_key", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy"))
     return out.select("_row", "_copy", uniform(F.col("_key"), F.lit(f"order{seed}"), F.col("_copy")).alias("_order"))
 

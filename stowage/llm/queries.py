@@ -108,7 +108,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rates = mixing.source_rates(docs)
     copies = mixing.replicate(docs.select("doc_id", "source", F.lit(None).cast("string").alias("text")), rates)
-    rows = copies.select("_row.doc_id", "_row.source", F.col("_copy").alias("copy_no"), "_order")
+    rows, _ = keep(copies.select("_row.doc_id", "_row.source", F.col("_copy").alias("copy_no"), "_order"), "copies")
     placed = mixing.global_positions(rows, ["doc_id", "copy_no"])
     return placed.select("doc_id", "source", "copy_no", F.col("position").cast("long").alias("position"))
 

@@ -51,7 +51,7 @@ def test_tool_calls(spark):
     results = spark.createDataFrame([("a", 2, "second"), ("a", 1, 'fir"st\n'), (None, 1, "x"), ("q", 1, "x")], "call_id string, seq long, content string")
     got = {r.call_id: r for r in toolcalls.link_calls(calls, results, SCHEMAS).collect()}
     assert len(got) == 8
-    assert {k: r.level for k, r in got.items()} == {"a": 0, "b": 1, "c": 2, "d": None, "e": None, "f": 0, "g": None, None: None}
+    assert {k: r.position for k, r in got.items()} == {"a": 0, "b": 1, "c": 2, "d": None, "e": None, "f": 0, "g": None, None: None}
     assert {k: r.valid for k, r in got.items()} == {"c": True, "a": False, "b": True, "d": False, "e": False, "f": False, "g": False, None: True}
     assert [k for k, r in got.items() if r.linked] == ["a"] and got["a"].n_results == 2
     for r in got.values():
@@ -62,12 +62,21 @@ def test_tool_calls(spark):
     assert toolcalls.link_calls(calls.limit(0), results.limit(0), SCHEMAS).count() == 0
 
 
+def test_tool_call_order_by_group(spark):
+    rows = [("a", [], "g", 5), ("b", ["a"], "g", 9), ("c", ["d"], "h", 1), ("d", [], "h", 2), ("e", ["c", "d"], "h", 3), ("f", ["a", "f"], "i", 1), ("x", [], "j", 4)]
+    calls = spark.createDataFrame(rows, "call_id string, depends_on array<string>, group string, seq long")
+    got = {r.call_id: r.position for r in toolcalls.order_calls(calls).collect()}
+    # h's numbers contradict its dependencies; g and i share one
+    assert got == {"a": 0, "b": 1, "f": 1, "d": 0, "c": 1, "e": 2, "x": 4}
+    assert {r.call_id: r.position for r in toolcalls.order_calls(calls.where("group = 'g'")).collect()} == {"a": 5, "b": 9}
+
+
 def test_tool_call_turns(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "r"), (1, 3, "user", ""), (None, 0, "user", "x"), (2, None, "user", "x"), (2, 0, None, None), (3, 0, "user", "u"), (3, 0, "user", "u"), (3, 1, "tool", "t")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("json", F.lit("clash"))
     got = toolcalls.link_calls(*toolcalls.calls_of_turns(turns), toolcalls.REPLY_SCHEMAS)
-    by = sorted((str(r.conv_id), str(r.turn), r.linked, r.level, r.valid) for r in got.collect())
-    assert by == [("1", "0", False, 0, True), ("1", "1", True, 1, True), ("1", "3", False, 2, False), ("2", "0", False, 0, False), ("2", "None", False, None, False), ("3", "0", True, 0, True), ("3", "0", True, 0, True), ("None", "0", False, None, True)]
+    by = sorted((str(r.conv_id), str(r.turn), r.linked, r.position, r.valid) for r in got.collect())
+    assert by == [("1", "0", False, 0, True), ("1", "1", True, 1, True), ("1", "3", False, 3, False), ("2", "0", False, 0, False), ("2", "None", False, None, False), ("3", "0", True, 0, True), ("3", "0", True, 0, True), ("None", "0", False, None, True)]
 
 
 def brute_vectors(rows, cosine=0.9):
@@ -129,7 +138,7 @@ def poisson_count(u, rate):
 
 def test_poisson_counts(spark):
     df = spark.createDataFrame([(u / 97, rate) for u in range(97) for rate in (0.0, 0.3, 4.0, 60.0)], "u double, rate double")
-    got = df.select("u", "rate", mixing.poisson_inverse(F.col("u"), F.col("rate")).alias("n")).collect()
+    got = df.select("u", "rate", mixing.poisson_inverse(F.col("u"), mixing.poisson_table(F.col("rate"))).alias("n")).collect()
     assert all(r.n == (poisson_count(r.u, r.rate) if r.rate else 0) for r in got)
 
 
