@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .bpe import _slices
 from .words import resident, split_words
+from .workspace import keep
 
 SYMBOLS = b"#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
@@ -143,7 +144,10 @@ def batch_features(texts: list[str | None], table: WordTable) -> list[tuple]:
 
 
 def text_features(text: Column, model: str) -> Column:
-    """Struct column FEATURES of each whole text; a null text has no words."""
+    """Struct column FEATURES of each whole text; a null text has no words.
+
+    Marked nondeterministic so that filters on its fields don't compute it again.
+    """
 
     @F.arrow_udf(FEATURES)
     def features(batch: pa.Array) -> pa.Array:
@@ -154,7 +158,7 @@ def text_features(text: Column, model: str) -> Column:
         kinds = [pa.int64()] * 7 + [pa.float64(), pa.string()]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=FEATURES.names)
 
-    return features(text)
+    return features.asNondeterministic()(text)
 
 
 #: How far each metric may lie below and above the median, in spreads.
@@ -235,7 +239,8 @@ def filter_documents(docs: DataFrame, model: str) -> DataFrame:
     texts of under 50 words fail; repeated rows are judged alike; an empty
     table gives an empty table; the input's other columns pass through.
     """
-    bands = fertility_bands(with_metrics(quality_features(docs, model)))
+    features, _ = keep(quality_features(docs, model), "fertility")
+    bands, _ = keep(fertility_bands(with_metrics(features)), "bands")
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang"), text_features(F.col("text"), model).alias("_f"))
     judged = judge(with_metrics(packed.select("_row", "lang", "_f.*")), bands)
     return judged.where("kept").select("_row.*")

@@ -239,7 +239,8 @@ def remove_repeats(docs: DataFrame, threshold: int = 20, with_text: bool = True)
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=RESULT.names)
 
     joined = with_texts(docs, repeats(docs, threshold), "left")
-    return joined.select("_row", cut(F.col("_row.text"), F.col("places")).alias("_cut")).select("_row", F.col("_cut.n_words"), F.col("_cut.n_removed"), F.col("_cut.kept_sha256"), F.col("_cut.text"))
+    # nondeterministic: filters on its fields don't compute it again
+    return joined.select("_row", cut.asNondeterministic()(F.col("_row.text"), F.col("places")).alias("_cut")).select("_row", F.col("_cut.n_words"), F.col("_cut.n_removed"), F.col("_cut.kept_sha256"), F.col("_cut.text"))
 
 
 def dedup_documents(docs: DataFrame, threshold: int = 20) -> DataFrame:
