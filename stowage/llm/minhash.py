@@ -7,12 +7,12 @@ shifts are consecutive, so a signature is the element-wise minimum of slices.
 
 Documents with equal shingle sets are one class with the least doc_id as its
 representative, before anything is compared. Representatives that agree in a
-band form a bucket. First every member is compared with its bucket's least
-member. Then, in buckets that still hold several components, all other pairs
-across components are compared by their signatures, in blocks of bounded size,
-and those that could reach the similarity are verified. So a bucket of n near
-copies costs n comparisons, and no pair of a bucket is left out. All links are
-confirmed on whole shingle sets, recomputed from the texts of the documents concerned.
+band form a bucket, which is cut into blocks of bounded size. First each block
+proposes a spanning forest of its likeliest pairs by signature, and bridges to others,
+so a bucket of n near copies costs some n verifications. Then, in buckets that still
+hold several components, all other pairs across components whose signatures
+could mean the similarity are verified, so no pair of a bucket is left out. Links
+are confirmed on whole shingle sets, recomputed from the texts of the documents concerned.
 
 With 40 bands of 5 a pair of similarity 0.8 shares a bucket except with a
 probability of 1.3e-7; a pair of one bucket is verified unless 27 fewer of the 200
@@ -21,7 +21,7 @@ coordinates agree than expected at the limit (4.8 standard deviations).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import star_components
-from .words import WordHashes, mix, shingle_set, split_words
+from .words import mix, shared_hashes, shingle_set, split_words
 from .workspace import keep
 
 UNIVERSE = 1 << 20
@@ -79,7 +79,7 @@ def features(docs: DataFrame, size: int) -> DataFrame:
     """Set size, 128-bit hash of the set, band hashes and low bytes of the signature of every row."""
 
     def emit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = shared_hashes()
         for frame in frames:
             cache.trim()
             ids, counts, h1, h2, bands, sigs = frame.column(0).to_pylist(), [], [], [], [], []
@@ -103,22 +103,28 @@ def features(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, FEATURES)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets have 100 |intersection| >= percent |union|.
+def shingle_table(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles): whole sets of the listed documents.
 
-    Pairs of one b are compared against one set in memory, STAR of them to a task.
+    The join is by shuffle whatever the number of ids, so that its cost follows the input.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
     def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = shared_hashes()
         for frame in frames:
             cache.trim()
             found = [shingle_set(split_words(t, lower=True), size, cache).tobytes() for t in frame.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    known, _ = keep(texts.mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("shuffle_merge"), "doc_id", "left_semi")
+    return keep(texts.mapInArrow(sets, "doc_id long, shingles binary"), "shingles")[0]
+
+
+def verify(known: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose sets have 100 |intersection| >= percent |union|.
+
+    Pairs of one b are compared against one set in memory, STAR of them to a task.
+    """
     tasks = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     dealt = pairs.join(tasks, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
     members = dealt.join(known.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "shingles")
@@ -138,64 +144,162 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
                     hub_sets[data] = mine  # repeated rows of one document are one set
                     continue
                 for other in hub_sets.values():
-                    if 100 * min(len(mine), len(other)) >= percent * max(len(mine), len(other)):
-                        both = len(np.intersect1d(mine, other, assume_unique=True))
-                        if both and 100 * both >= percent * (len(mine) + len(other) - both):
-                            out_a.append(a), out_b.append(b)
-                            break
+                    if similar(mine, other, percent):
+                        out_a.append(a), out_b.append(b)
+                        break
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return stars.mapInArrow(compare, "a long, b long").distinct()
 
 
-def other_pairs(members: DataFrame, components: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of one bucket that neither a component nor the first comparison joins
-    and whose signatures don't rule the similarity out."""
-    coordinates = BANDS * ROWS
-    share = percent / 100
-    least = int(coordinates * share - SLACK * np.sqrt(coordinates * share * (1 - share)))
-    labelled = members.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = labelled.where("n > 2").join(mixed, "band", "left_semi").where("rep <> leader")
+def least_agreement(percent: int) -> int:
+    """How many coordinates two signatures must share for the similarity to be possible."""
+    coordinates, share = BANDS * ROWS, percent / 100
+    return int(coordinates * share - SLACK * np.sqrt(coordinates * share * (1 - share)))
+
+
+def agreement(sigs: np.ndarray) -> np.ndarray:
+    """Number of equal coordinates of each two of the signatures."""
+    if len(sigs) <= 32:
+        return (sigs[:, None] == sigs).sum(2).astype(np.int16)
+    total = np.zeros((len(sigs), len(sigs)), np.int16)
+    for column in np.ascontiguousarray(sigs.T):
+        total += column[:, None] == column
+    return total
+
+
+def forest(score: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs that score ``least`` or more, likeliest first (Boruvka); -1 marks pairs that are none."""
+    labels = np.arange(len(score))
+    while True:
+        best = score.argmax(1)
+        value = score[np.arange(len(score)), best]
+        order = np.lexsort((-value, labels))
+        first = order[np.concatenate(([True], labels[order][1:] != labels[order][:-1]))]
+        first = first[value[first] >= least]
+        if not len(first):
+            return
+        for i in first:
+            x, y = labels[i], labels[best[i]]
+            if x != y:
+                labels[labels == max(x, y)] = min(x, y)
+                yield int(i), int(best[i])
+        score[labels[:, None] == labels] = -1
+
+
+def bridges(score: np.ndarray, inside: np.ndarray, least: int, sure: int) -> Iterator[tuple[int, int]]:
+    """The likeliest pair between two blocks, and the likeliest of each row that has no ``sure`` and no likelier one inside."""
+    best = score.argmax(1)
+    value = score[np.arange(len(score)), best]
+    need = (value >= least) & (inside < sure) & (value > inside)
+    top = int(value.argmax())
+    need[top] |= value[top] >= least
+    for i in np.flatnonzero(need):
+        yield int(i), int(best[i])
+
+
+def dealt_blocks(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Members of buckets for each two blocks (p, q) of their bucket, sorted by these."""
     blocks = F.ceil(F.col("n") / BLOCK)
-    rows = rest.join(reps.select("rep", "sig"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
+    rows = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component", "sig")
-    rows = rows.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    rows = rows.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "rep", "component", *columns)
+    return rows.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
 
-    def pairs_of(group: list[tuple], across: bool) -> Iterator[tuple[int, int]]:
-        if len(group) < 2:
-            return
-        block, rep, component = (np.array([g[i] for g in group], np.int64) for i in range(3))
-        sigs = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), -1)
-        for i in range(len(group) - 1):
-            may = component[i + 1 :] != component[i]
-            if across:
-                may &= block[i + 1 :] != block[i]
-            at = np.flatnonzero(may) + i + 1
-            if len(at):
-                for j in at[(sigs[at] == sigs[i]).sum(1) >= least]:
-                    yield (max(int(rep[i]), int(rep[j])), min(int(rep[i]), int(rep[j])))
+
+def pairs_by_block(rows: DataFrame, pairs_of: Callable[[list, bool], Iterator[tuple[int, int]]]) -> DataFrame:
+    """Distinct pairs (a, b), a > b, that ``pairs_of`` names by row number in the rows of each two blocks."""
 
     def emit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, found = None, [], set()
+
+        def finish() -> None:
+            if len(group) > 1:
+                for i, j in pairs_of(group, key[1] != key[2]):
+                    a, b = group[i][1], group[j][1]
+                    found.add((max(a, b), min(a, b)))
+
         for frame in frames:
-            for band, p, q, *row in zip(*(frame.column(i).to_pylist() for i in range(7))):
+            for band, p, q, *row in zip(*(column.to_pylist() for column in frame.columns)):
                 if (band, p, q) != key:
-                    if key:
-                        found.update(pairs_of(group, key[1] != key[2]))
+                    finish()
                     key, group = (band, p, q), []
                 group.append(row)
             if len(found) > 100_000:
                 yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], SCHEMA)
                 found = set()
-        if key:
-            found.update(pairs_of(group, key[1] != key[2]))
+        finish()
         yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], SCHEMA)
 
     return rows.mapInArrow(emit, "a long, b long").distinct()
 
 
+def scores(group: list, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Agreement of the rows of different components: of those compared here (-1: not), and of those of one block."""
+    block, _, component = (np.array([g[i] for g in group], np.int64) for i in range(3))
+    score = agreement(np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), -1))
+    score[component[:, None] == component] = -1
+    inside = score.copy()
+    if across:
+        inside[block[:, None] != block] = -1
+        score[block[:, None] == block] = -1
+    return score, inside
+
+
+def likely_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of one bucket and different components whose signatures allow the similarity:
+    a spanning forest of each block of a bucket, and bridges between its blocks.
+
+    ``members`` has band, rep, n and component. Any member of such a pair is in one of those given out.
+    """
+    least, sure = least_agreement(percent), BANDS * ROWS * percent // 100
+
+    def pairs_of(group: list, across: bool) -> Iterator[tuple[int, int]]:
+        score, inside = scores(group, across)
+        return bridges(score, inside.max(1), least, sure) if across else forest(score, least)
+
+    return pairs_by_block(dealt_blocks(members.join(reps.select("rep", "sig"), "rep"), ["sig"]), pairs_of)
+
+
+def remaining_links(members: DataFrame, reps: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links across components within the buckets, enough of them to join all that are linked.
+
+    All pairs of a bucket whose signatures allow the similarity are verified,
+    likeliest first, but for those that links found in their block already join. Only
+    links are given out, so rows stay in proportion to members.
+    """
+    least = least_agreement(percent)
+
+    def pairs_of(group: list, across: bool) -> Iterator[tuple[int, int]]:
+        score, _ = scores(group, across)
+        left, right = np.nonzero(np.triu(score, 1) >= least)
+        order = np.argsort(-score[left, right], kind="stable")
+        labels = np.array([g[2] for g in group], np.int64)
+        sets = [np.frombuffer(g[4], np.uint64) for g in group]
+        for i, j in zip(left[order].tolist(), right[order].tolist()):
+            if labels[i] != labels[j] and similar(sets[i], sets[j], percent):
+                labels[labels == labels[j]] = labels[i]
+                yield i, j
+
+    sets = known.select(F.col("doc_id").alias("rep"), "shingles")
+    return pairs_by_block(dealt_blocks(members.join(reps.select("rep", "sig"), "rep").join(sets, "rep"), ["sig", "shingles"]), pairs_of)
+
+
+def similar(mine: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two sets of sorted hashes have 100 |intersection| >= percent |union|."""
+    if 100 * min(len(mine), len(other)) < percent * max(len(mine), len(other)):
+        return False
+    both = len(np.intersect1d(mine, other, assume_unique=True))
+    return bool(both) and 100 * both >= percent * (len(mine) + len(other) - both)
+
+
+def labelled(members: DataFrame, components: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components, with these."""
+    own = members.drop("component").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    return own.where("n > 2").join(mixed, "band", "left_semi")
+
+
 SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -214,17 +318,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes, _ = keep(classes.select("h1", "h2", "n_shingles", "rep", "f.bands", "f.sig"), "classes")
     reps = classes.groupBy("rep").agg(F.first("sig").alias("sig"))
     in_band = classes.select("rep", F.explode("bands").alias("band"))
-    sizes = in_band.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
+    sizes = in_band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members, _ = keep(in_band.join(sizes, "band"), "buckets")
     copies = usable.select("doc_id", "h1", "h2", "n_shingles").join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"])
     # several sets of one doc_id make their representatives one
     same = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    first, _ = keep(members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    links, _ = keep(verify(docs, first, size, percent), "links")
-    components = star_components(links)
-    more, _ = keep(other_pairs(members, components, reps, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.union(verify(docs, more, size, percent))
+    likely, _ = keep(likely_pairs(members.withColumn("component", F.col("rep")), reps, percent), "pairs")
+    # every member of a further pair is in one of these
+    known = shingle_table(docs, likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), size)
+    links, _ = keep(verify(known, likely, percent), "links")
+    links = links.union(remaining_links(labelled(members, star_components(links)), reps, known, percent))
     everything, _ = keep(star_components(links.union(same)), "components")
     out = found.select("doc_id", "n_shingles").join(everything.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
@@ -232,7 +335,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near duplicates: of its least doc_id, all columns unchanged.
+    """One row of each group of near duplicates: of its least doc_id, all columns unchanged; if that has several rows, any of them.
 
     Rows with a null doc_id and documents without words all stay.
     """
@@ -241,5 +344,5 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id")).join(verdicts, "doc_id", "left")
     kept = rows.where(F.coalesce("_kept", F.lit(True)))
     once = kept.where(F.coalesce("_n", F.lit(1)) == 1).select("_row")
-    repeated = kept.where("_n > 1").groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row")
+    repeated = kept.where("_n > 1").groupBy("doc_id").agg(F.first("_row").alias("_row")).select("_row")
     return once.unionByName(repeated).select("_row.*")

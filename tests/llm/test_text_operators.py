@@ -248,12 +248,19 @@ def test_all_pairs_of_a_bucket_are_compared(spark, monkeypatch):
     want = brute_near(list(enumerate(texts)), 5, 80)
     got = minhash.near_duplicates(docs_of(spark, texts), size=5, percent=80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
-    # one bucket of three: the least is like neither of the other two
-    members = spark.createDataFrame([(7, r, 3, 1) for r in (1, 2, 3)], "band long, rep long, n long, leader long")
-    sig = bytes(range(200))
-    reps = spark.createDataFrame([(1, bytes(200)), (2, sig), (3, sig)], "rep long, sig binary")
-    none = spark.createDataFrame([], "node long, component long")
-    assert [tuple(r) for r in minhash.other_pairs(members, none, reps, 80).collect()] == [(3, 2)]
+    # of three in a bucket the forest proposes the like two; of four alike, three pairs, then the others
+    sig, other = bytes(range(200)), bytes(200)
+    members = spark.createDataFrame([(7, r, 3, r) for r in (1, 2, 3)] + [(8, r, 4, r) for r in (4, 5, 6, 7)], "band long, rep long, n long, component long")
+    reps = spark.createDataFrame([(1, other)] + [(r, sig) for r in range(2, 8)], "rep long, sig binary")
+    some = {tuple(r) for r in minhash.likely_pairs(members, reps, 80).collect()}
+    assert len(some) == 4 and some <= {(3, 2)} | {(a, b) for a in range(4, 8) for b in range(4, a)} and (3, 2) in some
+    # alike by signature, of which one set differs: links join the others, and only they
+    same, far = bytes(range(80)), bytes(range(100, 180))
+    known = spark.createDataFrame([(1, same), (2, far), (3, same), (4, same), (5, same), (6, far), (7, same)], "doc_id long, shingles binary")
+    linked = {tuple(r) for r in minhash.remaining_links(members, reps, known, 80).collect()}
+    assert len(linked) == 2 and linked <= {(5, 4), (7, 4), (7, 5)}
+    grouped = minhash.labelled(members, spark.createDataFrame([(r, 4) for r in (4, 5, 6, 7)] + [(3, 2)], "node long, component long"))
+    assert sorted(tuple(r) for r in grouped.select("rep", "component").collect()) == [(1, 1), (2, 2), (3, 2)]
 
 
 def test_near_duplicate_edge_rows(spark):
