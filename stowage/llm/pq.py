@@ -3,8 +3,8 @@
 Equal vectors are one class first. A coarse quantiser deals the unit vectors
 into lists; what remains after subtracting a list's centroid is split into
 subspaces and coded by codebooks. A vector searches every list whose border is
-within PROBE of it: between two unit vectors of cosine 0.9 lie 0.447, of which
-only the part at right angles to a border counts, some 0.056 on average in 64 dimensions.
+no farther from it than the vectors of a link can lie apart (0.447 at cosine 0.9): the way
+from one to the other crosses the border, so no link is missed.
 In a list, distances come from tables of the query's residual against the codes
 (the query itself isn't coded). Since the code of a vector is off by a stored
 length at most, only what lies closer than the limit plus that length can be a link; it is
@@ -33,7 +33,6 @@ from .components import star_components
 from .workspace import keep
 
 SAMPLE = 16384
-PROBE = 0.2
 BLOCK = 1024
 CODEWORDS = 64
 #: Most coarse lists; their centroids and borders are sent to every executor.
@@ -81,8 +80,8 @@ class Index:
         gap = (units**2).sum(1)[:, None] - 2 * units @ centroids.T + (centroids**2).sum(1)
         return gap.argmin(1), gap
 
-    def encode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes and length of the coding error of each vector, and the lists it searches (a boolean matrix)."""
+    def encode(self, units: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes and length of the coding error of each vector, and the lists whose border is within ``reach`` (a boolean matrix)."""
         at, gap = self.nearest(units, self.centroids)
         residuals = units - self.centroids[at]
         codes = np.empty((len(units), len(self.books)), np.uint8)
@@ -94,7 +93,7 @@ class Index:
             error += ((part - book[codes[:, m]]) ** 2).sum(1)
         rows = np.arange(len(units))
         border = (gap - gap[rows, at][:, None]) / (2 * self.apart[at])
-        return at, codes, np.sqrt(error), border <= PROBE
+        return at, codes, np.sqrt(error), border <= reach + 1e-6
 
     def distances(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances (queries x vectors) within one list, by table lookup."""
@@ -117,7 +116,7 @@ def unit_vectors(rows: list[bytes]) -> np.ndarray:
 POSTINGS = "list int, block int, is_query boolean, rep long, weight long, home int, error double, codes binary, vec binary"
 
 
-def postings(classes: DataFrame, index: Index, blocks: dict[int, int]) -> DataFrame:
+def postings(classes: DataFrame, index: Index, blocks: dict[int, int], reach: float) -> DataFrame:
     """A row for each class in its own list, and one as a query for each block of each later list it searches."""
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(index)
@@ -130,7 +129,7 @@ def postings(classes: DataFrame, index: Index, blocks: dict[int, int]) -> DataFr
                 rep, weight = part.column(0).to_numpy(), part.column(1).to_numpy()
                 vecs = part.column(2).to_pylist()
                 units = unit_vectors(vecs)
-                at, codes, error, probed = own.encode(units)
+                at, codes, error, probed = own.encode(units, reach)
                 rows, lists = np.nonzero(probed & (np.arange(probed.shape[1]) >= at[:, None]))
                 times = np.array([blocks.get(int(k), 1) for k in lists], np.int64)
                 rows, lists = np.repeat(rows, times), np.repeat(lists, times)
@@ -256,7 +255,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, sample: int = SAMPL
         taken = mine.orderBy(F.xxhash64("vec"), "rep").limit(sample).select("vec").toArrow().column(0).to_pylist()
         index = Index.fit(unit_vectors(taken), max(1, min(MOST_LISTS, len(taken) // 8, int(np.sqrt(n) / 2))))
         blocks = list_blocks(mine, index)
-        part = search(postings(mine, index, blocks), index, cosine)
+        part = search(postings(mine, index, blocks, float(np.sqrt(2 - 2 * cosine))), index, cosine)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "a long, b long, n long")

@@ -119,6 +119,20 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_links_between_tight_groups(spark):
+    rng = np.random.default_rng(3)
+    a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    centers = (a, 0.905 * a + np.sqrt(1 - 0.905**2) * b)
+    near = [c + rng.normal(size=64) * 0.0005 for c in centers for _ in range(150)]
+    rows = np.concatenate((near, rng.normal(size=(600, 64))))
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert want[:300].min() == 299
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in pq.near_duplicates(spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<double>")).collect())
+    assert [r[1] for r in got] == want.tolist()
+    assert {r[2] for r in got[:300]} == {0}
+
+
 def test_vector_edge_rows(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in pq.near_duplicates(df).collect())
