@@ -77,20 +77,21 @@ PIECES = "shard_id long, piece_index int, data binary, piece_hash string, shard_
 def encode(pieces: DataFrame, n: int, k: int, piece_size: int) -> DataFrame:
     """All N + K pieces of each shard from its data pieces (shard_id, piece_index, data).
 
-    Data pieces are padded with zeros to ``piece_size``, absent ones are all zeros; the shard's
+    With a column offset, rows are parts of pieces, each at its place in the piece. Data pieces are padded with zeros to ``piece_size``, absent ones are all zeros; the shard's
     hash is of the padded data pieces in order. A shard's pieces meet in one task.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         data = np.zeros((n, piece_size), np.uint8)
-        for index, value in zip(group["piece_index"], group["data"]):
-            data[index, : len(value)] = np.frombuffer(value, np.uint8)
+        for index, offset, value in zip(group["piece_index"], group["offset"], group["data"]):
+            data[index, offset : offset + len(value)] = np.frombuffer(value, np.uint8)
         every = np.concatenate((data, combine(matrix(n, k)[n:], data)))
         raw = [p.tobytes() for p in every]
         shard_hash = hashlib.sha256(b"".join(raw[:n])).hexdigest()
         return pd.DataFrame({"shard_id": group["shard_id"].iloc[0], "piece_index": range(n + k), "data": raw, "piece_hash": [hashlib.sha256(p).hexdigest() for p in raw], "shard_hash": shard_hash})
 
-    return pieces.select("shard_id", F.col("piece_index").cast("int"), "data").groupBy("shard_id").applyInPandas(run, PIECES)
+    offset = F.col("offset") if "offset" in pieces.columns else F.lit(0).alias("offset")
+    return pieces.select("shard_id", F.col("piece_index").cast("int"), offset, "data").groupBy("shard_id").applyInPandas(run, PIECES)
 
 
 def reconstruct(pieces: DataFrame, n: int, k: int) -> DataFrame:

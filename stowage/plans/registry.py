@@ -439,13 +439,21 @@ def placement_greedy(spark, folder):
     return placement.place(queue, peers, spark.createDataFrame([], "shard_id long, peer_id long, status string"))
 
 
+def parts_of_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The bytes of every location that ``shard_packing`` gives: shard_id, piece_index, offset, data."""
+    texts = read(spark, folder, "documents").select(F.col("text").cast("binary").alias("bytes")).where("bytes IS NOT NULL").groupBy(paths.content_hash(F.col("bytes")).alias("hash")).agg(F.first("bytes").alias("bytes"))
+    before = Window.partitionBy("hash").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    located = shard_packing(spark, folder).withColumn("begin", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("int"))
+    data = F.substring("bytes", F.col("begin") + 1, F.col("length").cast("int"))
+    return located.join(texts, "hash").select("shard_id", "piece_index", "offset", data.alias("data"))
+
+
 @query()
 def erasure_recovery(spark, folder):
-    """Pieces of packed documents, encoded 4 + 2, recovered after two of each shard are lost."""
-    docs = read(spark, folder, "documents").select((F.floor(F.col("doc_id") / 4)).alias("shard_id"), (F.col("doc_id") % 4).cast("int").alias("piece_index"), F.substring("text", 1, 400).cast("binary").alias("data"))
-    coded = erasure.encode(docs, 4, 2, 1600)
+    """Pieces of the packed whole documents, encoded 4 + 2, recovered after two of each shard are lost."""
+    coded = erasure.encode(parts_of_pieces(spark, folder), SHARD_PIECES, 2, SHARD_BYTES // SHARD_PIECES)
     lost = coded.where((F.col("piece_index") != F.col("shard_id") % 4) & (F.col("piece_index") != (F.col("shard_id") + 1) % 4))
-    found = erasure.reconstruct(lost, 4, 2)
+    found = erasure.reconstruct(lost, SHARD_PIECES, 2)
     both = found.join(coded.select("shard_id", "piece_index", "piece_hash"), ["shard_id", "piece_index"])
     return both.select("shard_id", "piece_index", (F.sha2("data", 256) == F.col("piece_hash")).alias("recovered"))
 

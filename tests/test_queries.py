@@ -44,3 +44,20 @@ def test_recovered_and_compressed(spark):
     rows = QUERIES["erasure_recovery"](spark, SF).collect()
     assert rows and all(r.recovered for r in rows)
     assert all(r.same for r in QUERIES["compressed_roundtrip"](spark, SF).collect())
+
+
+def test_erasure_recovery_covers_whole_texts(spark):
+    from stowage.plans import registry
+
+    texts = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL").collect():
+        texts[r.text] = min(r.doc_id, texts.get(r.text, r.doc_id))
+    stream = b"".join(text.encode() for text in sorted(texts, key=texts.get))
+    piece = registry.SHARD_BYTES // registry.SHARD_PIECES
+    parts = registry.parts_of_pieces(spark, SF).collect()
+    assert sum(len(r.data) for r in parts) == len(stream)
+    for r in parts:
+        start = r.shard_id * registry.SHARD_BYTES + r.piece_index * piece + r.offset
+        assert stream[start : start + len(r.data)] == bytes(r.data)
+    shards = -(-len(stream) // registry.SHARD_BYTES)
+    assert {r.shard_id for r in QUERIES["erasure_recovery"](spark, SF).collect()} == set(range(shards))
