@@ -1,32 +1,34 @@
 """Quality scores by co-training a text-content and a page-metadata classifier.
 
 Both views are logistic regressions. They start from labelled documents and
-then, for a few rounds, each labels those documents of an unlabelled pool it is
+then, for a few rounds, each labels those of all other documents it is
 sure of, for the other view to learn from. A held-out part of the labels
 calibrates the two views and fits the weights of their combination, which
 scores all documents.
 
-The classifiers are fitted on the driver from MOST_LABELLED labelled documents
-and a pool of POOL others, both chosen by hash: as in the method's original
-form the pool is a bounded random sample. Both bounds are parameters.
+The labels of MOST_LABELLED documents, chosen by hash, are used. All other documents
+are unlabelled ones: every round scores all of them, and each of Newton's steps adds up gradients
+and Hessians of all labelled and confident rows where they lie, so only sums reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
 from .words import WordHashes, shared_hashes, split_words, word_hashes
+from .workspace import discard, keep
 
 MOST_LABELLED = 8000
-POOL = 8000
 WORD_BUCKETS = 256
 SOURCE_BUCKETS = 64
 LANG_BUCKETS = 16
@@ -119,37 +121,93 @@ class Model:
         return *sides, 1 / (1 + np.exp(-(both[0] * logits[0] + both[1] * logits[1] + both[2])))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, folds: np.ndarray, rounds: int = 3, sure: float = 0.98, unsure: float = 0.1) -> Model:
-    """Co-training; ``labels`` is 0, 1 or -1 for the pool, ``folds`` True where labels only calibrate.
+def newton_step(slope: np.ndarray, curve: np.ndarray, beta: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """The step from ``beta`` by the sums of all rows; the last column is the intercept."""
+    penalty = np.full(len(beta), ridge)
+    penalty[-1] = 1e-6
+    return np.linalg.solve(curve + np.diag(penalty), slope - penalty * beta)
+
+
+def chance(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+
+
+#: Rows of sums are added up in this many tasks before they go to the driver.
+SUMMED = 8
+
+
+def sums(features: DataFrame, givers: list[np.ndarray] | None, betas: list[np.ndarray], sure: float, unsure: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Gradient and Hessian of each view's likelihood at ``betas``.
+
+    Rows are the labelled ones outside the fold that calibrates and, if there are ``givers``, the
+    unlabelled ones that the other view's weights are sure of, with weight 0.3.
+    """
+    widths = [len(b) for b in betas]
+    shared = features.sparkSession.sparkContext.broadcast((givers, betas))
+
+    def partial(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        givers, betas = shared.value
+        total = [np.zeros((w, w + 1)) for w in widths]
+        for frame in frames:
+            label, fold = frame.column(0).to_numpy(), frame.column(1).to_numpy(zero_copy_only=False)
+            both = [np.frombuffer(b"".join(frame.column(i).to_pylist()), np.float32).reshape(len(label), -1) for i in (2, 3)]
+            for taker in (0, 1):
+                y = np.where(fold, -1, label)
+                if givers is not None:
+                    p = chance(both[1 - taker], givers[1 - taker])
+                    y = np.where(label < 0, np.where(p >= sure, 1, np.where(p <= unsure, 0, -1)), y)
+                on = y >= 0
+                x, weights = both[taker][on].astype(np.float64), np.where(label[on] >= 0, 1.0, 0.3)
+                p = chance(x, betas[taker])
+                total[taker][:, 0] += x.T @ (weights * (y[on] - p))
+                total[taker][:, 1:] += (x * (weights * p * (1 - p) + 1e-9)[:, None]).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMMED], pa.int32()), pa.array([b"".join(t.tobytes() for t in total)], pa.binary())], names=["task", "total"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(t, np.float64) for t in group.column("total").to_pylist())
+        return pa.table({"total": pa.array([total.tobytes()], pa.binary())})
+
+    parts = features.select("label", "fold", "text", "meta").mapInArrow(partial, "task int, total binary").groupBy("task").applyInArrow(add, "total binary").collect()
+    flat = sum((np.frombuffer(r.total, np.float64) for r in parts), np.zeros(sum(w * (w + 1) for w in widths)))
+    out = []
+    for w in widths:
+        both, flat = flat[: w * (w + 1)].reshape(w, w + 1), flat[w * (w + 1) :]
+        out.append((both[:, 0], both[:, 1:]))
+    return out
+
+
+def co_train(features: DataFrame, rounds: int = 3, sure: float = 0.98, unsure: float = 0.1, steps: int = 12) -> Model:
+    """Co-training on rows of label (0, 1 or -1), fold (true where labels only calibrate), text and meta.
 
     Without labels of both classes every score is the share of ones (0.5 without any).
     """
-    fit_on, check_on = (labels >= 0) & ~folds, (labels >= 0) & folds
-    known = labels[labels >= 0]
-    if len(np.unique(labels[fit_on])) < 2 or len(np.unique(labels[check_on])) < 2:
-        share = np.clip(known.mean() if len(known) else 0.5, 1e-6, 1 - 1e-6)
+    counts = {(r.fold, r.label): r.n for r in features.where("label >= 0").groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 4:
+        known = sum(counts.values())
+        share = np.clip(sum(n for (_, label), n in counts.items() if label) / known if known else 0.5, 1e-6, 1 - 1e-6)
         odds = np.log(share / (1 - share))
-        return Model(np.zeros(text.shape[1]), np.zeros(meta.shape[1]), np.array([[1, odds], [1, odds]]), np.array([0, 0, odds]))
-    views = [text, meta]
-    pool = labels < 0
-    lent = [np.full(len(labels), -1), np.full(len(labels), -1)]  # pseudo-labels for each view
-    weights = []
+        return Model(np.zeros(TEXT_SIZE), np.zeros(META_SIZE), np.array([[1, odds], [1, odds]]), np.array([0, 0, odds]))
+    weights, givers = [np.zeros(TEXT_SIZE), np.zeros(META_SIZE)], None
     for turn in range(rounds + 1):
-        weights = []
-        for view, extra in zip(views, lent):
-            own = fit_on | (extra >= 0)
-            y = np.where(fit_on, labels, extra)[own].astype(float)
-            weights.append(fit_logistic(view[own], y, np.where(fit_on, 1.0, 0.3)[own]))
-        if turn == rounds:
-            break
-        for giver, taker in ((0, 1), (1, 0)):
-            p = 1 / (1 + np.exp(-np.clip(views[giver] @ weights[giver], -30, 30)))
-            lent[taker] = np.where(pool & (p >= sure), 1, np.where(pool & (p <= unsure), 0, -1))
-    truth = labels[check_on].astype(float)
-    ones = np.ones(len(truth))
-    logits = [np.clip(view[check_on] @ w, -30, 30) for view, w in zip(views, weights)]
-    calibration = np.stack([fit_logistic(np.stack((z, ones), 1), truth, ones, 0.01) for z in logits])
-    combination = fit_logistic(np.stack((*logits, ones), 1), truth, ones, 0.01)
+        rows = features.where("label >= 0") if givers is None else features
+        for _ in range(steps):
+            step = [newton_step(*s, beta) for s, beta in zip(sums(rows, givers, weights, sure, unsure), weights)]
+            weights = [beta + s for beta, s in zip(weights, step)]
+            if max(np.abs(s).max() for s in step) < 1e-6:
+                break
+        givers = weights
+    shared = features.sparkSession.sparkContext.broadcast(weights)
+
+    def logits(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            found = [np.clip(np.frombuffer(b"".join(frame.column(i).to_pylist()), np.float32).reshape(frame.num_rows, -1) @ w, -30, 30) for i, w in enumerate(shared.value, 1)]
+            yield pa.RecordBatch.from_arrays([frame.column(0), *map(pa.array, found)], names=["label", "a", "b"])
+
+    held = features.where("label >= 0 AND fold").select("label", "text", "meta").mapInArrow(logits, "label int, a double, b double")
+    held = np.array([tuple(r) for r in held.groupBy("label", "a", "b").agg(F.count("*").alias("n")).orderBy("a", "b", "label").collect()], np.float64)
+    truth, sides, many, ones = held[:, 0], held[:, 1:3].T, held[:, 3], np.ones(len(held))
+    calibration = np.stack([fit_logistic(np.stack((z, ones), 1), truth, many, 0.01) for z in sides])
+    combination = fit_logistic(np.stack((*sides, ones), 1), truth, many, 0.01)
     return Model(weights[0], weights[1], calibration, combination)
 
 
@@ -158,31 +216,30 @@ def views(docs: DataFrame) -> list[Column]:
     return [F.col("text"), F.col("source").cast("string"), F.col("lang").cast("string"), size]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, pool: int = POOL) -> Model:
-    """Fit from the labels (several of one document: their mean, half counts as 1)."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+def training_rows(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """label, fold, text and meta (packed floats) of every row of ``docs``; label is -1 but for the labelled documents taken."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    taken = marked.orderBy(*order).limit(most_labelled)
-    others = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(*order).limit(pool).distinct()
-    chosen = taken.unionByName(others.withColumn("label", F.lit(-1))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    width = f"array<float>"
-
-    @F.arrow_udf(f"struct<text:{width},meta:{width}>")
-    def view(text: pa.Array, source: pa.Array, lang: pa.Array, size: pa.Array) -> pa.Array:
-        a = text_view(text.to_pylist(), shared_hashes())
-        b = meta_view(source.to_pylist(), lang.to_pylist(), size.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(list(a), pa.list_(pa.float32())), pa.array(list(b), pa.list_(pa.float32()))], names=["text", "meta"])
-
-    # the chosen ids are bounded by the two parameters, so they may be broadcast
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", view(*views(docs)).alias("v"))
-    rows = sample.select("doc_id", "label", "v.text", "v.meta").limit(4 * (most_labelled + pool)).toArrow()
-    ids, y = rows.column("doc_id").to_pylist(), np.array(rows.column("label").to_pylist(), np.int64)
-    if not len(y):
-        return co_train(np.zeros((0, TEXT_SIZE)), np.zeros((0, META_SIZE)), y, np.zeros(0, bool))
-    matrix = [rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(y), -1) for c in ("text", "meta")]
-    folds = np.array([xxhash.xxh64_intdigest(f"fold{i}") % 3 == 0 for i in ids])
-    order_rows = np.lexsort((matrix[0][:, 0], np.array(ids)))  # the same sums whatever order rows came in
-    return co_train(matrix[0][order_rows], matrix[1][order_rows], y[order_rows], folds[order_rows])
+    taken = marked.orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(most_labelled)
+
+    @F.arrow_udf("struct<text:binary,meta:binary,fold:boolean>")
+    def view(doc_id: pa.Array, text: pa.Array, source: pa.Array, lang: pa.Array, size: pa.Array) -> pa.Array:
+        texts = text.to_pylist()
+        a = [row.tobytes() for begin, end in _slices(texts, 2_000_000) for row in text_view(texts[begin:end], shared_hashes())]
+        b = [row.tobytes() for row in meta_view(source.to_pylist(), lang.to_pylist(), size.to_pylist())]
+        folds = [xxhash.xxh64_intdigest(f"fold{i}") % 3 == 0 for i in doc_id.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(folds, pa.bool_())], names=["text", "meta", "fold"])
+
+    # the ids taken are bounded by the parameter, so they may be broadcast
+    rows = docs.join(F.broadcast(taken), "doc_id", "left").select(F.coalesce("label", F.lit(-1)).alias("label"), view(F.col("doc_id"), *views(docs)).alias("v"))
+    return rows.select("label", "v.fold", "v.text", "v.meta")
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
+    """Fit from the labels (several of one document: their mean, half counts as 1) and all other documents."""
+    features, path = keep(training_rows(docs, labels, most_labelled), "co-training")
+    model = co_train(features)
+    discard(docs.sparkSession, path)
+    return model
 
 
 SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("score_text", "score_meta", "score")])

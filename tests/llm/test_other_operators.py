@@ -262,6 +262,19 @@ def test_co_training_beats_its_labels(spark):
     assert cotraining.score_documents(df.limit(0), none).count() == 0
 
 
+def test_co_training_learns_from_every_document(spark):
+    docs = [(i, "river stone" if i % 2 else "BUY!! $$$", "en", "a" if i % 2 else "b", None) for i in range(60)] * 2 + [(7000 + i, "x", "en", "rare", None) for i in range(9000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows = cotraining.training_rows(df, marks)
+    assert {r.label: r["count"] for r in rows.groupBy("label").count().collect()} == {0: 60, 1: 60, -1: 9000}
+    lend = [np.zeros(cotraining.TEXT_SIZE), np.zeros(cotraining.META_SIZE)]
+    lend[0][-1] = 9.0  # sure of every document
+    zero = [np.zeros_like(w) for w in lend]
+    alone, lent = (cotraining.sums(rows, g, zero, 0.98, 0.1)[1][0] for g in (None, lend))
+    assert np.isclose((lent - alone)[-1], 9000 * 0.3 * 0.5)
+
+
 def test_held_out_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
