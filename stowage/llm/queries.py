@@ -107,7 +107,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document at rates that even out the sources, with their global random position."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rates = mixing.source_rates(docs)
-    copies = mixing.replicate(docs.select("doc_id", "source", F.lit(None).cast("string").alias("text")), rates)
+    # the text is the key of rows without doc_id only
+    copies = mixing.replicate(docs.select("doc_id", "source", F.when(F.col("doc_id").isNull(), F.col("text")).alias("text")), rates)
     rows, _ = keep(copies.select("_row.doc_id", "_row.source", F.col("_copy").alias("copy_no"), "_order"), "copies")
     placed = mixing.global_positions(rows, ["doc_id", "copy_no"])
     return placed.select("doc_id", "source", "copy_no", F.col("position").cast("long").alias("position"))

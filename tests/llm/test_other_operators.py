@@ -174,6 +174,14 @@ def test_mixing_reaches_target_weights(spark):
     assert [r._order for r in sorted(placed, key=lambda r: r.position)] == sorted(r._order for r in placed)
 
 
+def test_mixing_draws_rows_without_doc_id_by_text(spark, tmp_path):
+    docs = spark.createDataFrame([(None, f"text {i}", "a") for i in range(40)] + [(i, "z", "b") for i in range(9)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((r._row.source, r._copy) for r in mixing.replicate(docs, mixing.source_rates(docs)).collect())
+    got = sorted((r.source, r.copy_no) for r in queries.op4_mixing(spark, str(tmp_path)).collect())
+    assert got == want and len({c for s, c in got if s == "a"}) > 1
+
+
 def ring(points, shards, vnodes, n):
     """Every row that fits at home stays; the others go on clockwise, in ring order."""
     at = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
