@@ -33,21 +33,27 @@ def op1_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH turns AS (
+WITH RECURSIVE turns AS (
   SELECT conv_id, turn, role, text, coalesce(role IN ('assistant', 'tool'), false) AS answer FROM conversations
 ), calls AS (
   SELECT conv_id, turn, role, text, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id FROM turns WHERE NOT answer
 ), results AS (
   SELECT conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS call_id, arg_min(text, turn) AS content, count(*) AS n
   FROM turns WHERE answer GROUP BY 1
-)
-SELECT c.conv_id, c.turn, c.call_id, r.n IS NOT NULL AS linked, c.turn AS position,
+), deps AS (
+  SELECT DISTINCT c.call_id, d.call_id AS dep FROM calls c JOIN calls d ON d.conv_id = c.conv_id AND d.turn IN (c.turn - 1, c.turn - 2)
+), walk AS (
+  SELECT DISTINCT call_id, 0::BIGINT AS level FROM calls
+  UNION
+  SELECT deps.call_id, walk.level + 1 FROM walk JOIN deps ON deps.dep = walk.call_id
+), levels AS (SELECT call_id, max(level) AS level FROM walk GROUP BY 1)
+SELECT c.conv_id, c.turn, c.call_id, r.n IS NOT NULL AS linked, l.level AS position,
   c.text IS NOT NULL AND length(c.text) > 0 AND coalesce(c.role IN ('user', 'system'), false) AND c.turn >= 0 AS valid,
   '{"arguments":{"prompt":' || to_json(c.text)::VARCHAR || ',"role":' || to_json(c.role)::VARCHAR || ',"turn":' || c.turn::VARCHAR
   || '},"depends_on":["' || least(c.conv_id::VARCHAR || ':' || (c.turn - 1)::VARCHAR, c.conv_id::VARCHAR || ':' || (c.turn - 2)::VARCHAR)
   || '","' || greatest(c.conv_id::VARCHAR || ':' || (c.turn - 1)::VARCHAR, c.conv_id::VARCHAR || ':' || (c.turn - 2)::VARCHAR)
   || '"],"id":"' || c.call_id || '","name":"reply","result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
-FROM calls c LEFT JOIN results r USING (call_id)
+FROM calls c LEFT JOIN results r USING (call_id) LEFT JOIN levels l USING (call_id)
 """
 
 

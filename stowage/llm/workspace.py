@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -46,3 +47,21 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: A group of more than this part of all rows is dealt to several tasks.
+HOT = 256
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], spread: list[str], how: str) -> DataFrame:
+    """Joins each of ``rows`` with its group; a hot group's rows go to many tasks, by a hash of ``spread``.
+
+    ``groups`` is a written table with one row per key and n, the number of ``rows`` it has. Fewer than HOT
+    groups can have more than a HOT-th of all, so these are broadcast at any size of input.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = groups.where(F.col("n") * HOT > total).select(*keys, F.ceil(F.col("n") * HOT / max(total, 1)).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("_parts")
+    spreads = groups.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts", "n")
+    return dealt.join(spreads, [*keys, "_part"], how).drop("_part")

@@ -62,21 +62,57 @@ def test_tool_calls(spark):
     assert toolcalls.link_calls(calls.limit(0), results.limit(0), SCHEMAS).count() == 0
 
 
-def test_tool_call_order_by_group(spark):
-    rows = [("a", [], "g", 5), ("b", ["a"], "g", 9), ("c", ["d"], "h", 1), ("d", [], "h", 2), ("e", ["c", "d"], "h", 3), ("f", ["a", "f"], "i", 1), ("x", [], "j", 4)]
-    calls = spark.createDataFrame(rows, "call_id string, depends_on array<string>, group string, seq long")
+def brute_levels(deps):
+    """Longest paths; None on or behind a cycle."""
+    out, open_ = {}, dict(deps)
+    while True:
+        ready = [k for k, v in open_.items() if all(d in out for d in v if d in deps and d != k)]
+        if not ready:
+            return {k: out.get(k) for k in deps}
+        for k in ready:
+            out[k] = max((out[d] + 1 for d in open_.pop(k) if d in deps and d != k), default=0)
+
+
+def test_tool_call_levels_equal_brute_force(spark):
+    rng = random.Random(2)
+    deps = {f"line{i}": [f"line{i - 1}", f"line{i - 2}"] for i in range(300)} | {f"one{i}": [f"one{i - 1}"] for i in range(200)}
+    deps |= {f"r{i}": [f"r{rng.randrange(i)}" for _ in range(rng.randrange(4))] if i else [] for i in range(150)}
+    deps |= {f"hub{i}": ["line299", f"hub{i - 1}"] for i in range(60)}
+    deps |= {f"x{i}": [f"x{rng.randrange(40)}" for _ in range(rng.randrange(3))] + [f"r{rng.randrange(150)}"] for i in range(40)}
+    deps |= {"o1": ["o2"], "o2": ["o3", "r1"], "o3": ["o1"], "behind": ["o1", "o2", "o3", "r3"], "self": ["self", "r2"]}
+    calls = spark.createDataFrame([(k, v) for k, v in deps.items()], "call_id string, depends_on array<string>")
     got = {r.call_id: r.position for r in toolcalls.order_calls(calls).collect()}
-    # h's numbers contradict its dependencies; g and i share one
-    assert got == {"a": 0, "b": 1, "f": 1, "d": 0, "c": 1, "e": 2, "x": 4}
-    assert {r.call_id: r.position for r in toolcalls.order_calls(calls.where("group = 'g'")).collect()} == {"a": 5, "b": 9}
+    assert got == brute_levels(deps)
+
+
+def test_schema_keywords(spark):
+    schema = {
+        "properties": {
+            "a": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "string", "pattern": "^x"}}, "b": {"type": "integer", "exclusiveMinimum": 0, "exclusiveMaximum": 9},
+            "c": {"type": "object", "properties": {"d": {"const": 3}}, "required": ["d"], "additionalProperties": {"type": "null"}}, "e": {"enum": [1, "1", None, [2]]}, "f": {"maxLength": 2},
+        },
+        "description": "all of them",
+    }
+    cases = {
+        '{"a":[]}': False, '{"a":["x"]}': True, '{"a":["x","y"]}': False, '{"a":["x",1]}': False, '{"a":["x","x","x"]}': False, '{"a":["x",null]}': False, '{"b":1}': True, '{"b":1e0}': True, '{"b":1.5}': False,
+        '{"b":0}': False, '{"b":9}': False, '{"c":{"d":3}}': True, '{"c":{"d":3,"z":null}}': True, '{"c":{"d":3,"z":1}}': False, '{"c":{}}': False, '{"e":"1"}': True, '{"e":1}': True, '{"e":2}': False,
+        '{"e":[2]}': True, '{"e":null}': True, '{"f":"abc"}': False, '{"f":12345}': True, "[]": False, '{"z":1e400}': False, '{"z":' + "1" * 44 + "}": False, '{"z":"' + "1" * 44 + ' 1e400"}': True,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "j string")
+    got = {r.j: r.v for r in df.select("j", toolcalls.validate(F.col("j"), schema).alias("v")).collect()}
+    assert got == cases
+    with pytest.raises(ValueError, match="oneOf"):
+        toolcalls.validate(F.col("j"), {"properties": {"a": {"oneOf": []}}})
 
 
 def test_tool_call_turns(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "r"), (1, 3, "user", ""), (None, 0, "user", "x"), (2, None, "user", "x"), (2, 0, None, None), (3, 0, "user", "u"), (3, 0, "user", "u"), (3, 1, "tool", "t")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("json", F.lit("clash"))
-    got = toolcalls.link_calls(*toolcalls.calls_of_turns(turns), toolcalls.REPLY_SCHEMAS)
+    calls, results = toolcalls.calls_of_turns(turns)
+    got = toolcalls.link_calls(calls.withColumn("_first", F.lit("clash")).withColumn("_row", F.lit("clash")), results, toolcalls.REPLY_SCHEMAS)
+    assert {r["_first"] for r in got.collect()} == {r["_row"] for r in got.collect()} == {"clash"}
     by = sorted((str(r.conv_id), str(r.turn), r.linked, r.position, r.valid) for r in got.collect())
-    assert by == [("1", "0", False, 0, True), ("1", "1", True, 1, True), ("1", "3", False, 3, False), ("2", "0", False, 0, False), ("2", "None", False, None, False), ("3", "0", True, 0, True), ("3", "0", True, 0, True), ("None", "0", False, None, True)]
+    assert by == [("1", "0", False, 0, True), ("1", "1", True, 1, True), ("1", "3", False, 2, False), ("2", "0", False, 0, False), ("2", "None", False, None, False), ("3", "0", True, 0, True), ("3", "0", True, 0, True), ("None", "0", False, None, True)]
 
 
 def brute_vectors(rows, cosine=0.9):
