@@ -99,7 +99,7 @@ def test_schema_keywords(spark):
         '{"e":[2]}': True, '{"e":null}': True, '{"f":"abc"}': False, '{"f":12345}': True, "[]": False, '{"z":1e400}': False, '{"z":' + "1" * 44 + "}": False, '{"z":"' + "1" * 44 + ' 1e400"}': True,
     }
     df = spark.createDataFrame([(k,) for k in cases], "j string")
-    got = {r.j: r.v for r in df.select("j", toolcalls.validate(F.col("j"), schema).alias("v")).collect()}
+    got = {r.j: r.v for r in df.select("j", toolcalls.validate(toolcalls.parsed(F.col("j")), schema).alias("v")).collect()}
     assert got == cases
     with pytest.raises(ValueError, match="oneOf"):
         toolcalls.validate(F.col("j"), {"properties": {"a": {"oneOf": []}}})
@@ -155,6 +155,20 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("dims", [2, 3, 8, 24, 64])
+def test_no_link_is_missed_in_any_number_of_dimensions(dims):
+    rng = np.random.default_rng(dims)
+    base = rng.normal(size=(400, dims))
+    base = base / np.linalg.norm(base, axis=1, keepdims=True)
+    rows = np.concatenate((base, base + rng.normal(size=base.shape) * 0.45 / np.sqrt(dims)))
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    index = pq.Index.fit(units, 40)
+    at, _, _, border = index.encode(units)
+    searched = border <= np.sqrt(0.2) / 2 + pq.ROUNDING
+    a, b = np.nonzero(np.triu(units @ units.T >= 0.9, 1))
+    assert len(a) > 100 and (searched[a, at[b]] | searched[b, at[a]]).all()
+
+
 def test_links_between_tight_groups(spark):
     rng = np.random.default_rng(3)
     a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
@@ -319,6 +333,36 @@ def test_co_training_learns_from_every_document(spark):
     assert np.isclose((lent - alone)[-1], 9000 * 0.3 * 0.5)
 
 
+def test_co_training_equals_brute_force(spark):
+    """Rounds of pseudo-labels on all documents in one process, by the same steps on dense matrices."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = cotraining.training_rows(docs, labels)
+    model = cotraining.co_train(rows)
+    held = rows.collect()
+    label, fold = np.array([r.label for r in held]), np.array([r.fold for r in held])
+    views = [np.stack([np.frombuffer(r.text, np.float16) for r in held]).astype(float), cotraining.meta_view(np.stack([np.frombuffer(r.meta, np.uint8) for r in held])).astype(float)]
+    assert {-1, 0, 1} == set(label.tolist())
+
+    def newton(x, y, weights, beta, steps):
+        penalty = np.r_[np.ones(x.shape[1] - 1), 1e-6]
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-x @ beta))
+            beta = beta + np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weights * (y - p)) - penalty * beta)
+        return beta
+
+    own = (label >= 0) & ~fold
+    found = [newton(x[own], label[own], np.ones(own.sum()), np.zeros(x.shape[1]), 12) for x in views]
+    for _ in range(3):
+        p = [1 / (1 + np.exp(-x @ b)) for x, b in zip(views, found)]
+        after = []
+        for me in (0, 1):
+            y = np.where(own, label, np.where(label >= 0, -1, np.where(p[1 - me] >= 0.98, 1, np.where(p[1 - me] <= 0.1, 0, -1))))
+            on = y >= 0
+            after.append(newton(views[me][on], y[on], np.where(own[on], 1.0, 0.3), found[me], cotraining.STEPS))
+        found = after
+    assert np.allclose(found[0], model.text, atol=1e-3) and np.allclose(found[1], model.meta, atol=1e-3)
+
+
 def test_held_out_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
