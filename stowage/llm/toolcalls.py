@@ -112,17 +112,16 @@ def parsed(arguments: Column) -> Column:
     return F.when(exact, F.try_parse_json(arguments))
 
 
-def validate(arguments: Column, schema: dict) -> Column:
-    """Whether a JSON text is an object that meets ``schema``. What isn't JSON (see ``parsed``) is invalid."""
-    value = parsed(arguments)
+def validate(value: Column, schema: dict) -> Column:
+    """Whether a variant is an object that meets ``schema``; null, what isn't JSON (see ``parsed``), isn't."""
     return F.coalesce(has_kind(value, "object") & meets(value, schema), F.lit(False))
 
 
-def validate_calls(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
+def validate_calls(name: Column, value: Column, schemas: dict[str, dict]) -> Column:
     """Validity by the tool's own schema; calls of unknown tools are invalid."""
     out = F.lit(False)
     for tool, schema in schemas.items():
-        out = F.when(name == tool, validate(arguments, schema)).otherwise(out)
+        out = F.when(name == tool, validate(value, schema)).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
@@ -221,9 +220,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     )
     order = order_calls(calls.select("call_id", "depends_on"))
     packed = calls.select("call_id", F.struct(*[F.col(f"`{c}`") for c in calls.columns]).alias("_row"))
-    joined = packed.join(found, "call_id", "left").join(order, "call_id", "left")
-    value = parsed(F.col("_row.arguments"))
-    arguments = F.to_json(value)
+    joined = packed.join(found, "call_id", "left").join(order, "call_id", "left").withColumn("value", parsed(F.col("_row.arguments")))
+    arguments = F.to_json("value")
     fields = {
         "arguments": F.coalesce(arguments, F.to_json(F.struct(F.col("_row.arguments").alias("invalid")))),
         "depends_on": F.coalesce(F.to_json(F.array_sort(F.array_compact(F.array_distinct(F.col("_row.depends_on"))))), F.lit("[]")),
@@ -237,7 +235,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         F.coalesce("n_results", F.lit(0)).alias("n_results"),
         F.col("n_results").isNotNull().alias("linked"),
         "position",
-        validate_calls(F.col("_row.name"), F.col("_row.arguments"), schemas).alias("valid"),
+        validate_calls(F.col("_row.name"), F.col("value"), schemas).alias("valid"),
         F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")).alias("json"),
     )
 
