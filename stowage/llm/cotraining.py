@@ -9,6 +9,8 @@ scores all documents.
 The labels of MOST_LABELLED documents, chosen by hash, are used. All other documents
 are unlabelled ones: every round scores all of them, and each of Newton's steps adds up gradients
 and Hessians of all labelled and confident rows where they lie, so only sums reach the driver.
+Each round starts from the weights of the last one and takes STEPS steps, which is enough to settle
+to some 1e-3; so all documents are read rounds x STEPS times, as half-precision views of some 550 bytes each.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .words import WordHashes, shared_hashes, split_words, word_hashes
 from .workspace import discard, keep
 
 MOST_LABELLED = 8000
+#: Newton's steps of a round over all documents.
+STEPS = 2
 WORD_BUCKETS = 256
 SOURCE_BUCKETS = 64
 LANG_BUCKETS = 16
@@ -49,7 +53,7 @@ META_SIZE = SOURCE_BUCKETS + LANG_BUCKETS + SIZE_BUCKETS + 1
 
 
 def text_view(texts: list[str | None], cache: WordHashes) -> np.ndarray:
-    """Hashed words (signed roots of counts, unit length) and shares of style, one row per text."""
+    """Hashed words (signed roots of counts, unit length) and shares of style, one row per text, rounded to half precision."""
     out = np.zeros((len(texts), TEXT_SIZE), np.float32)
     cache.trim()
     for i, text in enumerate(texts):
@@ -72,17 +76,25 @@ def text_view(texts: list[str | None], cache: WordHashes) -> np.ndarray:
             1 - len(set(lines)) / len(lines),
             np.log1p(len(lines)) / 10,
         )
-    return out
+    # as precise as what the models are fitted on
+    return out.astype(np.float16).astype(np.float32)
+
+
+META_OFFSETS = np.array([0, SOURCE_BUCKETS, SOURCE_BUCKETS + LANG_BUCKETS])
 
 
-def meta_view(sources: list, langs: list, sizes: list) -> np.ndarray:
-    """One-hot of the hashed source and language and of the size in half octaves; nulls have their own value."""
-    out = np.zeros((len(sources), META_SIZE), np.float32)
-    rows = np.arange(len(sources))
-    out[rows, [xxhash.xxh64_intdigest(f"s{s}") % SOURCE_BUCKETS for s in sources]] = 1
-    out[rows, [SOURCE_BUCKETS + xxhash.xxh64_intdigest(f"l{s}") % LANG_BUCKETS for s in langs]] = 1
-    octave = [0 if s is None or s < 1 else min(SIZE_BUCKETS - 1, int(2 * np.log2(s)) // 2 + 1) for s in sizes]
-    out[rows, [SOURCE_BUCKETS + LANG_BUCKETS + o for o in octave]] = 1
+def meta_codes(sources: list, langs: list, sizes: list) -> np.ndarray:
+    """Bucket of the hashed source and language, and the size in octaves (0: null or empty), one row per page."""
+    sources = [xxhash.xxh64_intdigest(f"s{s}") % SOURCE_BUCKETS for s in sources]
+    langs = [xxhash.xxh64_intdigest(f"l{s}") % LANG_BUCKETS for s in langs]
+    octaves = [0 if s is None or s < 1 else min(SIZE_BUCKETS - 1, int(np.log2(s)) + 1) for s in sizes]
+    return np.array([sources, langs, octaves], np.uint8).reshape(3, -1).T
+
+
+def meta_view(codes: np.ndarray) -> np.ndarray:
+    """Codes one-hot, and the intercept."""
+    out = np.zeros((len(codes), META_SIZE), np.float32)
+    out[np.arange(len(codes))[:, None], codes + META_OFFSETS] = 1
     out[:, -1] = 1
     return out
 
@@ -128,6 +140,12 @@ def newton_step(slope: np.ndarray, curve: np.ndarray, beta: np.ndarray, ridge: f
     return np.linalg.solve(curve + np.diag(penalty), slope - penalty * beta)
 
 
+def unpacked(frame: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two views of rows whose packed forms are columns ``first`` and the next one."""
+    text, meta = (b"".join(frame.column(i).to_pylist()) for i in (first, first + 1))
+    return np.frombuffer(text, np.float16).reshape(frame.num_rows, -1).astype(np.float32), meta_view(np.frombuffer(meta, np.uint8).reshape(frame.num_rows, -1))
+
+
 def chance(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
 
@@ -150,17 +168,18 @@ def sums(features: DataFrame, givers: list[np.ndarray] | None, betas: list[np.nd
         total = [np.zeros((w, w + 1)) for w in widths]
         for frame in frames:
             label, fold = frame.column(0).to_numpy(), frame.column(1).to_numpy(zero_copy_only=False)
-            both = [np.frombuffer(b"".join(frame.column(i).to_pylist()), np.float32).reshape(len(label), -1) for i in (2, 3)]
+            both = unpacked(frame, 2)
             for taker in (0, 1):
                 y = np.where(fold, -1, label)
                 if givers is not None:
                     p = chance(both[1 - taker], givers[1 - taker])
                     y = np.where(label < 0, np.where(p >= sure, 1, np.where(p <= unsure, 0, -1)), y)
                 on = y >= 0
-                x, weights = both[taker][on].astype(np.float64), np.where(label[on] >= 0, 1.0, 0.3)
+                x, weights = both[taker][on], np.where(label[on] >= 0, 1.0, 0.3)
                 p = chance(x, betas[taker])
-                total[taker][:, 0] += x.T @ (weights * (y[on] - p))
-                total[taker][:, 1:] += (x * (weights * p * (1 - p) + 1e-9)[:, None]).T @ x
+                total[taker][:, 0] += x.T.astype(np.float64) @ (weights * (y[on] - p))
+                # a step's direction may be in single precision, its target may not
+                total[taker][:, 1:] += (x * (weights * p * (1 - p) + 1e-9)[:, None].astype(np.float32)).T @ x
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMMED], pa.int32()), pa.array([b"".join(t.tobytes() for t in total)], pa.binary())], names=["task", "total"])
 
     def add(group: pa.Table) -> pa.Table:
@@ -176,10 +195,20 @@ def sums(features: DataFrame, givers: list[np.ndarray] | None, betas: list[np.nd
     return out
 
 
-def co_train(features: DataFrame, rounds: int = 3, sure: float = 0.98, unsure: float = 0.1, steps: int = 12) -> Model:
+def climb(rows: DataFrame, givers: list[np.ndarray] | None, weights: list[np.ndarray], sure: float, unsure: float, steps: int) -> list[np.ndarray]:
+    """Both views' weights after at most ``steps`` steps of Newton's method."""
+    for _ in range(steps):
+        step = [newton_step(*s, beta) for s, beta in zip(sums(rows, givers, weights, sure, unsure), weights)]
+        weights = [beta + s for beta, s in zip(weights, step)]
+        if max(np.abs(s).max() for s in step) < 1e-6:
+            break
+    return weights
+
+
+def co_train(features: DataFrame, rounds: int = 3, sure: float = 0.98, unsure: float = 0.1, steps: int = STEPS) -> Model:
     """Co-training on rows of label (0, 1 or -1), fold (true where labels only calibrate), text and meta.
 
-    Without labels of both classes every score is the share of ones (0.5 without any).
+    Without labels of both classes in both parts every score is the share of ones (0.5 without any).
     """
     counts = {(r.fold, r.label): r.n for r in features.where("label >= 0").groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 4:
@@ -187,24 +216,20 @@ def co_train(features: DataFrame, rounds: int = 3, sure: float = 0.98, unsure: f
         share = np.clip(sum(n for (_, label), n in counts.items() if label) / known if known else 0.5, 1e-6, 1 - 1e-6)
         odds = np.log(share / (1 - share))
         return Model(np.zeros(TEXT_SIZE), np.zeros(META_SIZE), np.array([[1, odds], [1, odds]]), np.array([0, 0, odds]))
-    weights, givers = [np.zeros(TEXT_SIZE), np.zeros(META_SIZE)], None
-    for turn in range(rounds + 1):
-        rows = features.where("label >= 0") if givers is None else features
-        for _ in range(steps):
-            step = [newton_step(*s, beta) for s, beta in zip(sums(rows, givers, weights, sure, unsure), weights)]
-            weights = [beta + s for beta, s in zip(weights, step)]
-            if max(np.abs(s).max() for s in step) < 1e-6:
-                break
-        givers = weights
+    labelled, path = keep(features.where("label >= 0"), "co-training-labelled")
+    weights = climb(labelled, None, [np.zeros(TEXT_SIZE), np.zeros(META_SIZE)], sure, unsure, 12)
+    for _ in range(rounds):
+        weights = climb(features, weights, weights, sure, unsure, steps)
     shared = features.sparkSession.sparkContext.broadcast(weights)
 
     def logits(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            found = [np.clip(np.frombuffer(b"".join(frame.column(i).to_pylist()), np.float32).reshape(frame.num_rows, -1) @ w, -30, 30) for i, w in enumerate(shared.value, 1)]
+            found = [np.clip(x @ w, -30, 30) for x, w in zip(unpacked(frame, 1), shared.value)]
             yield pa.RecordBatch.from_arrays([frame.column(0), *map(pa.array, found)], names=["label", "a", "b"])
 
-    held = features.where("label >= 0 AND fold").select("label", "text", "meta").mapInArrow(logits, "label int, a double, b double")
+    held = labelled.where("fold").select("label", "text", "meta").mapInArrow(logits, "label int, a double, b double")
     held = np.array([tuple(r) for r in held.groupBy("label", "a", "b").agg(F.count("*").alias("n")).orderBy("a", "b", "label").collect()], np.float64)
+    discard(features.sparkSession, path)
     truth, sides, many, ones = held[:, 0], held[:, 1:3].T, held[:, 3], np.ones(len(held))
     calibration = np.stack([fit_logistic(np.stack((z, ones), 1), truth, many, 0.01) for z in sides])
     combination = fit_logistic(np.stack((*sides, ones), 1), truth, many, 0.01)
@@ -217,15 +242,15 @@ def views(docs: DataFrame) -> list[Column]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """label, fold, text and meta (packed floats) of every row of ``docs``; label is -1 but for the labelled documents taken."""
+    """label, fold, text and meta (packed) of every row of ``docs``; label is -1 but for the labelled documents taken."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     taken = marked.orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(most_labelled)
 
     @F.arrow_udf("struct<text:binary,meta:binary,fold:boolean>")
     def view(doc_id: pa.Array, text: pa.Array, source: pa.Array, lang: pa.Array, size: pa.Array) -> pa.Array:
         texts = text.to_pylist()
-        a = [row.tobytes() for begin, end in _slices(texts, 2_000_000) for row in text_view(texts[begin:end], shared_hashes())]
-        b = [row.tobytes() for row in meta_view(source.to_pylist(), lang.to_pylist(), size.to_pylist())]
+        a = [row.tobytes() for begin, end in _slices(texts, 2_000_000) for row in text_view(texts[begin:end], shared_hashes()).astype(np.float16)]
+        b = [row.tobytes() for row in meta_codes(source.to_pylist(), lang.to_pylist(), size.to_pylist())]
         folds = [xxhash.xxh64_intdigest(f"fold{i}") % 3 == 0 for i in doc_id.to_pylist()]
         return pa.StructArray.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(folds, pa.bool_())], names=["text", "meta", "fold"])
 
@@ -260,7 +285,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
         texts = text.to_pylist()
         content = [text_view(texts[a:b], cache) for a, b in _slices(texts, 2_000_000)]
         content = np.concatenate(content) if content else np.zeros((0, TEXT_SIZE))
-        found = shared.value.scores(content, meta_view(source.to_pylist(), lang.to_pylist(), size.to_pylist()))
+        found = shared.value.scores(content, meta_view(meta_codes(source.to_pylist(), lang.to_pylist(), size.to_pylist())))
         return pa.StructArray.from_arrays([pa.array(s, pa.float64()) for s in found], names=SCORES.names)
 
     scored = docs.select("doc_id", score(*views(docs)).alias("_s")).select("doc_id", "_s.*")
