@@ -2,23 +2,26 @@
 
 A public vocabulary with byte fallback splits every word. Per document this
 gives characters per token, tokens per word, the share of byte-fallback tokens and the
-entropy of its tokens relative to the most that so many tokens can have. What
-is usual differs between languages and, for the entropy, between lengths; so the
+entropy of its tokens relative to the most that so many tokens can have; a second, byte-level
+vocabulary gives characters per token once more. What
+is usual differs between languages and between lengths; so the
 bands are medians of the corpus per language (or script, where the language is
 null) and per quarter of a doubling of the token count, give or take some interquartile ranges.
+A class of size is its documents and PRIOR imagined ones, spread as those of the classes around it
+are, the nearest first. So a band moves smoothly with length, and few documents or many are treated alike.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
 from .words import resident, split_words
-from .workspace import keep
+from .workspace import join_groups, keep
 
 SYMBOLS = b"#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
@@ -27,7 +30,7 @@ SCRIPT_STARTS = np.array([0x41, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0xE00,
 SCRIPT_NAMES = ["other", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "hangul", "latin", "kana", "cjk", "cjk", "hangul", "other"]
 
 FEATURES = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens")]
+    [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens", "n_byte_level_tokens")]
     + [T.StructField("entropy", T.DoubleType()), T.StructField("script", T.StringType())]
 )
 
@@ -35,19 +38,23 @@ FEATURES = T.StructType(
 class WordTable(dict):
     """Words to codes, with the tokens, characters and symbols of each; bounded by ``limit``."""
 
-    def __init__(self, model: str, limit: int = 1 << 17):
+    def __init__(self, model: str, ranks: str, limit: int = 1 << 17):
         import sentencepiece
+        import tiktoken
+        from tiktoken.load import load_tiktoken_bpe
 
         super().__init__()
         self.limit = limit
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
+        # a word is one piece, led by a space as in running text
+        self.byte_level = tiktoken.Encoding("byte-level", pat_str=r"[\s\S]+", mergeable_ranks=load_tiktoken_bpe(ranks), special_tokens={})
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         self.clear()
 
     def clear(self) -> None:
         super().clear()
         self.new: list[bytes] = []
-        self.chars = self.symbols = self.lengths = self.starts = self.n_bytes = np.zeros(0, np.int64)
+        self.chars = self.symbols = self.lengths = self.starts = self.n_bytes = self.byte_lengths = np.zeros(0, np.int64)
         self.tokens = np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
@@ -66,6 +73,7 @@ class WordTable(dict):
         tokens = np.fromiter((t for s in split for t in s), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(split)), lengths)
         self.n_bytes = np.concatenate((self.n_bytes, np.bincount(owner[self.is_byte[tokens]], minlength=len(split))))
+        self.byte_lengths = np.concatenate((self.byte_lengths, np.fromiter((len(self.byte_level.encode_ordinary(" " + t)) for t in texts), np.int64, len(texts))))
         self.chars = np.concatenate((self.chars, np.fromiter(map(len, texts), np.int64, len(texts))))
         self.symbols = np.concatenate((self.symbols, np.fromiter((len(w) - len(w.translate(None, SYMBOLS)) for w in words), np.int64, len(words))))
         self.lengths = np.concatenate((self.lengths, lengths))
@@ -73,16 +81,21 @@ class WordTable(dict):
         self.starts = np.cumsum(self.lengths) - self.lengths
 
 
-def word_table(model: str) -> WordTable:
-    """The worker's word table of a vocabulary."""
-    return resident(("words", model), lambda: WordTable(model))
+def word_table(model: str, ranks: str) -> WordTable:
+    """The worker's word table of two vocabularies."""
+    return resident(("words", model, ranks), lambda: WordTable(model, ranks))
 
 
 def repeat_words(codes: np.ndarray) -> int:
     """Words in 3-word windows that occur twice or more, the first occurrence included."""
     if len(codes) < 4:
         return 0
-    _, inverse, counts = np.unique((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:], return_inverse=True, return_counts=True)
+    if codes.max() < 1 << 21:
+        windows = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
+    else:  # pairs are numbered first, so that any codes fit
+        _, pairs = np.unique((codes[:-2] << 32) | codes[1:-1], return_inverse=True)
+        windows = (pairs << 32) | codes[2:]
+    _, inverse, counts = np.unique(windows, return_inverse=True, return_counts=True)
     again = counts[inverse] > 1
     if not again.any():
         return 0
@@ -137,13 +150,13 @@ def batch_features(texts: list[str | None], table: WordTable) -> list[tuple]:
     n_tokens = total(table.lengths)
     weighted = np.bincount(tokens[first] >> 32, weights=each * np.log2(each), minlength=len(texts)) if len(tokens) else np.zeros(len(texts))
     rows = []
-    for i, (text, n, chars, symbols, n_byte) in enumerate(zip(texts, n_tokens, total(table.chars), total(table.symbols), total(table.n_bytes))):
+    for i, (text, n, chars, symbols, n_byte, n_level) in enumerate(zip(texts, n_tokens, total(table.chars), total(table.symbols), total(table.n_bytes), total(table.byte_lengths))):
         entropy = float((np.log2(n) - weighted[i] / n) / np.log2(n)) if n > 1 else 0.0
-        rows.append((int(lengths[i]), chars, symbols, dup_lines(text or ""), repeat_words(flat[edges[i] : edges[i + 1]]), n, n_byte, max(0.0, entropy), main_script(text or "")))
+        rows.append((int(lengths[i]), chars, symbols, dup_lines(text or ""), repeat_words(flat[edges[i] : edges[i + 1]]), n, n_byte, n_level, max(0.0, entropy), main_script(text or "")))
     return rows
 
 
-def text_features(text: Column, model: str) -> Column:
+def text_features(text: Column, model: str, ranks: str) -> Column:
     """Struct column FEATURES of each whole text; a null text has no words.
 
     Marked nondeterministic so that filters on its fields don't compute it again.
@@ -151,11 +164,11 @@ def text_features(text: Column, model: str) -> Column:
 
     @F.arrow_udf(FEATURES)
     def features(batch: pa.Array) -> pa.Array:
-        table = word_table(model)
+        table = word_table(model, ranks)
         texts = batch.to_pylist()
         rows = [row for begin, end in _slices(texts, 2_000_000) for row in batch_features(texts[begin:end], table)]
         columns = list(zip(*rows)) if rows else [()] * len(FEATURES)
-        kinds = [pa.int64()] * 7 + [pa.float64(), pa.string()]
+        kinds = [pa.int64()] * 8 + [pa.float64(), pa.string()]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=FEATURES.names)
 
     return features.asNondeterministic()(text)
@@ -164,14 +177,19 @@ def text_features(text: Column, model: str) -> Column:
 #: How far each metric may lie below and above the median, in spreads.
 REACH = {
     "chars_per_token": (4.5, 6.0),
+    "chars_per_byte_level_token": (4.5, 6.0),
     "tokens_per_word": (6.0, 7.0),
     "byte_share": (8.0, 8.0),
     "entropy": (2.75, 7.0),
 }
+#: Metrics are counted in bins of a thousandth, or of 1/128 of a doubling.
+BY_DOUBLINGS = ("chars_per_token", "chars_per_byte_level_token", "tokens_per_word")
 #: A spread is the interquartile range, but this share of the median (and SMALL) at least.
 LEAST_SPREAD, SMALL = 0.02, 0.005
 #: Classes of size per doubling of the token count.
 SIZES = 4
+#: Documents that the classes around one lend it; a class counts half as much as the one before it, up to AROUND away.
+PRIOR, AROUND = 25.0, 8
 
 
 def with_metrics(features: DataFrame) -> DataFrame:
@@ -180,6 +198,7 @@ def with_metrics(features: DataFrame) -> DataFrame:
     return features.withColumns(
         {
             "chars_per_token": F.col("word_chars") / tokens,
+            "chars_per_byte_level_token": F.col("word_chars") / F.greatest(F.col("n_byte_level_tokens"), F.lit(1)),
             "tokens_per_word": F.col("n_tokens") / F.greatest(F.col("n_words"), F.lit(1)),
             "byte_share": F.col("n_byte_tokens") / tokens,
             "band_group": F.coalesce(F.col("lang"), F.concat(F.lit("script:"), F.col("script"))),
@@ -189,49 +208,71 @@ def with_metrics(features: DataFrame) -> DataFrame:
     )
 
 
-def fertility_bands(metrics: DataFrame, least: int = 100) -> DataFrame:
-    """Lowest and highest usual value of each metric per band_group and band_size.
+def bin_of(metric: str) -> Column:
+    value = F.col(metric)
+    return F.floor(128 * F.log2(F.greatest(value, F.lit(2.0**-10))) if metric in BY_DOUBLINGS else 1000 * value).cast("int")
 
-    Quartiles are over all documents that pass the base rules; documents with
-    the same metrics, such as exact copies, count once. A size class of under ``least``
-    documents takes the quartiles of its doubling, or of its whole group.
-    """
-    usable = metrics.where(~F.col("base_failed")).select("band_group", "band_size", F.floor(F.col("band_size") / SIZES).alias("octave"), "n_words", *REACH).distinct()
 
-    def quartiles(prefix: str) -> list[Column]:
-        return [F.count("*").alias(f"{prefix}n"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"{prefix}{m}") for m in REACH]]
+def bin_value(bin_: Column, metric: str) -> Column:
+    """The middle of a bin."""
+    middle = bin_ + 0.5
+    return F.pow(F.lit(2.0), middle / 128) if metric in BY_DOUBLINGS else middle / 1000
+
 
-    bands = usable.groupBy("band_group", "octave", "band_size").agg(*quartiles("size_"))
-    bands = bands.join(usable.groupBy("band_group", "octave").agg(*quartiles("octave_")), ["band_group", "octave"])
-    bands = bands.join(usable.groupBy("band_group").agg(*quartiles("group_")), "band_group")
+def fertility_bands(metrics: DataFrame) -> DataFrame:
+    """Lowest and highest usual value of each metric per band_group and band_size, and n, the number of rows there.
+
+    Quartiles are over all documents that pass the base rules, counted in bins; documents with
+    the same metrics, such as exact copies, count once. The only document of a language is
+    its own band. Nothing wider than the bins of one class meets in a task.
+    """
+    key = ["band_group", "band_size"]
+    usable = metrics.where(~F.col("base_failed")).select(*key, "n_words", *REACH).distinct()
+    binned = usable.select(*key, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bin_of(m).alias("bin")) for m in REACH])).alias("b"))
+    counts, _ = keep(binned.groupBy(*key, "b.metric", "b.bin").agg(F.count("*").alias("n")), "band-counts")
+    present = counts.select(*key).distinct()
+    steps = F.explode(F.sequence(F.lit(-AROUND), F.lit(AROUND))).alias("step")
+    around = counts.select("band_group", "band_size", "metric", "bin", "n", steps).select(
+        "band_group", (F.col("band_size") + F.col("step")).alias("band_size"), "metric", "bin", F.when(F.col("step") == 0, F.col("n")).otherwise(0).alias("own"),
+        (F.col("n") * F.pow(F.lit(0.5), F.abs("step"))).alias("near"),
+    )
+    cells = around.join(present, key, "left_semi").groupBy(*key, "metric", "bin").agg(F.sum("own").alias("own"), F.sum("near").alias("near"))
+    whole = Window.partitionBy(*key, "metric")
+    weight = F.col("own") + PRIOR * F.col("near") / F.sum("near").over(whole)
+    cells = cells.withColumn("weight", weight).withColumn("all", F.sum("own").over(whole) + PRIOR)
+    # rounding may leave the last sum a little short
+    cells = cells.withColumn("below", F.sum("weight").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) + 1e-6)
+    quartile = lambda q, m: bin_value(F.min(F.when((F.col("metric") == m) & (F.col("below") >= q * F.col("all")), F.col("bin"))), m)
+    bands = cells.groupBy(*key).agg(*[quartile(q, m).alias(f"{m}_{i}") for m in REACH for i, q in enumerate((0.25, 0.5, 0.75))])
     out = []
     for m, (below, above) in REACH.items():
-        q = F.when(F.col("size_n") >= least, F.col(f"size_{m}")).when(F.col("octave_n") >= least, F.col(f"octave_{m}")).otherwise(F.col(f"group_{m}"))
-        spread = F.greatest(q[2] - q[0], LEAST_SPREAD * q[1], F.lit(SMALL))
-        out += [(q[1] - below * spread).alias(f"{m}_low"), (q[1] + above * spread).alias(f"{m}_high")]
-    return bands.select("band_group", "band_size", *out)
+        low, middle, high = (F.col(f"{m}_{i}") for i in range(3))
+        spread = F.greatest(high - low, LEAST_SPREAD * middle, F.lit(SMALL))
+        out += [(middle - below * spread).alias(f"{m}_low"), (middle + above * spread).alias(f"{m}_high")]
+    sizes = metrics.groupBy(*key).agg(F.count("*").alias("n"))
+    return bands.join(sizes, key).select(*key, "n", *out)
 
 
-def judge(metrics: DataFrame, bands: DataFrame) -> DataFrame:
+def judge(metrics: DataFrame, bands: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Adds ``kept``: the base rules hold and each metric is in its band.
 
-    The bands have a row per language and size class of the corpus, so Spark
-    may broadcast them or not by their size. Documents without a band (every
-    one of their class fails the base rules) are not kept.
+    ``bands`` is a written table with a row per language and size class of the corpus, which Spark
+    may broadcast or not by its size; if it doesn't, large classes are dealt out by ``doc_id``.
+    Documents without a band (every one of their class fails the base rules) are not kept.
     """
     inside = F.lit(True)
     for m in REACH:
         inside = inside & (F.col(m) >= F.col(f"{m}_low")) & (F.col(m) <= F.col(f"{m}_high"))
-    joined = metrics.join(bands, ["band_group", "band_size"], "left")
+    joined = join_groups(metrics, bands, ["band_group", "band_size"], [doc_id, "entropy"], "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
-def quality_features(docs: DataFrame, model: str) -> DataFrame:
+def quality_features(docs: DataFrame, model: str, ranks: str) -> DataFrame:
     """doc_id, lang and FEATURES of every row, nothing else of the input."""
-    return docs.select("doc_id", "lang", text_features(F.col("text"), model).alias("_f")).select("doc_id", "lang", "_f.*")
+    return docs.select("doc_id", "lang", text_features(F.col("text"), model, ranks).alias("_f")).select("doc_id", "lang", "_f.*")
 
 
-def filter_documents(docs: DataFrame, model: str) -> DataFrame:
+def filter_documents(docs: DataFrame, model: str, ranks: str) -> DataFrame:
     """The rows of ``docs`` that the rules keep, unchanged.
 
     Features are computed once for the bands and once more beside the texts:
@@ -239,8 +280,8 @@ def filter_documents(docs: DataFrame, model: str) -> DataFrame:
     texts of under 50 words fail; repeated rows are judged alike; an empty
     table gives an empty table; the input's other columns pass through.
     """
-    features, _ = keep(quality_features(docs, model), "fertility")
+    features, _ = keep(quality_features(docs, model, ranks), "fertility")
     bands, _ = keep(fertility_bands(with_metrics(features)), "bands")
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang"), text_features(F.col("text"), model).alias("_f"))
-    judged = judge(with_metrics(packed.select("_row", "lang", "_f.*")), bands)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang"), text_features(F.col("text"), model, ranks).alias("_f"))
+    judged = judge(with_metrics(packed.select("_row", "lang", "_f.*")), bands, "_row.doc_id")
     return judged.where("kept").select("_row.*")

@@ -20,6 +20,11 @@ def tokenizer_file(name: str) -> str:
     return os.path.join(TOKENIZERS, name)
 
 
+def fertility_vocabularies() -> tuple[str, str]:
+    """The vocabulary with byte fallback and the byte-level one that the quality rules measure with."""
+    return tokenizer_file("piece_bpe_32k.model"), tokenizer_file("byte_bpe_multi_50k.tiktoken")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -185,12 +190,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, fertility metrics and verdict of every document."""
-    features = fertility.quality_features(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    features = fertility.quality_features(table(spark, sf_dir, "documents"), *fertility_vocabularies())
     metrics = fertility.with_metrics(keep(features, "fertility")[0])
-    judged = fertility.judge(metrics, fertility.fertility_bands(metrics))
+    judged = fertility.judge(metrics, keep(fertility.fertility_bands(metrics), "bands")[0])
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_tokens", "n_byte_tokens", F.round("chars_per_token", 6).alias("chars_per_token"), F.round("entropy", 6).alias("entropy"),
+        "n_tokens", "n_byte_tokens", "n_byte_level_tokens", F.round("chars_per_token", 6).alias("chars_per_token"), F.round("entropy", 6).alias("entropy"),
     )
 
 
