@@ -30,31 +30,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import keep
+from .workspace import join_groups, keep
 from .words import Windows, shared_hashes, split_words, word_hashes
 
-SEED = 4
-#: A place packs 16 bits of the text's hash, the first window start and how many more windows follow.
-RUN_BITS, FIRST_BITS = 8, 32
+#: Words of a seed. Longer ones are shared by chance less often, but make more anchors.
+SEED = 8
+#: A place packs 31 bits of the text's hash and the first window start; a span the first start and how many more windows follow.
+FIRST_BITS, RUN_BITS = 32, 31
 
 
 def text_key(text: str | None) -> int:
-    """Tells texts of one doc_id apart."""
-    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 49
+    """31 bits of a text's hash, to tell texts of one doc_id apart."""
+    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 33
 
 
-def place(key: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return (np.int64(key) << np.int64(RUN_BITS + FIRST_BITS)) | (first.astype(np.int64) << np.int64(RUN_BITS)) | (last - first).astype(np.int64)
+def place(key: int, first: np.ndarray) -> np.ndarray:
+    return (np.int64(key) << np.int64(FIRST_BITS)) | first.astype(np.int64)
 
 
 def key_of(place: Column) -> Column:
-    return F.shiftright(place, RUN_BITS + FIRST_BITS).cast("int")
+    return F.shiftright(place, FIRST_BITS).cast("int")
+
+
+def span_of(place: Column, run: Column) -> Column:
+    return F.shiftleft(place.bitwiseAND(F.lit((1 << FIRST_BITS) - 1)), RUN_BITS).bitwiseOR(run.cast("long"))
 
 
 def anchors(hashes: np.ndarray, threshold: int, seed: int = SEED) -> tuple[np.ndarray, ...]:
     """Winnowed anchors of a text as parallel arrays: anchor hash, context hash, first and last
     start of the windows that have it."""
-    n = len(hashes)
+    n, seed = len(hashes), min(seed, threshold)
     none = np.zeros(0, np.int64)
     if n < threshold:
         return none.astype(np.uint64), none.astype(np.uint64), none, none
@@ -95,65 +100,68 @@ class Columns:
 
 
 def emit_anchors(docs: DataFrame, threshold: int) -> DataFrame:
-    """(anchor, context, doc_id, place) of every anchor of every text that has a doc_id."""
+    """(anchor, context, doc_id, place, run) of every anchor of every text that has a doc_id; run is how many windows follow the first."""
 
     def emit(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, out = shared_hashes(), Columns(["anchor", "context", "doc_id", "place"])
+        cache, out = shared_hashes(), Columns(["anchor", "context", "doc_id", "place", "run"])
         for frame in frames:
             cache.trim()
-            for doc_id, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
+            for doc_id, text in zip(frame.column(0).to_pylist(), frame.column(1)):
+                text = text.as_py()
                 anchor, context, first, last = anchors(word_hashes(split_words(text), cache), threshold)
-                yield from out.add(anchor.view(np.int64), context.view(np.int64), np.full(len(first), doc_id, np.int64), place(text_key(text), first, last))
+                yield from out.add(anchor.view(np.int64), context.view(np.int64), np.full(len(first), doc_id, np.int64), place(text_key(text), first), (last - first).astype(np.int32))
         yield from out.flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(emit, "anchor long, context long, doc_id long, place long")
+    return rows.mapInArrow(emit, "anchor long, context long, doc_id long, place long, run int")
 
 
 def repeats(docs: DataFrame, threshold: int = 20) -> DataFrame:
-    """(doc_id, place): runs of window starts whose windows occur earlier; those of a document may overlap.
+    """(doc_id, place, run): runs of window starts whose windows occur earlier; those of a document may overlap.
 
     Anchors are counted before any other column is moved, so what is shuffled
     with its context is only what shares an anchor. Counting reads the texts
     once more than keeping all anchors would, and keeps none of them on disk.
+    Rows find their group's count or first occurrence by ``join_groups``, so that a passage which very many
+    documents share is dealt to many tasks.
     """
     found = emit_anchors(docs, threshold)
-    shared = found.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    seeds, _ = keep(found.join(shared, "anchor", "left_semi"), "seeds")
+    shared, _ = keep(found.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    seeds, _ = keep(join_groups(found, shared, ["anchor"], ["doc_id", "place"], "inner"), "seeds")
     occurrence = F.struct("doc_id", "place")
     classes, _ = keep(seeds.groupBy("anchor", "context").agg(F.min(occurrence).alias("earliest"), F.count("*").alias("n")), "classes")
     # extension by context: all but the earliest of a class
-    whole = later(seeds.join(classes.where("n > 1"), ["anchor", "context"])).select("doc_id", "place")
+    whole = later(join_groups(seeds, classes.where("n > 1"), ["anchor", "context"], ["doc_id", "place"], "inner"))
     # anchors of several contexts: the earliest of each context lays out its windows
-    mixed = classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    heads = classes.join(mixed, "anchor", "left_semi").select("earliest.*")
+    mixed, _ = keep(classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "mixed")
+    heads = join_groups(classes.drop("n"), mixed, ["anchor"], ["context"], "inner").select("earliest.*", F.lit(0).alias("run"))
     windows, _ = keep(lay_out(docs, heads, threshold), "windows")
-    firsts = windows.groupBy("anchor", "window").agg(F.min(occurrence).alias("earliest"), F.count("*").alias("n")).where("n > 1")
-    single = later(windows.join(firsts, ["anchor", "window"])).select("doc_id", "place")
+    firsts, _ = keep(windows.groupBy("anchor", "window").agg(F.min(occurrence).alias("earliest"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    single = later(join_groups(windows, firsts, ["anchor", "window"], ["doc_id", "place"], "inner").withColumn("run", F.lit(0)))
     return whole.unionByName(single)
 
 
 def later(rows: DataFrame) -> DataFrame:
-    """Rows other than the earliest of their group."""
-    return rows.where((F.col("doc_id") != F.col("earliest.doc_id")) | (F.col("place") != F.col("earliest.place")))
+    """doc_id, place and run of rows other than the earliest of their group."""
+    return rows.where((F.col("doc_id") != F.col("earliest.doc_id")) | (F.col("place") != F.col("earliest.place"))).select("doc_id", "place", "run")
 
 
 def with_texts(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Rows of docs (as _row) beside the list of their places."""
+    """Rows of docs (as _row) beside the list of the distinct spans of their places."""
 
     @F.arrow_udf(T.IntegerType())
     def key(text: pa.Array) -> pa.Array:
-        return pa.array([text_key(t) for t in text.to_pylist()], pa.int32())
+        return pa.array([text_key(t.as_py()) for t in text], pa.int32())
 
-    grouped = places.groupBy("doc_id", key_of(F.col("place")).alias("text_key")).agg(F.collect_list("place").alias("places"))
+    grouped = places.groupBy("doc_id", key_of(F.col("place")).alias("text_key")).agg(F.collect_set(span_of(F.col("place"), F.col("run"))).alias("places"))
     rows = docs.select(F.struct(*docs.columns).alias("_row")).select("_row", F.col("_row.doc_id").cast("long").alias("doc_id"), key(F.col("_row.text")).alias("text_key"))
     return rows.join(grouped, ["doc_id", "text_key"], how)
 
 
 def unpack(places: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window starts of places."""
+    """First and last window starts of spans."""
     packed = np.array(places, np.int64)
-    first = (packed >> RUN_BITS) & ((1 << FIRST_BITS) - 1)
+    first = packed >> RUN_BITS
     return first, first + (packed & ((1 << RUN_BITS) - 1))
 
 
@@ -164,15 +172,16 @@ def lay_out(docs: DataFrame, heads: DataFrame, threshold: int) -> DataFrame:
         cache, out = shared_hashes(), Columns(["anchor", "window", "doc_id", "place"])
         for frame in frames:
             cache.trim()
-            for doc_id, text, places in zip(*(frame.column(i).to_pylist() for i in range(3))):
+            for doc_id, text, places in zip(frame.column(0).to_pylist(), frame.column(1), frame.column(2)):
+                text = text.as_py()
                 hashes = word_hashes(split_words(text), cache)
                 anchor, _, first, last = anchors(hashes, threshold)
-                mine = np.isin(first, unpack(places)[0])
+                mine = np.isin(first, unpack(places.as_py())[0])
                 counts = (last - first + 1)[mine]
                 total = int(counts.sum())
                 start = np.repeat(first[mine] - (np.cumsum(counts) - counts), counts) + np.arange(total)
                 window = Windows(hashes).of(start, start + threshold).view(np.int64)
-                yield from out.add(np.repeat(anchor[mine], counts).view(np.int64), window, np.full(total, doc_id, np.int64), place(text_key(text), start, start))
+                yield from out.add(np.repeat(anchor[mine], counts).view(np.int64), window, np.full(total, doc_id, np.int64), place(text_key(text), start))
         yield from out.flush()
 
     once = with_texts(docs.select("doc_id", "text"), heads, "inner").select("doc_id", F.col("_row.text").alias("text"), "places")
@@ -232,8 +241,9 @@ def remove_repeats(docs: DataFrame, threshold: int = 20, with_text: bool = True)
     @F.arrow_udf(RESULT)
     def cut(text: pa.Array, places: pa.Array) -> pa.Array:
         rows = []
-        for one, found in zip(text.to_pylist(), places.to_pylist()):
-            n, gone, kept, left = without_repeats(one or "", found or [], threshold)
+        for one, found in zip(text, places):
+            one = one.as_py()
+            n, gone, kept, left = without_repeats(one or "", found.as_py() or [], threshold)
             rows.append((n, gone, hashlib.sha256(kept).hexdigest(), (left if one is not None else None) if with_text else None))
         columns = list(zip(*rows)) if rows else [()] * 4
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=RESULT.names)
