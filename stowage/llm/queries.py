@@ -115,14 +115,13 @@ FROM roots r LEFT JOIN counts c ON c.a = r.node
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of every document at rates that even out the sources, with their global random position."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rates = mixing.source_rates(docs)
-    # the text is the key of rows without doc_id only
-    copies = mixing.replicate(docs.select("doc_id", "source", F.when(F.col("doc_id").isNull(), F.col("text")).alias("text")), rates)
-    rows, _ = keep(copies.select("_row.doc_id", "_row.source", F.col("_copy").alias("copy_no"), "_order"), "copies")
-    placed = mixing.global_positions(rows, ["doc_id", "copy_no"])
-    return placed.select("doc_id", "source", "copy_no", F.col("position").cast("long").alias("position"))
+    """Copies of every document at rates that even out the sources, in a global random order: whole rows are moved, then digested."""
+    docs = table(spark, sf_dir, "documents")
+    copies = mixing.replicate(docs, mixing.source_rates(docs))
+    placed = mixing.global_positions(copies, ["_row.doc_id", "_copy"])
+    return placed.select(
+        "_row.doc_id", "_row.source", F.col("_copy").alias("copy_no"), F.col("position").cast("long").alias("position"), F.sha2("_row.text", 256).alias("text_sha256"),
+    )
 
 
 OP4_SQL = """
@@ -136,14 +135,14 @@ WITH RECURSIVE sizes AS (
   UNION ALL
   SELECT s, rate, k + 1, p * rate / (k + 1), f + p * rate / (k + 1) FROM walk WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
 ), draws AS (
-  SELECT doc_id, source, coalesce('=' || source, 'null') AS s,
+  SELECT doc_id, source, sha256(text) AS text_sha256, coalesce('=' || source, 'null') AS s,
     ('0x' || sha256(doc_id::VARCHAR || '|copies0|1')[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents
 ), counted AS (
-  SELECT d.doc_id, d.source, count(*) AS n FROM draws d JOIN walk w ON w.s = d.s AND w.f <= d.u GROUP BY 1, 2
+  SELECT d.doc_id, d.source, d.text_sha256, count(*) AS n FROM draws d JOIN walk w ON w.s = d.s AND w.f <= d.u GROUP BY 1, 2, 3
 ), copies AS (
-  SELECT doc_id, source, unnest(range(n::BIGINT))::INT AS copy_no FROM counted
+  SELECT doc_id, source, text_sha256, unnest(range(n::BIGINT))::INT AS copy_no FROM counted
 )
-SELECT doc_id, source, copy_no, row_number() OVER (
+SELECT doc_id, source, copy_no, text_sha256, row_number() OVER (
   ORDER BY ('0x' || sha256(doc_id::VARCHAR || '|order0|' || copy_no::VARCHAR)[1:13])::BIGINT, doc_id, copy_no) - 1 AS position
 FROM copies
 """
