@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -218,11 +219,13 @@ class Encoder:
     No match of the pattern crosses the place before such a space, so blocks
     can be split into pre-tokens independently. Two kinds have marked keys: a
     text's first block, and blocks with white space at their end or spaces inside.
+    This holds for the PATTERN of the public tokenizers; with any other a whole text is one block.
     """
 
     def __init__(self, vocabulary: Vocabulary, limit: int = 1 << 17):
         self.vocabulary = vocabulary
         self.limit = limit
+        self.by_blocks = vocabulary.pattern.pattern == public_tokenizers.PATTERN
         self.names = list(map(str, range(vocabulary.size)))
         #: decimal ids and decoded bytes; None for what isn't a block
         self.known: dict[str, tuple[str, bytes] | None] = {}
@@ -259,9 +262,12 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """For each text its ids, in decimal with spaces between them, and the bytes they decode to."""
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or not self.by_blocks:
             self.known.clear()
         known = self.known
+        if not self.by_blocks:
+            self.learn({FIRST + text for text in texts})
+            return [known[FIRST + text] for text in texts]
         split = [text.split(" ") for text in texts]
         for parts in split:
             parts[0] = FIRST + parts[0]

@@ -17,7 +17,7 @@ from stowage.llm.components import star_components
 from stowage.llm.words import WordHashes, Windows, shingle_set, split_words
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-PIECES = public_tokenizers.path("piece_bpe_32k.model")
+VOCABULARIES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string, component_id int, kept string, size string"
 ODD = ["", None, " ", "word", "a  b\n\n c\t d \x1c e", "don't I'll 've", "日本語 ²½ x²", "\x00a \x00b", "é 🙂", "trail ", " lead", "x" * 300]
 
@@ -50,6 +50,17 @@ def test_bpe_equals_reference_library(tiktoken_encoder):
             assert raw == text.encode()
 
 
+def test_bpe_with_another_pattern():
+    import tiktoken
+
+    pattern = r"\p{L}+ \p{L}+|[\s\S]"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    own, other = bpe.Encoder(bpe.Vocabulary(ranks, pattern)), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["one two three four", "", " a b ", "é 🙂 x"]
+    for text, (ids, raw) in zip(texts, own.encode_batch(texts)):
+        assert [int(i) for i in ids.split()] == other.encode_ordinary(text) and raw == text.encode()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=0, max_size=30), max_size=5))
 def test_rank_queue_equals_one_merge_at_a_time(pieces):
@@ -104,15 +115,89 @@ def test_fertility_base_counts_and_bands(spark):
     clean = [" ".join(rng.choice(["alpha", "river", "stone", "walk", "blue", "engine", "paper"]) + rng.choice(["", "s", "ed", "ly"]) for _ in range(90)) for _ in range(60)]
     texts = ODD + ["a b c a b c\n\nx\nx\n y\nx", "#$ a\x0bb c |", " ".join(["one two three"] * 40), " ".join("q%d" % i for i in range(49))] + clean + [" ".join("☃☃☃☃☃☃%d" % i for i in range(90))]
     df = docs_of(spark, texts)
-    feats = fertility.quality_features(df, PIECES).collect()
+    feats = fertility.quality_features(df, *VOCABULARIES).collect()
     for row, text in zip(feats, texts):
         assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == base_counts(text)
-    kept = fertility.filter_documents(df, PIECES)
+    kept = fertility.filter_documents(df, *VOCABULARIES)
     assert kept.columns == df.columns
     left = {r.doc_id for r in kept.collect()}
     first = len(texts) - 61
     assert left >= set(range(first, first + 60)) and not left & set(range(first))
-    assert fertility.filter_documents(df.limit(0), PIECES).count() == 0
+    assert fertility.filter_documents(df.limit(0), *VOCABULARIES).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "repeated_passages", "mix", "encode"])
+def test_stages_on_odd_rows(spark, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    schema = DOCS + ", _row string, _kept string, n int, rep string, band string"
+    tail = (None, None, None, "e", 1, "k", "s", "r", "k", 1, "p", "b")
+    long = " ".join("w%d" % (i % 997) for i in range(120_000))
+    rows = [(None, None, *tail), (None, "a b", *tail), (1, "", *tail), (2, "c d e", *tail), (2, "c d e", *tail), (2, None, *tail), (3, long, *tail)]
+    df = spark.createDataFrame(rows, schema)
+    out = stage(spark, df, "")
+    if name != "encode":
+        assert out.columns == df.columns and out.dtypes == df.dtypes
+    got = sorted((str(r.doc_id), r["round_trip"] if name == "encode" else r.text or "") for r in out.collect())
+    ids = [g[0] for g in got]
+    if name == "encode":
+        assert ids == ["1", "2", "2", "2", "3", "None", "None"] and all(g[1] for g in got)
+    if name == "quality":
+        assert ids == []  # the long text repeats itself
+    if name == "near_duplicates":
+        assert ids == ["1", "2", "3", "None", "None"]
+    if name == "repeated_passages":
+        assert ids == ["1", "2", "2", "2", "3", "None", "None"] and len(dict(got)["3"].split()) == 997
+    assert stage(spark, df.limit(0), "").count() == 0
+
+
+def test_repeat_words_of_many_codes():
+    far = (1 << 21) + 10
+    assert fertility.repeat_words(np.array([0, far, 5, 9, 1, far, 5])) == 0
+    assert fertility.repeat_words(np.array([0, far, 5, 9, 0, far, 5])) == 6
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        codes = rng.integers(0, 4, 30)
+        assert fertility.repeat_words(codes) == fertility.repeat_words(codes + far) == base_counts(" ".join(map(str, codes)))[4]
+
+
+def test_fertility_bands_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    metrics = fertility.with_metrics(fertility.quality_features(docs, *VOCABULARIES))
+    rows = metrics.collect()
+    frame = spark.createDataFrame(rows, metrics.schema)
+    got = {(r.band_group, r.band_size): r for r in fertility.fertility_bands(frame).collect()}
+    usable = {(r.band_group, r.band_size, r.n_words, *(r[m] for m in fertility.REACH)) for r in rows if not r.base_failed}
+    assert set(got) == {u[:2] for u in usable}
+    bands = {}
+    for group, size in got:
+        for k, (m, (below, above)) in enumerate(fertility.REACH.items()):
+            fine = m in fertility.BY_DOUBLINGS
+            weights, near, own = {}, {}, 0
+            for u in usable:
+                if u[0] == group and abs(u[1] - size) <= fertility.AROUND:
+                    b = int(np.floor(128 * np.log2(max(u[3 + k], 2.0**-10)) if fine else 1000 * u[3 + k]))
+                    near[b] = near.get(b, 0) + 0.5 ** abs(u[1] - size)
+                    weights[b] = weights.get(b, 0) + (u[1] == size)
+                    own += u[1] == size
+            total, run, q = sum(near.values()), 0.0, []
+            ordered = sorted(near)
+            for share in (0.25, 0.5, 0.75):
+                run = 0.0
+                for b in ordered:
+                    run += weights[b] + fertility.PRIOR * near[b] / total
+                    if run + 1e-6 >= share * (own + fertility.PRIOR):
+                        q.append(2 ** ((b + 0.5) / 128) if fine else (b + 0.5) / 1000)
+                        break
+            spread = max(q[2] - q[0], 0.02 * q[1], 0.005)
+            bands[group, size, m] = (q[1] - below * spread, q[1] + above * spread)
+    for (group, size, m), (low, high) in bands.items():
+        assert np.isclose(got[group, size][f"{m}_low"], low) and np.isclose(got[group, size][f"{m}_high"], high)
+    kept = {r.doc_id: r.kept for r in fertility.judge(frame, fertility.fertility_bands(frame)).collect()}
+    assert sum(r.n for r in got.values()) <= len(rows)
+    for r in rows:
+        assert kept[r.doc_id] == (not r.base_failed and all(bands[r.band_group, r.band_size, m][0] <= r[m] <= bands[r.band_group, r.band_size, m][1] for m in fertility.REACH))
 
 
 def test_language_mixtures(spark):
@@ -149,7 +234,23 @@ def brute_repeats(rows, threshold):
     return cut
 
 
-@pytest.mark.parametrize("threshold", [20, 50])
+@pytest.mark.parametrize("threshold", [300, 1000])
+def test_substring_beyond_a_byte_of_windows(spark, threshold):
+    rng = random.Random(threshold)
+    passages = [["p%d" % rng.randint(0, 10**6) for _ in range(3 * threshold)] for _ in range(4)]
+    rows = []
+    for i in range(30):
+        p = passages[i % 4]
+        at = rng.randint(0, threshold)
+        rows.append((i, " ".join(["q%d" % rng.randint(0, 10**6) for _ in range(rng.randint(0, 40))] + p[at : at + rng.randint(threshold - 5, 2 * threshold)])))
+    want = brute_repeats(rows, threshold)
+    got = {r["_row"].doc_id: r for r in substring.remove_repeats(docs_of(spark, [t for _, t in rows]), threshold).collect()}
+    assert {i: r.n_removed for i, r in got.items()} == {i: sum(w) for i, w in want.items()} and sum(map(sum, want.values())) > 10 * threshold
+    for doc_id, text in rows:
+        assert words_of(got[doc_id].text) == [w for w, gone in zip(words_of(text), want[doc_id]) if not gone]
+
+
+@pytest.mark.parametrize("threshold", [5, 20, 50])
 def test_substring_equals_brute_force(spark, threshold):
     rng = random.Random(threshold)
     few = lambda n: [rng.choice("abc") for _ in range(n)]
