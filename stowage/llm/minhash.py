@@ -5,8 +5,8 @@ scatters the shingles, the second is shifted circularly by one for each
 coordinate. Stored one after the other, the values of an element under all
 shifts are consecutive, so a signature is the element-wise minimum of slices.
 
-Documents with equal shingle sets are one class with the least doc_id as its
-representative, before anything is compared. Representatives that agree in a
+Documents with equal shingle sets are one class, a node of the graph of links, before anything is
+compared; the rest of this module calls nodes rep. Classes that agree in a
 band form a bucket, which is cut into blocks of bounded size. First each block
 proposes a spanning forest of its likeliest pairs by signature, and bridges to others,
 so a bucket of n near copies costs some n verifications. Then, in buckets that still
@@ -26,12 +26,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import star_components
 from .words import mix, shared_hashes, shingle_set, split_words
-from .workspace import keep
+from .workspace import join_groups, keep
 
 UNIVERSE = 1 << 20
 BANDS, ROWS = 40, 5
@@ -72,6 +72,12 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return total.view(np.int64)
 
 
+def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set; 0 if it is empty."""
+    mixed = mix(shingles)
+    return int(mixed.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mixed).view(np.int64)) if len(mixed) else 0
+
+
 FEATURES = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"
 
 
@@ -83,14 +89,13 @@ def features(docs: DataFrame, size: int) -> DataFrame:
         for frame in frames:
             cache.trim()
             ids, counts, h1, h2, bands, sigs = frame.column(0).to_pylist(), [], [], [], [], []
-            for text in frame.column(1).to_pylist():
-                shingles = shingle_set(split_words(text, lower=True), size, cache)
+            for text in frame.column(1):
+                shingles = shingle_set(split_words(text.as_py(), lower=True), size, cache)
                 counts.append(len(shingles))
                 if len(shingles):
                     sig = signature(shingles)
-                    mixed = mix(shingles)
-                    h1.append(int(mixed.sum().view(np.int64)))
-                    h2.append(int(np.bitwise_xor.reduce(mixed).view(np.int64)))
+                    one, two = set_hashes(shingles)
+                    h1.append(one), h2.append(two)
                     bands.append(band_hashes(sig))
                     sigs.append((sig & 0xFF).astype(np.uint8).tobytes())
                 else:
@@ -103,21 +108,32 @@ def features(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, FEATURES)
 
 
-def shingle_table(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles): whole sets of the listed documents.
+def node_of(h1: str = "h1", h2: str = "h2", n: str = "n_shingles") -> Column:
+    """A 64-bit name of a shingle set."""
+    return F.xxhash64(h1, h2, n)
+
 
-    The join is by shuffle whatever the number of ids, so that its cost follows the input.
+def shingle_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(rep, shingles): whole sets of the classes (rep, doc_id) wanted, from the text of that document.
+
+    The join is by shuffle whatever the number of classes, so that its cost follows the input.
     """
 
     def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = shared_hashes()
         for frame in frames:
             cache.trim()
-            found = [shingle_set(split_words(t, lower=True), size, cache).tobytes() for t in frame.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+            found = [shingle_set(split_words(t.as_py(), lower=True), size, cache) for t in frame.column(0)]
+            h1, h2 = zip(*map(set_hashes, found)) if found else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["h1", "h2", "n_shingles", "shingles"]
+            )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("shuffle_merge"), "doc_id", "left_semi")
-    return keep(texts.mapInArrow(sets, "doc_id long, shingles binary"), "shingles")[0]
+    ids = wanted.select("doc_id").distinct().hint("shuffle_merge")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select("text")
+    computed = texts.mapInArrow(sets, "h1 long, h2 long, n_shingles long, shingles binary")
+    # a document may have other texts, of other classes
+    return keep(computed.select(node_of().alias("rep"), "shingles").join(wanted.select("rep"), "rep", "left_semi"), "shingles")[0]
 
 
 def verify(known: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -127,8 +143,8 @@ def verify(known: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """
     tasks = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     dealt = pairs.join(tasks, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
-    members = dealt.join(known.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "shingles")
-    hubs = dealt.select("b", "part").distinct().join(known.withColumnRenamed("doc_id", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "shingles")
+    members = dealt.join(known.withColumnRenamed("rep", "a"), "a").select("b", "part", "a", "shingles")
+    hubs = dealt.select("b", "part").distinct().join(known.withColumnRenamed("rep", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "shingles")
     stars = members.unionByName(hubs).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,8 +297,7 @@ def remaining_links(members: DataFrame, reps: DataFrame, known: DataFrame, perce
                 labels[labels == labels[j]] = labels[i]
                 yield i, j
 
-    sets = known.select(F.col("doc_id").alias("rep"), "shingles")
-    return pairs_by_block(dealt_blocks(members.join(reps.select("rep", "sig"), "rep").join(sets, "rep"), ["sig", "shingles"]), pairs_of)
+    return pairs_by_block(dealt_blocks(members.join(reps.select("rep", "sig"), "rep").join(known, "rep"), ["sig", "shingles"]), pairs_of)
 
 
 def similar(mine: np.ndarray, other: np.ndarray, percent: int) -> bool:
@@ -313,23 +328,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     empty table gives no rows; only doc_id and text are read.
     """
     found, _ = keep(features(docs, size), "minhash")
-    usable = found.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("f"))
-    classes, _ = keep(classes.select("h1", "h2", "n_shingles", "rep", "f.bands", "f.sig"), "classes")
-    reps = classes.groupBy("rep").agg(F.first("sig").alias("sig"))
+    usable = found.where("doc_id IS NOT NULL AND n_shingles > 0").withColumn("rep", node_of())
+    classes = usable.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("f"))
+    classes, _ = keep(classes.select("rep", "doc_id", "n", "f.bands", "f.sig"), "classes")
+    reps = classes.select("rep", "sig")
     in_band = classes.select("rep", F.explode("bands").alias("band"))
     sizes = in_band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members, _ = keep(in_band.join(sizes, "band"), "buckets")
-    copies = usable.select("doc_id", "h1", "h2", "n_shingles").join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"])
-    # several sets of one doc_id make their representatives one
-    same = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     likely, _ = keep(likely_pairs(members.withColumn("component", F.col("rep")), reps, percent), "pairs")
     # every member of a further pair is in one of these
-    known = shingle_table(docs, likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), size)
+    paired = likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct()
+    known = shingle_table(docs, classes.select("rep", "doc_id").join(paired, "rep", "left_semi"), size)
     links, _ = keep(verify(known, likely, percent), "links")
     links = links.union(remaining_links(labelled(members, star_components(links)), reps, known, percent))
-    everything, _ = keep(star_components(links.union(same)), "components")
-    out = found.select("doc_id", "n_shingles").join(everything.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    # a document of several texts joins their classes
+    several = usable.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).where("b <> high").select("doc_id", "b")
+    same = usable.join(several, "doc_id").select(F.col("rep").alias("a"), "b")
+    rooted = classes.select("rep", "doc_id", "n").join(star_components(links.union(same)).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    rooted, _ = keep(rooted.select("rep", "doc_id", "n", "root"), "roots")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
+    labels, _ = keep(rooted.join(least, "root").select("rep", "n", "component"), "components")
+    everything = join_groups(usable.select("doc_id", "rep"), labels, ["rep"], ["doc_id"], "inner").groupBy("doc_id").agg(F.min("component").alias("component"))
+    out = found.select("doc_id", "n_shingles").join(everything, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
 

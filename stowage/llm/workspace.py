@@ -29,24 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows at most, so that Python workers hold few whole texts at once."""
+    """Arrow batches of BATCH_ROWS rows at most, unless the caller has set another number.
+
+    Spark bounds them by bytes as well (64 MB by default), so that Python workers hold few whole texts at once.
+    """
     if int(spark.conf.get(BATCH_CONF)) in (0, 10_000):  # unbounded, or Spark's own default
         spark.conf.set(BATCH_CONF, BATCH_ROWS)
 
 
 def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` into the shared folder; returns the table read back and its path."""
+    """Write ``df`` into the application's part of the shared folder, which goes with it; returns the table read back and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stowage/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stowage/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _file_system(spark, folder).deleteOnExit(_path(spark, folder))
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table written by ``keep`` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _file_system(spark, path).delete(_path(spark, path), True)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 #: A group of more than this part of all rows is dealt to several tasks.

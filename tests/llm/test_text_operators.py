@@ -357,7 +357,7 @@ def test_all_pairs_of_a_bucket_are_compared(spark, monkeypatch):
     assert len(some) == 4 and some <= {(3, 2)} | {(a, b) for a in range(4, 8) for b in range(4, a)} and (3, 2) in some
     # alike by signature, of which one set differs: links join the others, and only they
     same, far = bytes(range(80)), bytes(range(100, 180))
-    known = spark.createDataFrame([(1, same), (2, far), (3, same), (4, same), (5, same), (6, far), (7, same)], "doc_id long, shingles binary")
+    known = spark.createDataFrame([(1, same), (2, far), (3, same), (4, same), (5, same), (6, far), (7, same)], "rep long, shingles binary")
     linked = {tuple(r) for r in minhash.remaining_links(members, reps, known, 80).collect()}
     assert len(linked) == 2 and linked <= {(5, 4), (7, 4), (7, 5)}
     grouped = minhash.labelled(members, spark.createDataFrame([(r, 4) for r in (4, 5, 6, 7)] + [(3, 2)], "node long, component long"))
@@ -373,6 +373,15 @@ def test_near_duplicate_edge_rows(spark):
     assert minhash.near_duplicates(df.limit(0), 2).count() == 0
 
 
+def test_every_text_of_a_document_finds_its_copies(spark):
+    base = [["%s%d" % (c, i) for i in range(60)] for c in "pqr"]
+    near = lambda w: " ".join([*w[:-1], "end"])
+    # documents 1 and 2 have three and two texts; 5 to 7 are near copies of one each
+    df = docs_of(spark, [*map(" ".join, base), "z z z", "y y", near(base[0]), near(base[1]), near(base[2]), "", "y y"], [1, 1, 1, 2, 2, 5, 6, 7, 1, 9])
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df, 5).collect()}
+    assert got == {(1, 1), (2, 2), (5, 1), (6, 1), (7, 1), (9, 2)}
+
+
 def test_signature_estimates_similarity():
     rng = random.Random(4)
     words = [b"w%d" % i for i in range(3000)]
