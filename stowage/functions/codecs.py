@@ -7,6 +7,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def join_bytes(parts: Column) -> Column:
+    """The values of an array of bytes one after the other, each copied once; null if one of them is null."""
+
+    @F.arrow_udf("binary")
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or None in x else b"".join(x) for x in (row.as_py() for row in batch)], pa.binary())
+
+    return run(parts)
+
+
 def compress(data: Column, level: int = 3) -> Column:
     """zstd of each value; null stays null."""
 

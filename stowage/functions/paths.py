@@ -30,14 +30,28 @@ def restore_path(path: Column, requested: Column, target: Column) -> Column:
     return F.concat(F.regexp_replace(target, "/+$", ""), F.lit("/"), below)
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def like(text: Column, *pattern: Column) -> Column:
+    """LIKE regardless of the case of A-Z; ``%`` and ``_`` of any part are wildcards, a backslash is itself."""
+    folded = F.replace(F.translate(F.concat(*pattern), UPPER, LOWER), F.lit("\\"), F.lit("\\\\"))
+    return F.like(F.translate(text, UPPER, LOWER), folded)
+
+
 def ends_with(text: Column, part: Column) -> Column:
-    """Suffix match regardless of case."""
-    return F.lower(text).endswith(F.lower(part))
+    """Suffix match by ``like``."""
+    return like(text, F.lit("%"), part)
 
 
 def contains(text: Column, part: Column) -> Column:
-    """Substring match regardless of case."""
-    return F.lower(text).contains(F.lower(part))
+    """Substring match by ``like``."""
+    return like(text, F.lit("%"), part, F.lit("%"))
+
+
+def hashed_number(text: Column) -> Column:
+    """60 bits of a text's hash as a long."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def format_bytes(size: Column) -> Column:

@@ -63,7 +63,7 @@ def find_files(directories: DataFrame, files: DataFrame, text: str, how: str = "
 
 
 def restore(found: DataFrame, versions: DataFrame, file_blobs: DataFrame, blobs: DataFrame, requested: str, target: str, backup_id: int | None = None) -> DataFrame:
-    """(path, content, mtime, mode) of files found, as of a backup.
+    """(path, content, mtime, uid, gid, mode) of files found, as of a backup.
 
     ``blobs`` has hash_encrypted and data. Empty files have no blobs and empty
     content; files with a missing blob give no row.
@@ -76,7 +76,18 @@ def restore(found: DataFrame, versions: DataFrame, file_blobs: DataFrame, blobs:
     content = reassemble(parts.select("version_id", "sequence", "data"), ["version_id"])
     out = chosen.withColumn("version_id", F.col("id")).join(broken, "version_id", "left_anti").join(content, "version_id", "left")
     goes = restore_path(F.col("path"), F.lit(requested), F.lit(target))
-    return out.select(goes.alias("path"), F.coalesce("content", F.lit(b"")).alias("content"), "mtime", "mode")
+    owners = [F.col(c) if c in versions.columns else F.lit(None).cast("long").alias(c) for c in ("uid", "gid")]
+    return out.select(goes.alias("path"), F.coalesce("content", F.lit(b"")).alias("content"), "mtime", *owners, "mode")
+
+
+def lookup(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose key columns equal one of ``keys``: point lookups of many keys in one join."""
+    return rows.join(keys.select(*columns).distinct(), list(columns), "left_semi")
+
+
+def by_public_key(rows: DataFrame, peers: DataFrame) -> DataFrame:
+    """Rows that name a peer by public_key, with its peer_id; unknown keys go."""
+    return rows.join(peers.select(F.col("id").alias("peer_id"), "public_key"), "public_key").drop("public_key")
 
 
 def split_path(rows: DataFrame, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codecs import join_bytes
 from ..functions.paths import content_hash
 
 CHUNK = 4 << 20
@@ -40,9 +41,9 @@ def reassemble(parts: DataFrame, keys: list[str], order: str = "sequence", data:
     """Keys and content: the parts joined in order. A file's parts are one output value, so they meet in one task."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).alias("d"))))
     grouped = parts.groupBy(*keys).agg(ordered.alias("_parts"))
-    kind = parts.schema[data].dataType.simpleString()
-    start = F.lit("") if kind == "string" else F.lit(b"")
-    return grouped.select(*keys, F.aggregate("_parts", start, lambda a, p: F.concat(a, p["d"])).alias("content"))
+    pieces = F.transform("_parts", lambda p: p["d"])
+    joined = F.array_join(pieces, "") if parts.schema[data].dataType.simpleString() == "string" else join_bytes(pieces)
+    return grouped.select(*keys, joined.alias("content"))
 
 
 def needed(offer: DataFrame, existing: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import percentage
+from ..functions.paths import hashed_number, percentage
 from .packing import pack
 
 
@@ -48,7 +48,7 @@ def repack(locations: DataFrame, blobs: DataFrame, candidates: DataFrame, as_of:
     state = liveness(F.col("ref_count"), F.col("deleted_at"), F.col("special"), as_of, retention_minutes, special_minutes)
     doomed = locations.join(candidates.select("shard_id"), "shard_id", "left_semi").select("blob_hash").distinct()
     affected = blobs.join(doomed.withColumnRenamed("blob_hash", "hash"), "hash", "left_semi").withColumn("state", state)
-    keepers = affected.where("state <> 'wasted'").select("hash", "size", F.xxhash64("hash").alias("_ord"))
+    keepers = affected.where("state <> 'wasted'").select("hash", "size", hashed_number(F.col("hash")).alias("_ord"))
     base = locations.agg(F.coalesce(F.max("shard_id") + 1, F.lit(0))).scalar()
     moved = pack(keepers, "_ord", piece_size, pieces).withColumn("shard_id", F.col("shard_id") + base).withColumnRenamed("hash", "blob_hash")
     rest = locations.join(doomed, "blob_hash", "left_anti")
@@ -59,17 +59,19 @@ def repack(locations: DataFrame, blobs: DataFrame, candidates: DataFrame, as_of:
 # repair and replication
 
 
-def mark_lost(outbound: DataFrame, peers: DataFrame, as_of: Column, days: int) -> DataFrame:
-    """Outbound pieces with those of dead peers lost; a peer never seen isn't dead, a blocked one is exempt."""
-    dead = peers.where(older(F.col("last_seen"), as_of, days=days) & (F.col("status") != "blocked")).select(F.col("id").alias("peer_id"), F.lit(True).alias("_dead"))
+def mark_lost(outbound: DataFrame, peers: DataFrame, as_of: Column, hours: int) -> DataFrame:
+    """Outbound pieces with the uploaded ones of dead peers lost; a peer never seen isn't dead, a blocked one is exempt."""
+    dead = peers.where(older(F.col("last_seen"), as_of, hours=hours) & (F.col("status") != "blocked")).select(F.col("id").alias("peer_id"), F.lit(True).alias("_dead"))
     joined = outbound.join(dead, "peer_id", "left")
-    return joined.withColumn("status", F.when(F.col("_dead") & F.col("status").isin("uploaded", "pending"), "lost").otherwise(F.col("status"))).drop("_dead")
+    return joined.withColumn("status", F.when(F.col("_dead") & (F.col("status") == "uploaded"), "lost").otherwise(F.col("status"))).drop("_dead")
 
 
 def uploaded_pieces(shards: DataFrame, outbound: DataFrame) -> DataFrame:
     """Shards with distinct uploaded pieces and peers; shards without any have zeros."""
     good = outbound.where("status = 'uploaded'").select(F.col("shard_id").alias("id"), "piece_index", "peer_id")
-    return shards.join(good, "id", "left").groupBy("id", "mirrored").agg(F.countDistinct("piece_index").alias("pieces"), F.countDistinct("peer_id").alias("peers"))
+    # a shard has a bounded number of pieces, so the sets are small and combined before the shuffle
+    sets = good.groupBy("id").agg(F.size(F.collect_set("piece_index")).cast("long").alias("pieces"), F.size(F.collect_set("peer_id")).cast("long").alias("peers"))
+    return shards.select("id", "mirrored").join(sets, "id", "left").fillna(0, ["pieces", "peers"])
 
 
 def repair_candidates(shards: DataFrame, outbound: DataFrame, n: int, k: int, mirrors: int = 2) -> DataFrame:
@@ -112,6 +114,14 @@ def pick(rows: DataFrame, key: list[str], seed: int, groups: list[str] | None =
     return rows.groupBy(*groups).agg(F.min_by(F.struct(*rest), F.struct(order, *key)).alias("_s")).select(*groups, "_s.*")
 
 
+def open_challenges(challenges: DataFrame, outbound: DataFrame, peers: DataFrame) -> DataFrame:
+    """Challenges (shard_id, piece_index, peer_id, …) of uploaded pieces on peers that aren't blocked, with the peer's address and key."""
+    keys = ["shard_id", "piece_index", "peer_id"]
+    stored = outbound.where("status = 'uploaded'").select(*keys).distinct()
+    reachable = peers.where("status <> 'blocked'").select(F.col("id").alias("peer_id"), "ip_address", "public_key")
+    return challenges.join(stored, keys, "left_semi").join(reachable, "peer_id")
+
+
 def judge(expected: Column, data: Column, offset: Column, length: int = 32) -> Column:
     """pass, fail, or unavailable (no data) for bytes of a piece against those remembered."""
     found = F.substring(data, (offset + 1).cast("int"), F.lit(length))
@@ -138,7 +148,7 @@ def sample_challenges(pieces: DataFrame, per_piece: int = 8, seed: int = 0, leng
     """
     room = F.length("data") - length + 1
     drawn = pieces.where(F.length("data") >= length).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(per_piece))))
-    offset = F.pmod(F.xxhash64("shard_id", "piece_index", "peer_id", F.col("_i"), F.lit(seed)), room)
+    offset = F.pmod(hashed_number(F.concat_ws("|", "shard_id", "piece_index", "peer_id", "_i", F.lit(str(seed)))), room)
     cut = drawn.withColumn("offset", offset)
     return cut.select("shard_id", "piece_index", "peer_id", F.sha2("data", 256).alias("piece_hash"), "offset", F.substring(F.col("data"), (F.col("offset") + 1).cast("int"), F.lit(length)).alias("expected_data")).distinct()
 
@@ -206,17 +216,23 @@ def peer_quota(offers: DataFrame, peers: DataFrame, outbound: DataFrame, hosted:
     return joined.select("peer_id", "incoming", allowance.alias("allowance"), F.coalesce(fits & room, F.lit(False)).alias("accepted"))
 
 
-def adopt(peers: DataFrame, tests: DataFrame, held: DataFrame, as_of: Column, days: int) -> DataFrame:
-    """Peers with the next adoption status.
+def adopt(peers: DataFrame, tests: DataFrame, held: DataFrame, as_of: Column, minutes: int) -> DataFrame:
+    """Peers with the next adoption status, and the status that follows from it.
 
-    none (asked for: adoption_requested) starts testing. After ``days`` of testing a peer has
-    completed if every test piece of it can be retrieved, else failed.
+    none (asked for: adoption_requested) starts testing. Once testing has lasted ``minutes``, a peer has
+    completed if every test piece of it can be retrieved, and is trusted; else it has failed, and is discovered.
     """
     had = tests.join(held.select("hash", "peer_id", F.lit(True).alias("_have")).distinct(), ["hash", "peer_id"], "left")
     state = had.groupBy(F.col("peer_id").alias("id")).agg(F.bool_and(F.coalesce("_have", F.lit(False))).alias("_all"))
-    joined = peers.join(state, "id", "left")
-    over = older(F.col("adoption_start_at"), as_of, days=days)
-    ended = F.when(F.coalesce("_all", F.lit(False)), "completed").otherwise("failed")
+    over = F.col("adoption_start_at") <= as_of - F.make_dt_interval(mins=F.lit(minutes))
     starts = (F.col("adoption_status") == "none") & F.col("adoption_requested")
-    status = F.when(starts, "testing").when((F.col("adoption_status") == "testing") & over, ended).otherwise(F.col("adoption_status"))
-    return joined.withColumn("adoption_start_at", F.when(starts, as_of).otherwise(F.col("adoption_start_at"))).withColumn("adoption_status", status).drop("_all")
+    ends = (F.col("adoption_status") == "testing") & over
+    passed = F.coalesce("_all", F.lit(False))
+    joined = peers.join(state, "id", "left").withColumn("_ends", F.when(ends, passed)).withColumn("_starts", F.coalesce(starts, F.lit(False)))
+    return joined.withColumns(
+        {
+            "adoption_start_at": F.when(F.col("_starts"), as_of).otherwise(F.col("adoption_start_at")),
+            "adoption_status": F.when(F.col("_starts"), "testing").when(F.col("_ends"), "completed").when(~F.col("_ends"), "failed").otherwise(F.col("adoption_status")),
+            "status": F.when(F.col("_ends"), "trusted").when(~F.col("_ends"), "discovered").otherwise(F.col("status")),
+        }
+    ).drop("_all", "_ends", "_starts")

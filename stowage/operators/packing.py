@@ -18,14 +18,9 @@ def addresses(blobs: DataFrame, order: str, size: str = "size", parts: int | Non
     each) are summed over all. No window covers the whole table.
     """
     parts = parts or int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    low, high = blobs.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return blobs.withColumn("start", F.lit(0).cast("long"))
-    bounds = blobs.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
-    bucket = F.lit(0)
-    for bound in sorted(set(bounds)):
-        bucket = bucket + F.when(F.col(order) > bound, 1).otherwise(0)
-    dealt = blobs.withColumn("_range", bucket)
+    # a subquery of the same plan, which so computes the blobs once
+    bounds = blobs.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).scalar()
+    dealt = blobs.withColumn("_bounds", bounds).withColumn("_range", F.size(F.filter("_bounds", lambda bound: F.col(order) > bound))).drop("_bounds")
     totals = dealt.groupBy("_range").agg(F.sum(size).alias("_total"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))

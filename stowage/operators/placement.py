@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Parts of each side of a product.
+BLOCKS = 8
+
+
 def eligible(mirrored: Column, size: Column) -> Column:
     """Whether a peer (columns status, adoption_status, max_storage_size, outbound_storage_size, in bytes) may take a piece."""
     fits = F.col("outbound_storage_size") + size <= F.col("max_storage_size")
@@ -30,12 +34,14 @@ def lacking(peers: DataFrame, outbound: DataFrame) -> DataFrame:
 def mirror_fan_out(shards: DataFrame, peers: DataFrame, outbound: DataFrame) -> DataFrame:
     """(shard_id, peer_id): every mirrored shard on every peer that isn't blocked and lacks it.
 
-    The result is the product by definition; the peers join on a constant and
-    Spark broadcasts them if they are few.
+    The result is the product by definition. Peers and shards are dealt into BLOCKS
+    parts each, which meet in a task for each two of them.
     """
-    mirrored = shards.where("mirrored").select(F.col("id").alias("shard_id"), F.lit(1).alias("_one"))
-    active = peers.where(F.col("status") != "blocked").select("id", F.lit(1).alias("_one"))
-    return lacking(mirrored.join(active, "_one").drop("_one"), outbound).select("shard_id", F.col("id").alias("peer_id"))
+    parts = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
+    part = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")
+    mirrored = shards.where("mirrored").select(F.col("id").alias("shard_id"), part.alias("_a"), F.explode(parts).alias("_b"))
+    active = peers.where(F.col("status") != "blocked").select("id", part.alias("_b"), F.explode(parts).alias("_a"))
+    return lacking(mirrored.join(active, ["_a", "_b"]).drop("_a", "_b"), outbound).select("shard_id", F.col("id").alias("peer_id"))
 
 
 def jobs_per_peer(assigned: DataFrame) -> DataFrame:

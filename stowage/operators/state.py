@@ -55,6 +55,11 @@ def release_references(log: DataFrame, order: list[str]) -> DataFrame:
     return clamped_total(log, ["hash", "peer_id"], order, "delta", "ref_count").where("ref_count > 0")
 
 
+def common(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys that stand in both tables."""
+    return a.select(*keys).distinct().join(b.select(*keys), keys, "left_semi")
+
+
 def unowned(hashes: DataFrame, owners: DataFrame) -> DataFrame:
     """Hashes whose bytes may be deleted: no owner is left."""
     return hashes.select("hash").distinct().join(owners.select("hash"), "hash", "left_anti")

@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import codecs, paths
 from ..operators import catalog, chunking, erasure, health, packing, placement, state
+from ..sources.blobs import hosted_items
 from ..sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,14 +44,18 @@ def blobs_of_documents(spark: SparkSession, folder: str) -> DataFrame:
     return docs.groupBy("hash").agg(F.min("doc_id").alias("ord"), F.max("size").alias("size"))
 
 
+def packed_sql(name: str, blobs: str) -> str:
+    """Common table expression ``name``: the locations of ``blobs`` (hash, ord, size)."""
+    piece = SHARD_BYTES // SHARD_PIECES
+    return f"""
+  {name}_placed AS (SELECT hash, size, coalesce(sum(size) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM {blobs}),
+  {name}_cuts AS (SELECT hash, start, start + size AS stop, unnest(range(start // {piece}, (start + size - 1) // {piece} + 1)) AS slot FROM {name}_placed WHERE size > 0),
+  {name} AS (SELECT hash, (slot // {SHARD_PIECES})::BIGINT AS shard_id, (slot % {SHARD_PIECES})::INT AS piece_index, (greatest(start, slot * {piece}) - slot * {piece})::BIGINT AS "offset",
+    (least(stop, (slot + 1) * {piece}) - greatest(start, slot * {piece}))::BIGINT AS length, (slot - start // {piece})::INT AS sequence FROM {name}_cuts)"""
+
+
 PACKED = f"""
-  blobs AS (SELECT sha256(text) AS hash, min(doc_id) AS ord, max(strlen(text))::BIGINT AS size FROM documents GROUP BY 1),
-  placed AS (SELECT hash, size, coalesce(sum(size) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM blobs),
-  cuts AS (SELECT hash, start, start + size AS stop, unnest(range(start // {SHARD_BYTES // SHARD_PIECES}, (start + size - 1) // {SHARD_BYTES // SHARD_PIECES} + 1)) AS slot FROM placed WHERE size > 0),
-  packed AS (SELECT hash, (slot // {SHARD_PIECES})::BIGINT AS shard_id, (slot % {SHARD_PIECES})::INT AS piece_index,
-    (greatest(start, slot * {SHARD_BYTES // SHARD_PIECES}) - slot * {SHARD_BYTES // SHARD_PIECES})::BIGINT AS "offset",
-    (least(stop, (slot + 1) * {SHARD_BYTES // SHARD_PIECES}) - greatest(start, slot * {SHARD_BYTES // SHARD_PIECES}))::BIGINT AS length,
-    (slot - start // {SHARD_BYTES // SHARD_PIECES})::INT AS sequence FROM cuts)
+  blobs AS (SELECT sha256(text) AS hash, min(doc_id) AS ord, max(strlen(text))::BIGINT AS size FROM documents GROUP BY 1), {packed_sql("packed", "blobs")}
 """
 
 
@@ -165,12 +170,14 @@ def version_asof(spark, folder):
     return catalog.version_as_of(orders, "o_custkey", ["o_orderdate", "o_orderkey"], F.col("o_orderdate") <= F.lit(AS_OF).cast("timestamp_ntz"))
 
 
-@query("""SELECT c_name, o_orderkey, o_orderdate, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INT AS nth
-FROM orders JOIN customer ON c_custkey = o_custkey""")
+@query("""SELECT o_custkey AS file_id, o_orderkey AS version_id, c_nationkey::BIGINT AS backup_id, TIMESTAMP '2020-01-01' + to_days(c_nationkey) AS start_time, n_name AS status,
+  o_orderdate AS mtime, o_totalprice AS size, o_orderpriority AS hash_plain FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
 def history(spark, folder):
-    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    joined = read(spark, folder, "orders").join(read(spark, folder, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    return joined.select("c_name", "o_orderkey", "o_orderdate", "o_orderstatus", F.row_number().over(newest).alias("nth"))
+    owner = read(spark, folder, "customer").select(F.col("c_custkey").alias("file_id"), F.col("c_nationkey").cast("long").alias("backup_id"))
+    orders = read(spark, folder, "orders").select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("mtime"), F.col("o_totalprice").alias("size"), F.col("o_orderpriority").alias("hash_plain"))
+    start = F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("n_nationkey"))
+    backups = read(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("id"), start.alias("start_time"), F.col("n_name").alias("status"))
+    return catalog.history(orders.join(owner, "file_id"), backups)
 
 
 @query("""SELECT n_name AS dir_path, c_name AS filename, max(o_orderdate) AS mtime FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
@@ -182,18 +189,21 @@ def directory_state(spark, folder):
     return catalog.directory_state(directories, files, versions)
 
 
-@query("""WITH a AS (SELECT o_custkey, max(o_orderdate) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' AND o_custkey % 10 <> 1 GROUP BY 1),
-b AS (SELECT o_custkey, max(o_orderdate) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_custkey % 10 <> 2 GROUP BY 1)
+SNAPSHOT = "SELECT o_custkey, max(o_orderdate) AS m FROM orders WHERE o_orderdate < TIMESTAMP '{}' GROUP BY 1 HAVING arg_max(o_orderpriority, {{'d': o_orderdate, 'k': o_orderkey}}) NOT LIKE '{}%'"
+
+
+@query(f"""WITH a AS ({SNAPSHOT.format("1995-01-01", 1)}), b AS ({SNAPSHOT.format("1996-01-01", 2)})
 SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.m IS NULL THEN 'new' WHEN b.m IS NULL THEN 'deleted' WHEN b.m > a.m THEN 'modified' ELSE 'same' END AS change
 FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""")
 def snapshot_diff(spark, folder):
-    orders = read(spark, folder, "orders")
+    """Customers' newest orders at two times; one whose newest order has a certain priority has been deleted by then."""
+    orders = read(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority")
 
-    def snapshot(end: str, absent: int) -> DataFrame:
-        rows = orders.where((F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz")) & (F.col("o_custkey") % 10 != absent))
-        return rows.groupBy("o_custkey").agg(F.max("o_orderdate").alias("mtime"))
+    def snapshot(end: str, deleted: str) -> DataFrame:
+        newest = catalog.version_as_of(orders, "o_custkey", ["o_orderdate", "o_orderkey"], F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz"))
+        return newest.where(~F.col("o_orderpriority").startswith(deleted)).select("o_custkey", F.col("o_orderdate").alias("mtime"))
 
-    return catalog.changes(snapshot("1995-01-01", 1), snapshot("1996-01-01", 2), ["o_custkey"])
+    return catalog.changes(snapshot("1995-01-01", "1"), snapshot("1996-01-01", "2"), ["o_custkey"])
 
 
 @query("SELECT page_id, url FROM pages WHERE ends_with(lower(url), lower('#TOP'))")
@@ -224,30 +234,56 @@ def crawl_excludes(spark, folder):
     return exclude(pages, excludes).select("page_id", "url")
 
 
-@query("""SELECT l_orderkey AS shard_id, sum(l_quantity) AS total, sum(CASE WHEN o_orderstatus = 'F' AND l_shipdate < TIMESTAMP '1998-01-01' THEN l_quantity ELSE 0 END) AS wasted,
-  round(sum(CASE WHEN o_orderstatus = 'F' AND l_shipdate < TIMESTAMP '1998-01-01' THEN l_quantity ELSE 0 END) / nullif(sum(l_quantity), 0), 6) AS ratio
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1
-HAVING sum(CASE WHEN o_orderstatus = 'F' AND l_shipdate < TIMESTAMP '1998-01-01' THEN l_quantity ELSE 0 END) / nullif(sum(l_quantity), 0) >= 0.5""")
-def gc_waste(spark, folder):
-    orders = read(spark, folder, "orders").select(F.col("o_orderkey").alias("blob_hash"), "o_orderstatus")
-    items = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("blob_hash"), "l_quantity", "l_shipdate").join(orders, "blob_hash")
-    expired = (F.col("o_orderstatus") == "F") & (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
-    sums = items.groupBy(F.col("blob_hash").alias("shard_id")).agg(F.sum("l_quantity").alias("total"), F.sum(F.when(expired, F.col("l_quantity")).otherwise(0.0)).alias("wasted"))
-    rated = sums.withColumn("ratio", F.try_divide("wasted", "total")).where("ratio >= 0.5")
-    return rated.withColumn("ratio", F.round("ratio", 6)).orderBy(F.desc("ratio"), "shard_id")
-
-
 GC_STATE = """CASE WHEN o_orderstatus = 'O' THEN 'live' WHEN o_orderpriority LIKE '5%' THEN 'limbo'
   WHEN o_orderdate < TIMESTAMP '1998-01-01' - (CASE WHEN o_orderpriority LIKE '1%' THEN INTERVAL 1440 DAY ELSE INTERVAL 720 DAY END) THEN 'wasted' ELSE 'live' END"""
 
 
+def blobs_of_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as blobs: open ones are referenced, priority 5 was never deleted, priority 1 is special."""
+    priority = F.col("o_orderpriority")
+    return read(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("hash"), F.when(F.col("o_orderstatus") == "O", 1).otherwise(0).alias("ref_count"),
+        F.when(~priority.startswith("5"), F.col("o_orderdate")).alias("deleted_at"), priority.startswith("1").alias("special"),
+    )
+
+
+GC_TIME, GC_MINUTES = "1998-01-01", (720 * 1440, 1440 * 1440)
+
+
+@query(f"""SELECT l_suppkey AS shard_id, s_suppkey * 1000 AS shard_size, sum(l_quantity::BIGINT)::BIGINT AS total, coalesce(sum(l_quantity::BIGINT) FILTER (state = 'wasted'), 0)::BIGINT AS wasted,
+  round(coalesce(sum(l_quantity::BIGINT) FILTER (state = 'wasted'), 0)::DOUBLE / sum(l_quantity::BIGINT), 6) AS ratio
+FROM lineitem JOIN (SELECT o_orderkey, {GC_STATE} AS state FROM orders) ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal >= 0
+GROUP BY 1, 2 HAVING coalesce(sum(l_quantity::BIGINT) FILTER (state = 'wasted'), 0)::DOUBLE / sum(l_quantity::BIGINT) >= 0.2""")
+def gc_waste(spark, folder):
+    locations = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("blob_hash"), F.col("l_suppkey").alias("shard_id"), F.col("l_quantity").cast("long").alias("length"))
+    shards = read(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") >= 0, "sealed").otherwise("open").alias("status"), (F.col("s_suppkey") * 1000).alias("size"))
+    found = health.waste(locations, blobs_of_orders(spark, folder), shards, F.lit(GC_TIME).cast("timestamp_ntz"), *GC_MINUTES, 0.2)
+    return found.withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"""WITH {PACKED}, state AS (SELECT hash, size, ord, ord % 6 = 0 AS wasted FROM blobs),
+candidates AS (SELECT shard_id FROM packed JOIN state USING (hash) GROUP BY 1
+  HAVING sum(length) = {SHARD_BYTES} AND shard_id < (SELECT max(shard_id) FROM packed) AND coalesce(sum(length) FILTER (wasted), 0)::DOUBLE / sum(length) >= 0.15),
+doomed AS (SELECT DISTINCT hash FROM packed WHERE shard_id IN (FROM candidates)),
+keepers AS (SELECT hash, size, ('0x' || md5(hash)[1:15])::BIGINT AS ord FROM state WHERE hash IN (FROM doomed) AND NOT wasted), {packed_sql("moved", "keepers")}
+SELECT hash AS blob_hash, shard_id, piece_index, "offset", length, sequence FROM packed WHERE hash NOT IN (FROM doomed)
+UNION ALL SELECT hash, shard_id + (SELECT max(shard_id) + 1 FROM packed), piece_index, "offset", length, sequence FROM moved""")
+def gc_repack(spark, folder):
+    """Locations after the shards with much waste are packed anew; every sixth blob is long deleted, every third without references."""
+    locations = shard_packing(spark, folder).withColumnRenamed("hash", "blob_hash")
+    as_of = F.lit("2024-02-01").cast("timestamp_ntz")
+    blobs = blobs_of_documents(spark, folder).select(
+        "hash", "size", F.when(F.col("ord") % 3 == 0, 0).otherwise(1).alias("ref_count"), F.when(F.col("ord") % 6 == 0, F.lit("2024-01-01").cast("timestamp_ntz")).alias("deleted_at"), F.lit(False).alias("special"),
+    )
+    shards = shard_summary(spark, folder).select(F.col("shard_id").alias("id"), F.when(F.col("sealed"), "sealed").otherwise("open").alias("status"), F.lit(SHARD_BYTES).alias("size"))
+    candidates = health.waste(locations, blobs, shards, as_of, 0, 0, 0.15)
+    return health.repack(locations, blobs, candidates, as_of, 0, 0, SHARD_BYTES // SHARD_PIECES, SHARD_PIECES)[0]
+
+
 @query(f"SELECT o_orderkey, {GC_STATE} AS state FROM orders")
 def gc_live(spark, folder):
-    orders = read(spark, folder, "orders")
-    refs = F.when(F.col("o_orderstatus") == "O", 1).otherwise(0)
-    deleted = F.when(~F.col("o_orderpriority").startswith("5"), F.col("o_orderdate"))
-    as_of = F.lit("1998-01-01").cast("timestamp_ntz")
-    return orders.select("o_orderkey", health.liveness(refs, deleted, F.col("o_orderpriority").startswith("1"), as_of, 720 * 1440, 1440 * 1440).alias("state"))
+    state = health.liveness(F.col("ref_count"), F.col("deleted_at"), F.col("special"), F.lit(GC_TIME).cast("timestamp_ntz"), *GC_MINUTES)
+    return blobs_of_orders(spark, folder).select(F.col("hash").alias("o_orderkey"), state.alias("state"))
 
 
 @query("""WITH s AS (SELECT o.o_orderkey, o.o_orderpriority LIKE '1%' AS mirrored, count(DISTINCT l_linenumber) AS pieces, count(DISTINCT l_suppkey) AS peers
@@ -280,11 +316,19 @@ s AS (SELECT o.o_orderkey AS id, o.o_orderpriority LIKE '1%' AS mirrored, count(
   FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linestatus = 'F' AND l.l_suppkey NOT IN (SELECT s_suppkey FROM dead) GROUP BY 1, 2)
 SELECT * FROM s WHERE CASE WHEN mirrored THEN peers < 2 ELSE pieces < 4 END""")
 def repair_candidates(spark, folder):
-    shards, lines = shards_of_orders(spark, folder)
+    shards, _ = shards_of_orders(spark, folder)
+    return health.repair_candidates(shards, lost_pieces(spark, folder), 3, 1)
+
+
+@query("""SELECT l_orderkey AS shard_id, l_linenumber AS piece_index, l_suppkey AS peer_id, CASE WHEN l_linestatus <> 'F' THEN 'pending' WHEN s_acctbal < 2000 AND s_nationkey <> 3 THEN 'lost' ELSE 'uploaded' END AS status
+FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey""")
+def lost_pieces(spark, folder):
+    """Pieces after those of peers unseen for a week are marked; blocked peers are exempt."""
+    _, lines = shards_of_orders(spark, folder)
     as_of = F.lit("2024-01-31").cast("timestamp_ntz")
     seen = as_of - F.make_dt_interval(F.when(F.col("s_acctbal") < 2000, 10).otherwise(1))
     peers = read(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), seen.alias("last_seen"), F.when(F.col("s_nationkey") == 3, "blocked").otherwise("trusted").alias("status"))
-    return health.repair_candidates(shards, health.mark_lost(lines, peers, as_of, 7), 3, 1)
+    return health.mark_lost(lines, peers, as_of, 168)
 
 
 @query("""WITH p AS (SELECT DISTINCT l_orderkey AS shard_id, l_linenumber AS piece_index, l_suppkey AS peer_id FROM lineitem WHERE l_linestatus = 'F'),
@@ -341,13 +385,12 @@ def reciprocity(spark, folder):
     return health.peer_quota(offers, peers, outbound, hosted, 10)
 
 
-@query("SELECT (SELECT coalesce(sum(l_quantity), 0)::BIGINT FROM lineitem) AS hosted_bytes, (SELECT count(*) FROM orders) AS own_blobs, (SELECT coalesce(sum(l_quantity), 0)::BIGINT FROM lineitem) + (SELECT coalesce(sum(o_totalprice::BIGINT), 0)::BIGINT FROM orders WHERE o_totalprice = floor(o_totalprice)) AS total")
+@query("""SELECT *, hosted_bytes + own_bytes AS total FROM (SELECT (SELECT coalesce(sum(l_quantity), 0)::BIGINT FROM lineitem) AS hosted_bytes, (SELECT count(*) FROM orders) AS own_blobs,
+  (SELECT coalesce(sum(round(o_totalprice * 100)::BIGINT), 0)::BIGINT FROM orders) AS own_bytes)""")
 def storage_totals(spark, folder):
-    hosted = read(spark, folder, "lineitem").agg(F.coalesce(F.sum(F.col("l_quantity").cast("long")), F.lit(0)).alias("n"))
-    orders = read(spark, folder, "orders")
-    own = orders.agg(F.coalesce(F.sum(F.when(F.col("o_totalprice") == F.floor("o_totalprice"), F.col("o_totalprice").cast("long"))), F.lit(0)).alias("n"))
-    total = hosted.unionByName(own).agg(F.sum("n").alias("total"))
-    return total.select(hosted.scalar().alias("hosted_bytes"), orders.agg(F.count("*")).scalar().alias("own_blobs"), "total")
+    hosted = read(spark, folder, "lineitem").agg(F.coalesce(F.sum(F.col("l_quantity").cast("long")), F.lit(0)))
+    own = read(spark, folder, "orders").agg(F.count("*").alias("own_blobs"), F.coalesce(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")), F.lit(0)).alias("own_bytes"))
+    return own.withColumn("hosted_bytes", hosted.scalar()).withColumn("total", F.col("hosted_bytes") + F.col("own_bytes"))
 
 
 @query("""WITH used AS (SELECT l_suppkey, sum(l_quantity)::BIGINT AS used FROM lineitem GROUP BY 1), held AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_orderkey = 1 AND l_linestatus = 'O')
@@ -423,10 +466,11 @@ def display_formats(spark, folder):
     return read(spark, folder, "part").select("p_partkey", paths.format_bytes(size).alias("size"), paths.short_hash(shown).alias("shown"), paths.permissions(F.col("p_size") * 64).alias("mode"))
 
 
-@query("""SELECT source, sum(strlen(text))::BIGINT AS bytes, count(*) AS files, round(sum(strlen(text)) / 0.001, 3)::DOUBLE AS bytes_per_second FROM documents GROUP BY 1""")
+@query("""SELECT source, sum(strlen(text))::BIGINT AS bytes, count(*) AS files, round(sum(strlen(text)) / CASE WHEN count(*) % 5 = 0 THEN 0.001 ELSE count(*) % 5 END, 3)::DOUBLE AS bytes_per_second FROM documents GROUP BY 1""")
 def transfer_rates(spark, folder):
+    """Rates of 0 to 4 seconds, by the number of files."""
     sums = read(spark, folder, "documents").groupBy("source").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("files"))
-    return sums.withColumn("bytes_per_second", F.round(paths.rate_per_second(F.col("bytes"), F.lit(0)), 3))
+    return sums.withColumn("bytes_per_second", F.round(paths.rate_per_second(F.col("bytes"), F.col("files") % 5), 3))
 
 
 @query()
@@ -448,21 +492,233 @@ def parts_of_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return located.join(texts, "hash").select("shard_id", "piece_index", "offset", data.alias("data"))
 
 
-@query()
+@query(f"""WITH {PACKED} SELECT DISTINCT shard_id, unnest([shard_id % 4, (shard_id + 1) % 4])::INT AS piece_index, true AS recovered FROM packed""")
 def erasure_recovery(spark, folder):
-    """Pieces of the packed whole documents, encoded 4 + 2, recovered after two of each shard are lost."""
-    coded = erasure.encode(parts_of_pieces(spark, folder), SHARD_PIECES, 2, SHARD_BYTES // SHARD_PIECES)
-    lost = coded.where((F.col("piece_index") != F.col("shard_id") % 4) & (F.col("piece_index") != (F.col("shard_id") + 1) % 4))
-    found = erasure.reconstruct(lost, SHARD_PIECES, 2)
-    both = found.join(coded.select("shard_id", "piece_index", "piece_hash"), ["shard_id", "piece_index"])
-    return both.select("shard_id", "piece_index", (F.sha2("data", 256) == F.col("piece_hash")).alias("recovered"))
+    """Pieces of the packed whole documents, encoded 4 + 2, recovered after two data pieces of each shard are lost, against the hashes of the packed bytes."""
+    size, parts = SHARD_BYTES // SHARD_PIECES, parts_of_pieces(spark, folder)
+    coded = erasure.encode(parts, SHARD_PIECES, 2, size)
+    gone = (F.col("piece_index") == F.col("shard_id") % 4) | (F.col("piece_index") == (F.col("shard_id") + 1) % 4)
+    found = erasure.reconstruct(coded.where(~gone), SHARD_PIECES, 2)
+    packed = chunking.reassemble(parts.where(gone), ["shard_id", "piece_index"], "offset")
+    hashes = packed.select("shard_id", "piece_index", F.sha2(F.rpad("content", F.lit(size), F.lit(b"\0")), 256).alias("hash"))
+    both = found.join(hashes, ["shard_id", "piece_index"], "left")
+    # a piece beyond the last byte is all zeros
+    hash_ = F.coalesce("hash", F.sha2(F.rpad(F.lit(b""), F.lit(size), F.lit(b"\0")), 256))
+    return both.select("shard_id", "piece_index", (F.sha2("data", 256) == hash_).alias("recovered"))
+
+
+@query("SELECT doc_id, strlen(text)::BIGINT AS bytes, true AS same FROM documents")
+def compressed_roundtrip(spark, folder):
+    """Whether the texts come back from zstd, with their sizes."""
+    docs = read(spark, folder, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    back = docs.select("doc_id", "data", codecs.decompress(codecs.compress(F.col("data"))).alias("back"))
+    return back.select("doc_id", F.length("back").cast("long").alias("bytes"), (F.col("back") == F.col("data")).alias("same"))
 
 
-@query()
-def compressed_roundtrip(spark, folder):
-    """zstd sizes of the texts, and whether they come back."""
-    from ..functions.codecs import compress, decompress
+@query("SELECT c_custkey, upper((sha256(c_custkey::VARCHAR || ':0') || sha256(c_custkey::VARCHAR || ':1') || sha256(c_custkey::VARCHAR || ':2') || sha256(c_custkey::VARCHAR || ':3'))[1:200]) AS hex FROM customer")
+def generated_bytes(spark, folder):
+    return read(spark, folder, "customer").select("c_custkey", F.hex(codecs.test_bytes(F.col("c_custkey"), 100)).alias("hex"))
 
-    docs = read(spark, folder, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
-    packed = docs.select("doc_id", "data", compress(F.col("data")).alias("packed"))
-    return packed.select("doc_id", F.length("packed").alias("packed_bytes"), (decompress(F.col("packed")) == F.col("data")).alias("same"))
+
+# lookups, restore and download
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def lookup_keys(spark, folder):
+    wanted = read(spark, folder, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return catalog.lookup(read(spark, folder, "orders"), wanted, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT e.event_id, c.c_custkey AS peer_id FROM events e JOIN customer c ON c.c_name = 'Customer#' || lpad(e.user_id::VARCHAR, 9, '0')")
+def by_public_key(spark, folder):
+    offers = read(spark, folder, "events").select("event_id", F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("public_key"))
+    return catalog.by_public_key(offers, read(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("public_key")))
+
+
+@query("SELECT c_custkey AS key FROM customer INTERSECT SELECT user_id FROM events")
+def common_keys(spark, folder):
+    return state.common(read(spark, folder, "events").select(F.col("user_id").alias("key")), read(spark, folder, "customer").select(F.col("c_custkey").alias("key")), ["key"])
+
+
+@query("SELECT c_custkey AS file_id, n_name || '/' || c_name AS path, c_acctbal < 0 AS deleted FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE lower(n_name || '/' || c_name) LIKE '%/customer#000%7_'")
+def find_files(spark, folder):
+    """Files by a pattern; what is deleted is found as well."""
+    directories, files = directories_and_files(spark, folder)
+    return catalog.find_files(directories, files, "/CUSTOMER#000%7_", include_deleted=True)
+
+
+def directories_and_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as directories of customers."""
+    directories = read(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("full_path"))
+    files = read(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("dir_id"), F.col("c_name").alias("filename"), (F.col("c_acctbal") < 0).alias("deleted"))
+    return directories, files
+
+
+@query("""WITH last AS (SELECT o_custkey, max(o_orderkey) AS version FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1),
+content AS (SELECT l_orderkey, string_agg(p_name, '' ORDER BY l_linenumber, p_name) AS text FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+SELECT '/restored/' || n_name || '/' || c_name AS path, sha256(coalesce(text, '')) AS hash, year(o_orderdate) AS mtime, 420 AS mode
+FROM last JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN orders ON o_orderkey = version LEFT JOIN content ON l_orderkey = version WHERE c_acctbal >= 0""")
+def restore_files(spark, folder):
+    """Every customer's newest order of a backup before 1997, restored from its parts."""
+    directories, files = directories_and_files(spark, folder)
+    orders = read(spark, folder, "orders")
+    versions = orders.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("file_id"), F.year("o_orderdate").alias("backup_id"), F.year("o_orderdate").alias("mtime"), F.lit(0).alias("uid"), F.lit(0).alias("gid"), F.lit(0o644).alias("mode"),
+    )
+    parts = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("sequence"), F.col("l_partkey").alias("hash_encrypted"))
+    blobs = read(spark, folder, "part").select(F.col("p_partkey").alias("hash_encrypted"), F.col("p_name").cast("binary").alias("data"))
+    found = catalog.find_files(directories, files, "/", "contains")
+    restored = catalog.restore(found, versions, parts, blobs, "/nowhere", "/restored", backup_id=1996)
+    return restored.select("path", F.sha2("content", 256).alias("hash"), "mtime", "mode")
+
+
+@query("SELECT DISTINCT sha256(text) AS hash, true AS whole FROM documents WHERE length(text) > 0")
+def download_ranges(spark, folder):
+    """Every text from its byte ranges in the packed pieces."""
+    pieces = chunking.reassemble(parts_of_pieces(spark, folder), ["shard_id", "piece_index"], "offset").withColumnRenamed("content", "data")
+    requested = blobs_of_documents(spark, folder).where("size > 0")
+    found, missing = chunking.download(requested, shard_packing(spark, folder).withColumnRenamed("hash", "blob_hash"), pieces)
+    return found.select("hash", (F.sha2("content", 256) == F.col("hash")).alias("whole")).unionByName(missing.select("hash", F.lit(False).alias("whole")))
+
+
+@query("SELECT DISTINCT sha256(text) AS hash, strlen(text)::BIGINT AS bytes FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE lang = 'fr')")
+def hosted_download(spark, folder):
+    """Requested texts that are hosted for a peer: French ones."""
+    docs = read(spark, folder, "documents").where("text IS NOT NULL")
+    stored = docs.where("lang = 'fr'").select(F.concat(F.lit("peer_"), F.sha2("text", 256)).alias("key"), F.col("text").cast("binary").alias("data")).dropDuplicates(["key"])
+    found, _ = hosted_items(docs.select(F.sha2("text", 256).alias("hash")), stored)
+    return found.select("hash", F.length("data").cast("long").alias("bytes"))
+
+
+@query("""SELECT source || ':' || (doc_id // 500) AS batch, coalesce(string_agg(position::VARCHAR, ',' ORDER BY position) FILTER (NOT known), '') AS needed
+FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source, doc_id // 500 ORDER BY doc_id) - 1 AS position, sha256(text) IN (SELECT sha256(text) FROM documents WHERE lang = 'en') AS known FROM documents) GROUP BY 1""")
+def needed_indices(spark, folder):
+    """Positions of hashes in offers of up to 500 documents of a source that English ones don't cover."""
+    docs = read(spark, folder, "documents").select("source", "doc_id", "lang", F.sha2("text", 256).alias("hash"))
+    batch = F.concat("source", F.lit(":"), F.floor(F.col("doc_id") / 500).cast("string"))
+    offers = docs.groupBy(batch.alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "hash"))), lambda x: x["hash"]).alias("hashes"))
+    found = chunking.needed_indices(offers, docs.where("lang = 'en'"))
+    return found.select("batch", F.array_join(F.transform("needed", lambda i: i.cast("string")), ",").alias("needed"))
+
+
+# the catalogs' other changes
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN o_totalprice END AS o_totalprice FROM orders")
+def append_versions(spark, folder):
+    orders, cut = read(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), F.lit("1996-01-01").cast("timestamp_ntz")
+    return catalog.append_versions(orders.where(F.col("o_orderdate") < cut), orders.where(F.col("o_orderdate") >= cut).drop("o_totalprice"))
+
+
+@query("SELECT c_name, 0::BIGINT AS mtime FROM customer")
+def reset_snapshot(spark, folder):
+    return catalog.reset(read(spark, folder, "customer").select("c_name", F.col("c_custkey").alias("mtime")))
+
+
+@query("SELECT s_suppkey, s_acctbal >= 5000 AND s_nationkey % 2 = 0 AS swapped, CASE WHEN s_acctbal >= 5000 AND s_nationkey % 2 = 0 THEN 'testing' WHEN s_nationkey % 2 = 0 THEN 'none' ELSE 'failed' END AS adoption_status FROM supplier")
+def compare_and_swap(spark, folder):
+    peers = read(spark, folder, "supplier").select("s_suppkey", "s_acctbal", F.when(F.col("s_nationkey") % 2 == 0, "none").otherwise("failed").alias("adoption_status"))
+    return state.compare_and_swap(peers, "adoption_status", "none", "testing", F.col("s_acctbal") >= 5000).drop("s_acctbal")
+
+
+@query("""SELECT o_orderkey, CASE WHEN gone THEN 0 ELSE 1 END AS ref_count, CASE WHEN gone AND o_orderstatus <> 'F' THEN TIMESTAMP '1999-01-01' WHEN o_orderstatus = 'F' THEN o_orderdate END AS deleted_at
+FROM (SELECT *, o_orderpriority NOT LIKE '1%' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F') AS gone FROM orders)""")
+def prune_blobs(spark, folder):
+    """Orders as blobs, softly deleted where no filled line refers to them."""
+    orders, owner = read(spark, folder, "orders"), F.lit(0).alias("owner")
+    stored = orders.select(F.col("o_orderkey").alias("hash"), owner, F.col("o_orderpriority").startswith("1").alias("special"))
+    used = read(spark, folder, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("hash"), owner)
+    blobs = orders.select(F.col("o_orderkey").alias("hash"), F.lit(1).alias("ref_count"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deleted_at"))
+    return catalog.prune(blobs, catalog.orphans(stored, used), F.lit("1999-01-01").cast("timestamp_ntz")).withColumnRenamed("hash", "o_orderkey")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN m IS NULL THEN 'running' ELSE 'completed' END AS status, m AS end_time, n AS offered_files, f AS uploaded_files
+FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS m, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def close_backups(spark, folder):
+    done = read(spark, folder, "orders").groupBy(F.col("o_custkey").alias("backup_id")).agg(F.max("o_orderdate").alias("end_time"), F.count("*").alias("offered"), F.count_if(F.col("o_orderstatus") == "F").alias("uploaded"))
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("end_time", "timestamp_ntz"), ("offered_files", "long"), ("uploaded_files", "long"))]
+    return catalog.close_backups(read(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.lit("running").alias("status"), *nothing), done)
+
+
+@query("SELECT '/queue/shard_' || l_orderkey || '_piece_' || l_linenumber AS path, l_orderkey AS shard_id, l_linenumber AS piece_index FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
+def queue_orphans(spark, folder):
+    """Queued pieces of shards that are gone, beside files that are no pieces."""
+    from ..sources.files import queue_entries, queue_orphans
+
+    pieces = read(spark, folder, "lineitem").select(F.concat(F.lit("shard_"), "l_orderkey", F.lit("_piece_"), "l_linenumber").alias("filename"))
+    names = pieces.unionByName(read(spark, folder, "customer").select(F.col("c_name").alias("filename"))).withColumn("path", F.concat(F.lit("/queue/"), "filename"))
+    return queue_orphans(queue_entries(names), read(spark, folder, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id")))
+
+
+# peers and challenges
+
+
+@query("""SELECT s_suppkey AS id, s_acctbal AS last_seen, CASE WHEN s_nationkey < 10 THEN 'active' ELSE 'pending' END AS kind, coalesce(made, 0) AS made, coalesce(ok, 0) AS ok, coalesce(passed, 0) AS passed,
+  coalesce(attempts, 0) AS attempts, round(coalesce(100.0 * ok / made, 0), 6)::DOUBLE AS uptime, round(coalesce(100.0 * passed / nullif(attempts, 0), 0), 6)::DOUBLE AS integrity
+FROM supplier LEFT JOIN (SELECT user_id, count(*) AS made, count(*) FILTER (event_type IN ('click', 'view', 'error')) AS ok, count(*) FILTER (event_type = 'click') AS passed,
+  count(*) FILTER (event_type IN ('click', 'error')) AS attempts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1) ON user_id = s_suppkey""")
+def list_peers(spark, folder):
+    events = read(spark, folder, "events")
+    status = F.when(F.col("event_type") == "click", "pass").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "view", "ok")
+    results = events.select(F.col("user_id").alias("peer_id"), status.alias("status"), F.col("ts").alias("timestamp"))
+    peers = read(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("last_seen"), F.when(F.col("s_nationkey") < 10, "manual").otherwise("peer").alias("source"))
+    listed = health.list_peers(peers, results, events.agg(F.max("ts")).scalar())
+    return listed.select("id", "last_seen", "kind", "made", "ok", "passed", "attempts", F.round("uptime", 6).alias("uptime"), F.round("integrity", 6).alias("integrity"))
+
+
+@query("""SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) OR NOT TIMESTAMP '1997-01-01' - to_days(c_nationkey) < TIMESTAMP '1997-01-01' - INTERVAL 240 HOUR""")
+def evict_peers(spark, folder):
+    as_of = F.lit("1997-01-01").cast("timestamp_ntz")
+    last = read(spark, folder, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("last_seen"))
+    peers = read(spark, folder, "customer").select(F.col("c_custkey").alias("id"), (as_of - F.make_dt_interval(F.col("c_nationkey"))).alias("first_seen")).join(last, "id", "left")
+    return health.evict(peers, as_of, 240).select("id")
+
+
+@query("""SELECT c_custkey AS id FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE m IS NULL OR m < TIMESTAMP '1998-06-01' - INTERVAL 15 MINUTE""")
+def due_for_contact(spark, folder):
+    last = read(spark, folder, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("last_seen"))
+    peers = read(spark, folder, "customer").select(F.col("c_custkey").alias("id")).join(last, "id", "left")
+    return health.due_for_contact(peers, F.lit("1998-06-01").cast("timestamp_ntz")).select("id")
+
+
+@query("""WITH t AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R'), h AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity > 2),
+a AS (SELECT t.s, bool_and(h.p IS NOT NULL) AS ok FROM t LEFT JOIN h ON h.p = t.p AND h.s = t.s GROUP BY 1)
+SELECT s_suppkey AS id, CASE WHEN s_nationkey % 3 = 0 THEN 'testing' WHEN s_nationkey % 3 = 1 AND due THEN CASE WHEN ok THEN 'completed' ELSE 'failed' END WHEN s_nationkey % 3 = 1 THEN 'testing' ELSE 'completed' END AS adoption_status,
+  CASE WHEN s_nationkey % 3 = 1 AND due THEN CASE WHEN ok THEN 'trusted' ELSE 'discovered' END ELSE 'untrusted' END AS status
+FROM (SELECT *, s_acctbal >= 3000 AS due, coalesce(a.ok, false) AS ok FROM supplier LEFT JOIN a ON a.s = s_suppkey)""")
+def adoption_cycle(spark, folder):
+    lines, as_of = read(spark, folder, "lineitem"), F.lit("2024-01-31").cast("timestamp_ntz")
+    keys = [F.col("l_partkey").alias("hash"), F.col("l_suppkey").alias("peer_id")]
+    kind = F.col("s_nationkey") % 3
+    peers = read(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.when(kind == 0, "none").when(kind == 1, "testing").otherwise("completed").alias("adoption_status"), (kind == 0).alias("adoption_requested"), F.lit("untrusted").alias("status"),
+        (as_of - F.make_dt_interval(mins=F.when(F.col("s_acctbal") >= 3000, 60).otherwise(59))).alias("adoption_start_at"),
+    )
+    return health.adopt(peers, lines.where("l_returnflag = 'R'").select(*keys), lines.where("l_quantity > 2").select(*keys), as_of, 60).select("id", "adoption_status", "status")
+
+
+@query("""SELECT DISTINCT l.l_orderkey AS shard_id, l.l_linenumber AS piece_index, l.l_suppkey AS peer_id, s_name AS public_key FROM lineitem l JOIN supplier ON s_suppkey = l.l_suppkey AND s_nationkey <> 3
+WHERE l.l_quantity > 25 AND EXISTS (SELECT 1 FROM lineitem o WHERE o.l_orderkey = l.l_orderkey AND o.l_linenumber = l.l_linenumber AND o.l_suppkey = l.l_suppkey AND o.l_linestatus = 'F')""")
+def open_challenges(spark, folder):
+    _, outbound = shards_of_orders(spark, folder)
+    made = read(spark, folder, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("shard_id"), F.col("l_linenumber").alias("piece_index"), F.col("l_suppkey").alias("peer_id")).distinct()
+    peers = read(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_nationkey") == 3, "blocked").otherwise("trusted").alias("status"), F.lit(None).cast("string").alias("ip_address"), F.col("s_name").alias("public_key"))
+    return health.open_challenges(made, outbound, peers).select("shard_id", "piece_index", "peer_id", "public_key")
+
+
+@query("""SELECT DISTINCT doc_id AS shard_id, o AS "offset", hex(encode(text))[2 * o + 1 : 2 * o + 64] AS expected, sha256(text) AS piece_hash
+FROM (SELECT doc_id, text, ('0x' || md5(doc_id || '|0|7|' || i || '|3')[1:15])::BIGINT % (strlen(text) - 31) AS o FROM documents, range(1, 9) r(i) WHERE strlen(text) >= 32)""")
+def challenge_windows(spark, folder):
+    """Eight windows of 32 bytes of every text, at hashed offsets."""
+    pieces = read(spark, folder, "documents").select(F.col("doc_id").alias("shard_id"), F.lit(0).alias("piece_index"), F.lit(7).alias("peer_id"), F.col("text").cast("binary").alias("data"))
+    return health.sample_challenges(pieces, 8, seed=3).select("shard_id", "offset", F.hex("expected_data").alias("expected"), "piece_hash")
+
+
+@query("SELECT l_suppkey AS peer_id, count(*) AS jobs, sum(l_quantity::BIGINT)::BIGINT AS bytes FROM lineitem GROUP BY 1")
+def jobs_per_peer(spark, folder):
+    return placement.jobs_per_peer(read(spark, folder, "lineitem").select(F.col("l_suppkey").alias("peer_id"), F.col("l_quantity").cast("long").alias("size")))
+
+
+@query("SELECT l_orderkey AS shard_id FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1 HAVING count(DISTINCT l_linenumber) >= 4")
+def completed_shards(spark, folder):
+    return health.completed_shards(shards_of_orders(spark, folder)[1], 4)

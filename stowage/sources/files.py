@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import struct
 from collections.abc import Iterator
@@ -73,29 +74,37 @@ def read_newest_bundle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_files(restored: DataFrame, target: str) -> DataFrame:
-    """Write (path, content, mtime, mode) under ``target``, a folder all executors share; returns (path, size).
+    """Write (path, content, mtime, mode[, uid, gid]) under ``target``, a folder all executors share; returns (path, size).
 
-    Ownership is set where the process may. Rows are written where they are, so
-    a retry writes the same file again.
+    Modes, owners and times of 0 or null aren't set; owners are where the process may. A path that leads out of
+    ``target`` fails the query. Rows are written where they are, so a retry writes the same file again.
     """
+    root = os.path.realpath(target)
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sizes = []
             for row in frame.itertuples(index=False):
-                path = os.path.join(target, row.path.lstrip("/"))
+                path = os.path.realpath(os.path.join(root, row.path.lstrip("/")))
+                if os.path.commonpath((root, path)) != root:
+                    raise ValueError(f"path leads out of the target: {row.path}")
                 os.makedirs(os.path.dirname(path), exist_ok=True)
                 content = row.content or b""
                 with open(path, "wb") as out:
                     out.write(content)
-                if pd.notna(row.mode):
+                if pd.notna(row.mode) and row.mode:
                     os.chmod(path, int(row.mode) & 0o7777)
-                if pd.notna(row.mtime):
+                uid, gid = (0 if pd.isna(x) else int(x) for x in (row.uid, row.gid))
+                if uid or gid:
+                    with contextlib.suppress(PermissionError):
+                        os.chown(path, uid, gid)
+                if pd.notna(row.mtime) and row.mtime:
                     os.utime(path, (int(row.mtime), int(row.mtime)))
                 sizes.append(len(content))
             yield pd.DataFrame({"path": frame["path"], "size": sizes})
 
-    return restored.select("path", "content", "mtime", "mode").mapInPandas(put, "path string, size long")
+    owners = [F.col(c) if c in restored.columns else F.lit(None).cast("long").alias(c) for c in ("uid", "gid")]
+    return restored.select("path", "content", "mtime", "mode", *owners).mapInPandas(put, "path string, size long")
 
 
 #: Big-endian item header: operation, 32-byte hash, size, flags.

@@ -58,16 +58,21 @@ ADOPTION_OUT = "peer_id long, adoption_status string"
 ADOPTION_STATE = "status string, started double, failures long"
 
 
-def adoption_states(stream: DataFrame, period_seconds: float) -> DataFrame:
-    """Adoption status of each peer after each batch: none, testing, completed, failed.
+def adoption_states(stream: DataFrame, period_seconds: float, delay: str = "1 hour") -> DataFrame:
+    """Adoption status of each peer after each batch, and when its test ends: none, testing, completed, failed.
 
     Events (peer_id, at, kind): ``start``; ``retrieved`` or ``missing`` for a test piece. A test
-    that has lasted the period ends with the next event: completed without
-    a missing piece, else failed.
+    that has lasted the period ends with the peer's next event, or by a timer when the watermark passes its end:
+    completed without a missing piece, else failed. Events may be late by ``delay``.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, started, failures = state.get if state.exists else ("none", 0.0, 0)
+        if state.hasTimedOut:
+            status = "failed" if failures else "completed"
+            state.update((status, started, int(failures)))
+            yield pd.DataFrame({"peer_id": [key[0]], "adoption_status": [status]})
+            return
         for row in pd.concat(list(frames)).sort_values(["at", "kind"]).itertuples():
             now = row.at.timestamp()
             if status == "none" and row.kind == "start":
@@ -77,9 +82,11 @@ def adoption_states(stream: DataFrame, period_seconds: float) -> DataFrame:
                 if now - started >= period_seconds:
                     status = "failed" if failures else "completed"
         state.update((status, started, int(failures)))
+        if status == "testing":
+            state.setTimeoutTimestamp(max(int((started + period_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"peer_id": [key[0]], "adoption_status": [status]})
 
-    return stream.groupBy("peer_id").applyInPandasWithState(step, ADOPTION_OUT, ADOPTION_STATE, "update", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("at", delay).groupBy("peer_id").applyInPandasWithState(step, ADOPTION_OUT, ADOPTION_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_worker(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):

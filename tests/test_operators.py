@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -12,6 +13,7 @@ from stowage import schemas
 from stowage.functions import codecs, paths
 from stowage.operators import catalog, chunking, erasure, health, packing, placement, state
 from stowage.sources import files as sources
+from stowage.sources.blobs import BlobStore
 
 def now():
     return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
@@ -45,6 +47,41 @@ def test_crawl_exclude_and_restore(spark, tmp_path):
     assert sum(r.size for r in done.collect()) == 19
     assert (target / "f1.txt").read_text() == "DUPLICATE" and os.stat(target / "f1.txt").st_mode & 0o777 == 0o600
     assert (target / "empty").read_bytes() == b""
+    owned = left.select(F.lit("sub/owned").alias("path"), "content", "mtime", F.lit(0).alias("mode"), F.lit(os.getuid() or 12).alias("uid"), F.lit(os.getgid() or 34).alias("gid")).limit(1)
+    sources.write_files(owned, str(target)).collect()
+    assert (os.stat(target / "sub/owned").st_uid, os.stat(target / "sub/owned").st_gid) == (os.getuid() or 12, os.getgid() or 34)
+    with pytest.raises(Exception, match="leads out of the target"):
+        sources.write_files(owned.withColumn("path", F.lit("../../elsewhere")), str(target)).collect()
+
+
+def test_blob_store(spark, tmp_path):
+    store = BlobStore(spark, str(tmp_path / "blobs"))
+    blobs = lambda *pairs: spark.createDataFrame(list(pairs), "key string, data binary")
+    store.put(blobs(("a", b"first"), ("b", b"other")), 1)
+    store.put(blobs(("a", b"second"), ("c", b"")), 2)
+    store.delete(spark.createDataFrame([("b",)], "key string"), 3)
+    assert rows(store.stat().select("key", "size")) == [("a", 6), ("c", 0)]
+    assert rows(store.get(spark.createDataFrame([("a",), ("b",), ("x",)], "key string"))) == [("a", b"second")]
+    ranges = spark.createDataFrame([("a", 1, 3), ("a", 4, 9), ("b", 0, 1)], "key string, offset long, length long")
+    assert [(r.key, bytes(r.data)) for r in store.get_ranges(ranges).orderBy("offset").collect()] == [("a", b"eco"), ("a", b"nd")]
+
+
+def test_like_of_odd_patterns(spark):
+    cases = [("/A/b_c", "B_C", True), ("/a/bxc", "b_c", True), ("/a/b\\c", "b\\c", True), ("/a/b%", "b%", True), ("/a/É", "é", False), ("/a/xyz", "x%z", True), ("/a/xyz", "y", False)]
+    df = spark.createDataFrame(cases, "text string, part string, want boolean")
+    assert df.where(paths.ends_with(F.col("text"), F.col("part")) == F.col("want")).count() == len(cases)
+
+
+def test_erasure_by_stripes(spark):
+    rng = random.Random(4)
+    parts = [(s, p, o, rng.randbytes(ln)) for s in (1, 2) for p, o, ln in ((0, 0, 70), (0, 70, 31), (2, 5, 60))]
+    df = spark.createDataFrame(parts, "shard_id long, piece_index int, offset long, data binary")
+    whole, small = (erasure.encode(df, 3, 2, 101, stripe=s) for s in (1 << 20, 16))
+    key = lambda d: {(r.shard_id, r.piece_index): (bytes(r.data), r.piece_hash) for r in d.collect()}
+    assert key(whole) == key(small) and len(key(whole)) == 10 and all(len(d) == 101 for d, _ in key(whole).values())
+    assert small.select("shard_id", "shard_hash").distinct().count() == 2
+    back = erasure.reconstruct(small.where("piece_index IN (1, 3, 4) OR shard_id = 2 AND piece_index = 0"), 3, 2, stripe=16)
+    assert {(r.shard_id, r.piece_index): bytes(r.data) for r in back.collect()} == {k: key(whole)[k][0] for k in [(1, 0), (1, 2), (2, 2)]}
 
 
 def test_queue_bundles_frames(spark, tmp_path):
@@ -194,7 +231,7 @@ def test_repair_replication_completion(spark):
     outbound = spark.createDataFrame([(1, 0, 1, "uploaded"), (1, 1, 2, "uploaded"), (1, 1, 3, "uploaded"), (1, 2, 4, "uploaded"), (2, 0, 1, "uploaded"), (2, 0, 2, "uploaded")], "shard_id long, piece_index int, peer_id long, status string")
     peers = spark.createDataFrame([(1, None, "trusted"), (2, at(1), "blocked"), (3, at(30), "trusted"), (4, at(1), "trusted")], "id long, last_seen timestamp_ntz, status string")
     assert rows(health.repair_candidates(shards, outbound, 2, 1).select("id")) == []
-    lost = health.mark_lost(outbound, peers, now(), 7)
+    lost = health.mark_lost(outbound, peers, now(), 168)
     assert rows(lost.where("status = 'lost'").select("peer_id")) == [(4,)]
     assert rows(health.repair_candidates(shards, lost, 2, 1).select("id")) == [(1,)]
     assert rows(health.replication(shards, lost, 2, 1).select("id", "replication")) == [(1, "partial"), (2, "full"), (3, "none")]
@@ -236,10 +273,10 @@ def test_peers(spark):
 
 
 def test_adoption_batch(spark):
-    peers = spark.createDataFrame([(1, "none", None, True), (2, "testing", at(1), False), (3, "testing", at(1), False), (4, "testing", at(31), False)], "id long, adoption_status string, adoption_start_at timestamp_ntz, adoption_requested boolean")
+    peers = spark.createDataFrame([(1, "none", None, True), (2, "testing", at(1), False), (3, "testing", at(1), False), (4, "testing", at(31), False)], "id long, adoption_status string, adoption_start_at timestamp_ntz, adoption_requested boolean").withColumn("status", F.lit("untrusted"))
     tests = spark.createDataFrame([("h2", 2), ("h3", 3), ("h4", 4)], "hash string, peer_id long")
-    out = health.adopt(peers, tests, spark.createDataFrame([("h2", 2)], "hash string, peer_id long"), now(), 7)
-    assert rows(out.select("id", "adoption_status")) == [(1, "testing"), (2, "completed"), (3, "failed"), (4, "testing")]
+    out = health.adopt(peers, tests, spark.createDataFrame([("h2", 2)], "hash string, peer_id long"), now(), 7 * 1440)
+    assert rows(out.select("id", "adoption_status", "status")) == [(1, "testing", "untrusted"), (2, "completed", "trusted"), (3, "failed", "discovered"), (4, "testing", "untrusted")]
 
 
 def test_outbound_flow(spark):

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -44,6 +45,17 @@ def test_adoption(spark, tmp_path):
     assert {(r.peer_id, r.adoption_status) for r in spark.table("adoption").collect()} == {(1, "completed"), (2, "failed"), (3, "none")}
 
 
+def test_adoption_of_a_silent_peer(spark, tmp_path):
+    source, schema = str(tmp_path / "events"), "peer_id long, at timestamp_ntz, kind string"
+    days = [dt.datetime(2024, 1, d) for d in (1, 3, 4)]
+    for n, row in enumerate([(4, days[0], "start"), (5, days[1], "retrieved"), (5, days[2], "retrieved")]):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = workers.zoned(workers.table_stream(spark, source, files_per_batch=1), "at")
+    run(sink(workers.adoption_states(stream, 600), "silent", "update", tmp_path))
+    assert [r.adoption_status for r in spark.table("silent").where("peer_id = 4").collect()] == ["testing", "completed"]
+
+
 def test_in_flight_and_batches(spark, tmp_path):
     write(spark, str(tmp_path / "o"), [("a", t(0)), ("b", t(1))], "hash string, offered_at timestamp_ntz", 0)
     write(spark, str(tmp_path / "a"), [("a", t(2))], "hash string, arrived_at timestamp_ntz", 0)
