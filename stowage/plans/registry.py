@@ -250,13 +250,13 @@ def blobs_of_orders(spark: SparkSession, folder: str) -> DataFrame:
 GC_TIME, GC_MINUTES = "1998-01-01", (720 * 1440, 1440 * 1440)
 
 
-@query(f"""SELECT l_suppkey AS shard_id, s_suppkey * 1000 AS shard_size, sum(l_quantity::BIGINT)::BIGINT AS total, coalesce(sum(l_quantity::BIGINT) FILTER (state = 'wasted'), 0)::BIGINT AS wasted,
+@query(f"""SELECT l_partkey AS shard_id, p_partkey * 1000 AS shard_size, sum(l_quantity::BIGINT)::BIGINT AS total, coalesce(sum(l_quantity::BIGINT) FILTER (state = 'wasted'), 0)::BIGINT AS wasted,
   round(coalesce(sum(l_quantity::BIGINT) FILTER (state = 'wasted'), 0)::DOUBLE / sum(l_quantity::BIGINT), 6) AS ratio
-FROM lineitem JOIN (SELECT o_orderkey, {GC_STATE} AS state FROM orders) ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal >= 0
+FROM lineitem JOIN (SELECT o_orderkey, {GC_STATE} AS state FROM orders) ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey AND p_size >= 10
 GROUP BY 1, 2 HAVING coalesce(sum(l_quantity::BIGINT) FILTER (state = 'wasted'), 0)::DOUBLE / sum(l_quantity::BIGINT) >= 0.2""")
 def gc_waste(spark, folder):
-    locations = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("blob_hash"), F.col("l_suppkey").alias("shard_id"), F.col("l_quantity").cast("long").alias("length"))
-    shards = read(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") >= 0, "sealed").otherwise("open").alias("status"), (F.col("s_suppkey") * 1000).alias("size"))
+    locations = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("blob_hash"), F.col("l_partkey").alias("shard_id"), F.col("l_quantity").cast("long").alias("length"))
+    shards = read(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") >= 10, "sealed").otherwise("open").alias("status"), (F.col("p_partkey") * 1000).alias("size"))
     found = health.waste(locations, blobs_of_orders(spark, folder), shards, F.lit(GC_TIME).cast("timestamp_ntz"), *GC_MINUTES, 0.2)
     return found.withColumn("ratio", F.round("ratio", 6))
 

@@ -3,7 +3,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from stowage.streaming import workers
+from stowage import schemas
+from stowage.streaming import cycles, workers
 
 
 def write(spark, path, rows, schema, batch):
@@ -64,3 +65,51 @@ def test_in_flight_and_batches(spark, tmp_path):
     out = str(tmp_path / "out")
     run(workers.run_worker(workers.in_flight(offers, arrivals, "10 minutes"), workers.batch_writer(out), str(tmp_path / "cp")))
     assert [(r["hash"], r.arrived_at.minute) for r in spark.read.parquet(out).where(F.col("arrived_at").isNotNull()).collect()] == [("a", 2)]
+
+
+def catalog_tables(spark):
+    some = {
+        "shards": [("id", [1, 2]), ("status", ["sealed"] * 2), ("mirrored", [True, False]), ("size", [100] * 2)],
+        "peers": [("id", [1, 2]), ("status", ["trusted"] * 2), ("last_seen", [t(0), dt.datetime(2024, 2, 1)]), ("first_seen", [t(0)] * 2), ("adoption_status", ["none", "completed"]), ("source", ["manual", "peer"])],
+        "outbound_pieces": [("shard_id", [1, 2, 2]), ("piece_index", [0, 0, 1]), ("peer_id", [1, 2, 2]), ("status", ["uploaded"] * 3)],
+        "blobs": [("hash", ["a", "b"]), ("size", [5, 5]), ("ref_count", [0, 1]), ("special", [False] * 2), ("deleted_at", [t(0), None])],
+        "blob_locations": [("blob_hash", ["a", "b"]), ("shard_id", [1, 2]), ("length", [5, 5])],
+        "piece_challenges": [("id", [7]), ("shard_id", [2]), ("piece_index", [1]), ("peer_id", [2])],
+        "file_blobs": [("hash_encrypted", ["a"])],
+    }
+
+    def table(name):
+        columns = some.get(name, [("created_at", [])])
+        rows = list(zip(*(values for _, values in columns)))
+        kinds = {f.name: f.dataType for f in schemas.schema(name).fields}
+        names = [c for c, _ in columns if c in kinds] or [next(iter(kinds))]
+        schema = ", ".join(f"`{c}` {kinds[c].simpleString()}" for c in names)
+        return schemas.conform(spark.createDataFrame(rows, schema), name)
+
+    return table
+
+
+def test_every_cycle(spark, tmp_path):
+    out, at = str(tmp_path / "out"), F.lit("2024-02-01 00:10:00").cast("timestamp_ntz")
+    for name in cycles.CYCLES:
+        cycles.run_cycle(spark, name, catalog_tables(spark), at, out, 1, cycles.Settings(data_pieces=2, parity_pieces=1))
+    read = lambda table: spark.read.parquet(f"{out}/{table}")
+    assert sorted((r.shard_id, r.status) for r in read("outbound_pieces").collect()) == [(1, "lost"), (2, "uploaded"), (2, "uploaded")]
+    assert sorted(r.id for r in read("repairs").collect()) == [1, 2] and [r.shard_id for r in read("collections").collect()] == [1]
+    assert [(r.id, r.peer_id) for r in read("next_challenge").collect()] == [(7, 2)] and read("refills").count() == 3
+    assert {(r.shard_id, r.peer_id) for r in read("mirrors").collect()} == {(1, 2)} and read("completed").count() == 0
+    assert {(r.id, r.kind) for r in read("listing").collect()} == {(1, "active"), (2, "pending")} and [r.id for r in read("contacts").collect()] == [1]
+    assert {(r["hash"], r.ref_count) for r in read("blobs").collect()} == {("a", 0), ("b", 0)}
+
+
+def test_a_cycle_on_a_timer(spark, tmp_path):
+    query = cycles.start_cycle(spark, "eviction", catalog_tables(spark), str(tmp_path / "out"), str(tmp_path / "cp"), "1 second")
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if (tmp_path / "out/peers").exists():
+                break
+        assert query.exception() is None
+    finally:
+        query.stop()
+    assert spark.read.parquet(str(tmp_path / "out/peers")).select("id").distinct().count() == 2
