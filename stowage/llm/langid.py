@@ -104,56 +104,69 @@ class WordLikelihoods(dict):
             self.new = []
 
 
-def mixtures(likelihoods: np.ndarray, counts: np.ndarray, edges: np.ndarray, steps: int = 6, polish: int = 12) -> np.ndarray:
+#: Steps of EM between two looks at whether a document has settled, and how many such rounds there are at most.
+STEPS, ROUNDS = 5, 40
+#: A document has settled when no proportion moves by more in a step.
+SETTLED = 1e-4
+
+
+def mixtures(likelihoods: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Proportions (documents x languages) of documents with a word each at least.
 
     ``likelihoods`` is languages x words, in logarithms; document i has the words
-    edges[i] to edges[i + 1], each ``counts`` times.
+    edges[i] to edges[i + 1], each ``counts`` times. After one round over all languages a document goes on with those
+    that have half a word or more, so further work doesn't grow with the number of languages. Then EM runs until it settles,
+    and the least language is removed, again until it settles, for as long as that loses less likelihood than the penalty.
     """
     n_langs, n_docs = len(likelihoods), len(edges) - 1
-    begins = edges[:-1]
-    owner = np.repeat(np.arange(n_docs), np.diff(edges))
-    shift = likelihoods.max(0)
-    chance = np.exp(likelihoods - shift)
-    n_words = np.add.reduceat(counts, begins)
+    chance = np.exp(likelihoods - likelihoods.max(0))
+    n_words = np.add.reduceat(counts, edges[:-1])
     penalty = 0.5 * np.log(n_words) + 2.0
 
-    def climb(docs: np.ndarray, weights: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
-        """EM from ``weights`` for some documents; proportions and log-likelihood."""
-        mine = np.repeat(np.arange(len(docs)), np.diff(edges)[docs])
-        sizes = np.diff(edges)[docs]
-        first = np.cumsum(sizes) - sizes
-        at = np.arange(len(mine)) + np.repeat(begins[docs] - first, sizes)
-        p, c = (chance, counts) if len(docs) == n_docs else (chance[:, at], counts[at])
-        for step in range(times + 1):
-            each = [weights[mine, k] * p[k] for k in range(n_langs)]
-            mass = np.maximum(sum(each), np.float32(1e-30))
-            if step == times:
-                return weights, np.add.reduceat(c * np.log(mass), first)
-            share = c / mass
-            weights = np.stack([np.add.reduceat(e * share, first) for e in each], axis=1)
-            weights /= weights.sum(1, keepdims=True)
-
-    everyone = np.arange(n_docs)
-    weights, fit = climb(everyone, np.full((n_docs, n_langs), 1 / n_langs, np.float32), steps)
-    # all languages with under a word's share at once, then the least one again and again
-    trial = np.where(weights * n_words[:, None] < 1, 0, weights).astype(np.float32)
-    trial[np.arange(n_docs), weights.argmax(1)] = weights.max(1)
-    docs, once = everyone, True
+    def climb(docs: np.ndarray, langs: np.ndarray, weights: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """EM from ``weights`` (documents x their ``langs``); proportions and log-likelihood."""
+        weights, fit, active = weights.copy(), np.zeros(len(docs), np.float32), np.arange(len(docs))
+        for _ in range(rounds):
+            sizes = np.diff(edges)[docs[active]]
+            first = np.cumsum(sizes) - sizes
+            mine = np.repeat(np.arange(len(active)), sizes)
+            at = np.arange(len(mine)) + np.repeat(edges[docs[active]] - first, sizes)
+            c, p = counts[at], [chance[langs[active, k][mine], at] for k in range(langs.shape[1])]
+            now = weights[active]
+            for _ in range(STEPS):
+                each = [now[mine, k] * p[k] for k in range(len(p))]
+                share = c / np.maximum(sum(each), np.float32(1e-30))
+                before, now = now, np.stack([np.add.reduceat(e * share, first) for e in each], axis=1)
+                now /= now.sum(1, keepdims=True)
+            mass = np.maximum(sum(now[mine, k] * p[k] for k in range(len(p))), np.float32(1e-30))
+            weights[active], fit[active] = now, np.add.reduceat(c * np.log(mass), first)
+            active = active[np.abs(now - before).max(1) > SETTLED]
+            if not len(active):
+                break
+        return weights, fit
+
+    docs = np.arange(n_docs)
+    every = np.broadcast_to(np.arange(n_langs), (n_docs, n_langs))
+    weights, _ = climb(docs, every, np.full((n_docs, n_langs), 1 / n_langs, np.float32), 1)
+    langs = np.argsort(-weights, axis=1, kind="stable")
+    weights = np.take_along_axis(weights, langs, 1)
+    weights[:, 1:][weights[:, 1:] * n_words[:, None] < 0.5] = 0
+    most = int((weights > 0).sum(1).max())
+    langs, weights = langs[:, :most], weights[:, :most] / weights.sum(1, keepdims=True)
+    weights, fit = climb(docs, langs, weights, ROUNDS)
+    docs = docs[(weights > 0).sum(1) > 1]
     while len(docs):
-        if not once:
-            trial = weights[docs].copy()
-            least = np.where(trial > 0, trial, np.inf).argmin(1)
-            trial[np.arange(len(docs)), least] = 0
-        trial = trial / trial.sum(1, keepdims=True)
-        removed = (weights[docs] > 0).sum(1) - (trial > 0).sum(1)
-        better, new_fit = climb(docs, trial.astype(np.float32), 1 if once else polish)
-        accept = fit[docs] - new_fit <= penalty[docs] * removed
-        weights[docs[accept]], fit[docs[accept]] = better[accept], new_fit[accept]
-        docs = docs[accept] if not once else docs
+        trial = weights[docs]
+        trial[np.arange(len(docs)), np.where(trial > 0, trial, np.inf).argmin(1)] = 0
+        trial /= trial.sum(1, keepdims=True)
+        better, new_fit = climb(docs, langs[docs], trial, ROUNDS)
+        accept = fit[docs] - new_fit <= penalty[docs]
+        docs = docs[accept]
+        weights[docs], fit[docs] = better[accept], new_fit[accept]
         docs = docs[(weights[docs] > 0).sum(1) > 1]
-        once = False
-    return weights
+    out = np.zeros((n_docs, n_langs), np.float32)
+    np.put_along_axis(out, langs, weights, 1)
+    return out
 
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("langs", T.ArrayType(T.StringType()))])
@@ -193,13 +206,15 @@ def predict(text: Column, langs: list[str], model: np.ndarray, spark) -> Column:
     ``und`` and 0. Ties go to the language that comes first in order.
     """
     shared = spark.sparkContext.broadcast(model)
+    # likelihoods are languages x words
+    most = 2_000_000 * 8 // max(8, len(langs))
     name = ("likelihoods", uuid.uuid4().hex)
 
     @F.arrow_udf(RESULT)
     def identify(batch: pa.Array) -> pa.Array:
         table = resident(name, lambda: WordLikelihoods(shared.value))
         texts = batch.to_pylist()
-        rows = [row for begin, end in _slices(texts, 2_000_000) for row in batch_predict(texts[begin:end], langs, table)]
+        rows = [row for begin, end in _slices(texts, most) for row in batch_predict(texts[begin:end], langs, table)]
         pred, score, found = zip(*rows) if rows else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(found, pa.list_(pa.string()))], names=RESULT.names)
 

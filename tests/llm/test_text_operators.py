@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -220,6 +221,46 @@ def test_language_mixtures(spark):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_mixtures_equal_brute_force():
+    """The chosen set has the best penalised likelihood of all sets, at proportions of a long EM."""
+    rng = np.random.default_rng(5)
+    likelihoods, counts, edges = [], [], [0]
+    for _ in range(60):
+        n = int(rng.integers(3, 30))
+        truth = rng.dirichlet(np.full(3, 0.3))
+        likelihoods.append(rng.normal(-9, 2.5, (3, n)) + 4 * np.eye(3)[rng.choice(3, n, p=truth)].T)
+        counts.append(rng.integers(1, 4, n))
+        edges.append(edges[-1] + n)
+    got = langid.mixtures(np.concatenate(likelihoods, 1).astype(np.float32), np.concatenate(counts).astype(np.float32), np.array(edges))
+    same = 0
+    for table, many, found in zip(likelihoods, counts, got):
+        penalty, best = 0.5 * np.log(many.sum()) + 2, {}
+        for mask in range(1, 8):
+            on = [k for k in range(3) if mask >> k & 1]
+            p, w = np.exp(table[on] - table.max(0)), np.full(len(on), 1 / len(on))
+            for _ in range(3000):
+                r = w[:, None] * p
+                w = (r / r.sum(0) * many).sum(1) / many.sum()
+            best[mask] = ((many * np.log((w[:, None] * p).sum(0))).sum() - penalty * len(on), dict(zip(on, w)))
+        chosen = sum(1 << k for k in range(3) if found[k] > 0)
+        # a step down that pays is taken, so a set can't be better than one of its parts by less than the penalty
+        assert all(best[chosen][0] >= best[m][0] - 0.02 for m in best if m & chosen == m)
+        assert all(abs(found[k] - w) < 0.02 for k, w in best[chosen][1].items())
+        same += best[chosen][0] >= max(v for v, _ in best.values()) - 0.02
+    assert same >= 57
+
+
+def test_mixtures_of_many_languages_are_quick():
+    rng = np.random.default_rng(6)
+    n, words = 200, 100
+    likelihoods = rng.normal(-12, 1, (128, n * words)).astype(np.float32)
+    truth = rng.integers(0, 128, n)
+    likelihoods[np.repeat(truth, words), np.arange(n * words)] += 5
+    begin = time.perf_counter()
+    got = langid.mixtures(likelihoods, np.ones(n * words, np.float32), np.arange(0, n * words + 1, words))
+    assert (got.argmax(1) == truth).all() and time.perf_counter() - begin < 10
+
+
 def brute_repeats(rows, threshold):
     seen, cut = {}, {}
     for doc_id, text in sorted(rows):
