@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .workspace import keep
+
 VNODES = 64
 RING = 1 << 32
 #: Arcs are looked up by this many equal cells of the ring.
@@ -111,7 +113,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, vnodes: int = VNODES) -> Da
 
     Size is the UTF-8 bytes of the text (null: none) plus 16. The law is
     ``rows``: counts differ by one at most. A row's place on the ring is the
-    hash of its doc_id (null: of the empty string); ties are broken by the other columns, and rows equal in
+    hash of its doc_id (null: of its text); ties are broken by the other columns, and rows equal in
     all of them are interchangeable. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -120,15 +122,16 @@ def assign_shards(docs: DataFrame, shards: int = 40, vnodes: int = VNODES) -> Da
         "doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        ring_point(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("point"),
+        ring_point(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text-"), F.sha2(text, 256)))).alias("point"),
     )
-    arcs = ring_arcs(spark, shards, vnodes)
+    arcs, _ = keep(ring_arcs(spark, shards, vnodes), "arcs")
     # cells and arcs: shards x vnodes + 2**CELL_BITS rows whatever the input
     cells = arcs.select("arc", "lo", "hi", "home", F.explode(F.sequence(F.floor(F.col("lo") / CELL), F.floor((F.col("hi") - 1) / CELL))).alias("cell"))
     inside = (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi"))
     located = rows.withColumn("cell", F.floor(F.col("point") / CELL)).join(F.broadcast(cells), "cell").where(inside).drop("cell", "lo", "hi")
     counts = located.groupBy("arc").agg(F.count("*").alias("n"))
-    pieces = place(arcs.select("arc", "home").join(counts, "arc", "left").fillna(0, ["n"]), shards)
+    counted, _ = keep(arcs.select("arc", "home").join(counts, "arc", "left").fillna(0, ["n"]), "arc-counts")
+    pieces, _ = keep(place(counted, shards), "arc-pieces")
     rank = F.row_number().over(Window.partitionBy("arc").orderBy("point", "doc_id", "text_crc32", "size")) - 1
     ranked = located.withColumn("rank", rank)
     fits = (F.col("rank") >= F.col("begin")) & (F.col("rank") < F.col("stop"))

@@ -284,6 +284,16 @@ def test_sharding_equals_simulation(spark, n, shards):
     assert {r.doc_id: r.shard for r in got} == {k[1]: s for k, s in want.items()}
 
 
+def test_sharding_moves_few_rows(spark):
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    place = lambda shards: {r.doc_id: (r.shard, r.home_shard) for r in sharding.assign_shards(df, shards).collect()}
+    before, after = place(40), place(41)
+    moved = sum(before[i][0] != after[i][0] for i in before)
+    # the new shard takes 48 rows; overflow that finds other room moves as well
+    assert 48 <= moved < 160
+    assert sum(a == b for a, b in before.values()) > 0.85 * 2000
+
+
 def test_sharding_edge_rows(spark):
     df = spark.createDataFrame([(None, None), (1, "a"), (1, "a"), (1, "b"), (None, "é")], "doc_id long, text string")
     got = sharding.assign_shards(df, 2).collect()
