@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import resident
+from .words import resident, vocabulary_file
 
 NONE = np.int64(-1)
 #: Marks of block keys; no UTF-8 text holds them.
@@ -291,7 +291,7 @@ class Encoder:
 
 def encoder(path: str, pattern: str) -> Encoder:
     """The worker's encoder of a vocabulary."""
-    return resident(("bpe", path, pattern), lambda: Encoder(Vocabulary.load(path, pattern)))
+    return resident(("bpe", path, pattern), lambda: Encoder(Vocabulary.load(vocabulary_file(path), pattern)))
 
 
 def _slices(texts: list, most: int) -> Iterator[tuple[int, int]]:

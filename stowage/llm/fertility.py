@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _slices
-from .words import resident, split_words
+from .words import resident, split_words, vocabulary_file
 from .workspace import join_groups, keep
 
 SYMBOLS = b"#*$%&|<>"
@@ -83,7 +83,7 @@ class WordTable(dict):
 
 def word_table(model: str, ranks: str) -> WordTable:
     """The worker's word table of two vocabularies."""
-    return resident(("words", model, ranks), lambda: WordTable(model, ranks))
+    return resident(("words", model, ranks), lambda: WordTable(vocabulary_file(model), vocabulary_file(ranks)))
 
 
 def repeat_words(codes: np.ndarray) -> int:
@@ -188,6 +188,8 @@ BY_DOUBLINGS = ("chars_per_token", "chars_per_byte_level_token", "tokens_per_wor
 LEAST_SPREAD, SMALL = 0.02, 0.005
 #: Classes of size per doubling of the token count.
 SIZES = 4
+#: Bands that are broadcast at most.
+MOST_BANDS = 20_000
 #: Documents that the classes around one lend it; a class counts half as much as the one before it, up to AROUND away.
 PRIOR, AROUND = 25.0, 8
 
@@ -256,14 +258,15 @@ def fertility_bands(metrics: DataFrame) -> DataFrame:
 def judge(metrics: DataFrame, bands: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Adds ``kept``: the base rules hold and each metric is in its band.
 
-    ``bands`` is a written table with a row per language and size class of the corpus, which Spark
-    may broadcast or not by its size; if it doesn't, large classes are dealt out by ``doc_id``.
+    ``bands`` is a written table with a row per language and size class of the corpus. Up to MOST_BANDS
+    rows (some 2 MB) are broadcast, so that no text is moved; of more, large classes are dealt out by ``doc_id``.
     Documents without a band (every one of their class fails the base rules) are not kept.
     """
     inside = F.lit(True)
     for m in REACH:
         inside = inside & (F.col(m) >= F.col(f"{m}_low")) & (F.col(m) <= F.col(f"{m}_high"))
-    joined = join_groups(metrics, bands, ["band_group", "band_size"], [doc_id, "entropy"], "left")
+    key = ["band_group", "band_size"]
+    joined = metrics.join(F.broadcast(bands.drop("n")), key, "left") if bands.count() <= MOST_BANDS else join_groups(metrics, bands, key, [doc_id, "entropy"], "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 

@@ -346,8 +346,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     same = usable.join(several, "doc_id").select(F.col("rep").alias("a"), "b")
     rooted = classes.select("rep", "doc_id", "n").join(star_components(links.union(same)).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep"))
     rooted, _ = keep(rooted.select("rep", "doc_id", "n", "root"), "roots")
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
-    labels, _ = keep(rooted.join(least, "root").select("rep", "n", "component"), "components")
+    least, _ = keep(rooted.groupBy("root").agg(F.min("doc_id").alias("component"), F.count("*").alias("n")), "least")
+    labels, _ = keep(join_groups(rooted, least, ["root"], ["rep"], "inner").select("rep", "n", "component"), "components")
     everything = join_groups(usable.select("doc_id", "rep"), labels, ["rep"], ["doc_id"], "inner").groupBy("doc_id").agg(F.min("component").alias("component"))
     out = found.select("doc_id", "n_shingles").join(everything, "doc_id", "left")
     component = F.coalesce("component", "doc_id")

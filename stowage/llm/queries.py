@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from . import bpe, cotraining, fertility, langid, minhash, mixing, pq, sharding, substring, toolcalls
 from .workspace import bound_batches, keep
 
-#: Folder of the public vocabulary files; the installed package's own by default.
-TOKENIZERS = os.environ.get("STOWAGE_TOKENIZERS", os.path.dirname(public_tokenizers.__file__))
+#: Folder of the public vocabulary files; the package's own on each machine by default.
+TOKENIZERS = os.environ.get("STOWAGE_TOKENIZERS", "")
 
 
 def tokenizer_file(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    """A vocabulary's path, or its name, which Python workers look up where they run."""
+    return os.path.join(TOKENIZERS, name) if TOKENIZERS else name
 
 
 def fertility_vocabularies() -> tuple[str, str]:

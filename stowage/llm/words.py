@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 from collections.abc import Callable
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import xxhash
 
@@ -65,6 +67,11 @@ def shared_hashes() -> WordHashes:
     return resident(("hashes",), WordHashes)
 
 
+def vocabulary_file(name: str) -> str:
+    """Where a vocabulary lies: an absolute path as it is, a name in this machine's own copy of the public ones."""
+    return name if os.path.isabs(name) else public_tokenizers.path(name)
+
+
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     """Words of a text (null: none), with A-Z lower-cased if asked."""
     if not text:
