@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
+#: Spark's setting that removes the shuffle files of a query when it ends, not when the driver's garbage is collected.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,12 +41,30 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, BATCH_ROWS)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here leave no shuffle files on the executors' disks; the caller's setting comes back after."""
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_CONF)
+        else:
+            spark.conf.set(CLEANUP_CONF, before)
+
+
 def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` into the application's part of the shared folder, which goes with it; returns the table read back and its path."""
+    """Write ``df`` into the application's part of the shared folder, which goes with it; returns the table read back and its path.
+
+    Nothing needs the shuffles of the write once its table is there, so they go at once.
+    """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/stowage/{spark.sparkContext.applicationId}"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     _file_system(spark, folder).deleteOnExit(_path(spark, folder))
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -437,6 +437,21 @@ def test_signature_estimates_similarity():
     assert (w.of(starts, starts + 20) == w.of(starts + 50, starts + 70)).all()
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    from stowage.llm.workspace import CLEANUP_CONF, keep
+
+    before = spark.conf.get(CLEANUP_CONF, None)
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum("shuffle" in str(f) for f in store.getAllFiles().mkString(" ").split())
+    at_first = files()
+    table, _ = keep(spark.range(1000).repartition(4).groupBy("id").count(), "few")
+    deadline = time.time() + 10
+    while files() > at_first and time.time() < deadline:
+        time.sleep(0.1)
+    assert files() <= at_first
+    assert table.count() == 1000 and spark.conf.get(CLEANUP_CONF, None) == before
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 160)] + [(300, i) for i in range(301, 340)] + [(5, 5), (None, 3)]
