@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions.codecs import join_bytes
 from ..functions.paths import content_hash
 
 CHUNK = 4 << 20
+#: Names bytes by their hash: ``content_hash`` (SHA-256, built in) or ``blake3``.
+HashOf = Callable[[Column], Column]
 
 
 def chunk(rows: DataFrame, keys: list[str], data: str, size: int = CHUNK) -> DataFrame:
@@ -20,20 +24,20 @@ def chunk(rows: DataFrame, keys: list[str], data: str, size: int = CHUNK) -> Dat
     return parts.select(*keys, "sequence", piece.alias("data"), F.length(piece).cast("long").alias("length"))
 
 
-def manifest(chunks: DataFrame, keys: list[str]) -> DataFrame:
+def manifest(chunks: DataFrame, keys: list[str], hash_of: HashOf = content_hash) -> DataFrame:
     """Keys, sequence, hash and length: what a version refers to, without the bytes."""
-    return chunks.select(*keys, "sequence", content_hash(F.col("data").cast("binary")).alias("hash"), "length")
+    return chunks.select(*keys, "sequence", hash_of(F.col("data").cast("binary")).alias("hash"), "length")
 
 
-def valid(rows: DataFrame, data: Column, claimed: Column) -> tuple[DataFrame, DataFrame]:
+def valid(rows: DataFrame, data: Column, claimed: Column, hash_of: HashOf = content_hash) -> tuple[DataFrame, DataFrame]:
     """Rows whose data has the claimed hash, and those to quarantine (a null claim is wrong)."""
-    same = F.coalesce(content_hash(data) == claimed, F.lit(False))
+    same = F.coalesce(hash_of(data) == claimed, F.lit(False))
     return rows.where(same), rows.where(~same)
 
 
-def require_valid(rows: DataFrame, data: Column, claimed: Column) -> DataFrame:
+def require_valid(rows: DataFrame, data: Column, claimed: Column, hash_of: HashOf = content_hash) -> DataFrame:
     """All rows; one whose data hasn't the claimed hash fails the query."""
-    same = F.coalesce(content_hash(data) == claimed, F.lit(False))
+    same = F.coalesce(hash_of(data) == claimed, F.lit(False))
     return rows.where(F.when(same, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("content doesn't match its hash "), F.coalesce(claimed, F.lit("null")))).cast("boolean")))
 
 

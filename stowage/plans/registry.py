@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs, paths
+from ..functions.blake3 import blake3
 from ..operators import catalog, chunking, erasure, health, packing, placement, state
 from ..sources.blobs import hosted_items
 from ..sources.tables import read
@@ -97,6 +98,12 @@ def chunk_manifest(spark, folder):
     return chunking.manifest(chunking.chunk(read(spark, folder, "documents"), ["doc_id"], "text", CHUNK_CHARS), ["doc_id"])
 
 
+@query()
+def chunk_manifest_blake3(spark, folder):
+    """The manifest under the hash that names chunks and blobs in the modelled system; no SQL function has it."""
+    return chunking.manifest(chunking.chunk(read(spark, folder, "documents"), ["doc_id"], "text", CHUNK_CHARS), ["doc_id"], blake3)
+
+
 @query("SELECT sha256(text) AS hash, min(doc_id) AS first_doc_id, count(*) AS refs, max(strlen(text))::BIGINT AS size FROM documents GROUP BY 1")
 def dedup_blobs(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("size"))
