@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codecs, paths
+from ..functions import codecs, paths, sealing
 from ..functions.blake3 import blake3
 from ..operators import catalog, chunking, erasure, health, packing, placement, state
 from ..sources.blobs import hosted_items
@@ -104,6 +104,16 @@ def chunk_manifest_blake3(spark, folder):
     return chunking.manifest(chunking.chunk(read(spark, folder, "documents"), ["doc_id"], "text", CHUNK_CHARS), ["doc_id"], blake3)
 
 
+@query("SELECT doc_id, strlen(text)::BIGINT AS size, strlen(text)::BIGINT + 40 AS sealed_bytes, true AS same FROM documents WHERE text IS NOT NULL")
+def sealed_blobs(spark, folder):
+    """Texts sealed by convergent encryption and opened again: sizes, and whether the bytes came back."""
+    key = bytes(range(32))
+    docs = read(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("plain"))
+    sealed = docs.withColumn("sealed", sealing.encrypt(F.col("plain"), key))
+    opened = F.coalesce(sealing.decrypt(F.col("sealed"), key) == F.col("plain"), F.lit(False))
+    return sealed.select("doc_id", F.octet_length("plain").cast("long").alias("size"), F.octet_length("sealed").cast("long").alias("sealed_bytes"), opened.alias("same"))
+
+
 @query("SELECT sha256(text) AS hash, min(doc_id) AS first_doc_id, count(*) AS refs, max(strlen(text))::BIGINT AS size FROM documents GROUP BY 1")
 def dedup_blobs(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("size"))
