@@ -493,8 +493,9 @@ def transfer_rates(spark, folder):
 @query()
 def placement_greedy(spark, folder):
     """Every order line as a piece on a supplier; sequential, so checked against a simulation."""
-    lines = read(spark, folder, "lineitem")
-    queue = lines.groupBy(F.col("l_orderkey").alias("shard_id"), F.col("l_linenumber").alias("piece_index")).agg(F.max("l_quantity").cast("long").alias("size"))
+    lines = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("shard_id"), F.col("l_linenumber").alias("piece_index"), "l_quantity")
+    # dealt by shard, which placement needs as well, so lines are shuffled once
+    queue = lines.repartition("shard_id").groupBy("shard_id", "piece_index").agg(F.max("l_quantity").cast("long").alias("size"))
     queue = queue.select((F.col("shard_id") * 10 + F.col("piece_index")).alias("ord"), "shard_id", "piece_index", "size", F.lit(False).alias("mirrored"))
     peers = read(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("trusted").alias("status"), F.lit("none").alias("adoption_status"), F.col("s_acctbal").alias("last_seen"), F.lit(20_000).alias("max_storage_size"), F.lit(0).alias("outbound_storage_size"))
     return placement.place(queue, peers, spark.createDataFrame([], "shard_id long, peer_id long, status string"))

@@ -1,9 +1,11 @@
 """Scenarios of the backup system on small tables."""
 
 import datetime as dt
+import math
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -291,6 +293,76 @@ def test_outbound_flow(spark):
     assert placement.place(queue, peers, none, parts=2).count() <= 3
 
 
+def placed_one_by_one(queue, peers, held):
+    """The definition: each piece of the whole queue, in order, looks at all peers in order."""
+    peers = sorted(peers, key=lambda p: (math.inf if p[3] is None or math.isnan(p[3]) else -p[3], p[0]))
+    used, holds, out = {p[0]: p[5] for p in peers}, {(shard, peer) for shard, peer, status in held if status in ("pending", "uploaded")}, []
+    for _, shard, piece, size, mirrored in sorted(queue, key=lambda q: (q[0] is None, q[0] or 0, -1 if q[1] is None else q[1], q[2])):
+        for id_, status, adoption, _, most, _ in peers:
+            fits = size is not None and most is not None and used[id_] + size <= most
+            fine = status != "blocked" and (mirrored or (status == "untrusted" and adoption == "none" and fits) or (status == "trusted" and (most == 0 or fits)))
+            if fine and (shard, id_) not in holds:
+                if shard is not None:
+                    holds.add((shard, id_))
+                used[id_] += size or 0
+                out.append((shard, piece, id_, size))
+                break
+    return sorted(out, key=str)
+
+
+PEERS = "id long, status string, adoption_status string, last_seen double, max_storage_size long, outbound_storage_size long"
+QUEUE = "ord long, shard_id long, piece_index int, size long, mirrored boolean"
+
+
+@pytest.fixture
+def few_rows_a_batch(spark):
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, 7)
+    yield
+    spark.conf.set(conf, before)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_placement_over_many_runs(spark, few_rows_a_batch, seed):
+    rng = random.Random(seed)
+    free = 0 if seed == 2 else None  # a peer without quota takes all that is left
+    peers = [(i, rng.choice(["trusted", "trusted", "untrusted", "blocked", None]), rng.choice(["none", "none", "testing"]), rng.choice([None, math.nan, 1.0, 2.0, -3.0]), rng.choice([None, 50, 90, 400]), rng.choice([0, 0, 30, 95])) for i in range(600)]
+    peers.append((600, "trusted", "none", -9.0, free, 0))
+    shards = [s for s in [*range(90), None] for _ in range(rng.randrange(1, 14))]
+    if seed:  # shards one within the other
+        rng.shuffle(shards)
+    queue = [(rng.choice([None, k // 2, k // 2, k // 2]), shard, k, rng.choice([None, 0, -4, 1, 2, 7, 30, 31, 32, 33, 64]), rng.random() < 0.1) for k, shard in enumerate(shards)]
+    held = [(rng.randrange(90), rng.randrange(60), rng.choice(["pending", "uploaded", "lost"])) for _ in range(300)]
+    out = placement.place(spark.createDataFrame(queue, QUEUE), spark.createDataFrame(peers, PEERS), spark.createDataFrame(held, "shard_id long, peer_id long, status string"))
+    assert sorted((tuple(r) for r in out.collect()), key=str) == placed_one_by_one(queue, peers, held)
+
+
+def test_placement_in_parts(spark, few_rows_a_batch):
+    peers = [(i, "trusted", "none", float(i), 40, 0) for i in range(30)]
+    queue = [(k, k // 4, k % 4, 5, False) for k in range(120)]
+    none = spark.createDataFrame([], "shard_id long, peer_id long, status string")
+    out = placement.place(spark.createDataFrame(queue, QUEUE), spark.createDataFrame(peers, PEERS), none, parts=3)
+    part = spark.createDataFrame(queue, QUEUE).select("shard_id", F.pmod(F.xxhash64("shard_id"), F.lit(3)).alias("part")).distinct()
+    want = []
+    for p in range(3):  # a third of 40, in whole bytes
+        mine = {r.shard_id for r in part.where(F.col("part") == p).collect()}
+        want += placed_one_by_one([q for q in queue if q[1] in mine], [(*x[:4], 13, 0) for x in peers], [])
+    assert rows(out) == sorted(want)
+
+
+def test_placement_holds_no_queue(spark):
+    """No task takes the queue, or a part of it, as one group; shards that are done are forgotten."""
+    peers, queue = spark.createDataFrame([(1, "trusted", "none", 1.0, 0, 0)], PEERS), spark.createDataFrame([(1, 1, 0, 5, False)], QUEUE)
+    plan = placement.place(queue, peers, spark.createDataFrame([], "shard_id long, peer_id long, status string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "MapInArrow" in plan
+    choice = placement.Choice(1)
+    choice.offer(pa.RecordBatch.from_pylist([{"id": i, "most": 10**6, "used": 0, "active": True, "bounded": True, "free": False} for i in range(300)]))
+    for run in range(50):
+        out = choice.assign(pa.RecordBatch.from_pylist([{"shard_id": run * 25 + k // 4, "piece_index": k % 4, "size": 3, "mirrored": False, "first": k % 4 == 0, "last": k % 4 == 3, "held": []} for k in range(100)]))
+        assert out.num_rows == 100 and not choice.holders
+
+
 def test_two_owners_and_twice_offered(spark):
     log = spark.createDataFrame([("h", "A", 1, 1), ("h", "B", 1, 2), ("h", "A", 1, 3), ("h", "A", -1, 4), ("h", "B", -1, 5)], "hash string, peer_id string, delta long, seq long")
     owners = state.release_references(log, ["seq"])
