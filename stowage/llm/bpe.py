@@ -12,6 +12,10 @@ Merging a whole bucket at once equals merging one pair at a time, leftmost
 first, unless a merge can create a pair of lower rank. The ranks for which the
 vocabulary allows that are known in advance; for them only the leftmost entry
 of each pre-token is merged before the queue is asked again.
+
+What lies around the queue (words and their numbers, ids as text, decoded bytes)
+stays in Arrow buffers: the bytes of values that are taken in order are the
+bytes of their concatenation, so rows are cut out of them, not joined.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +39,8 @@ from .words import resident, vocabulary_file
 NONE = np.int64(-1)
 #: Marks of block keys; no UTF-8 text holds them.
 FIRST, ODD = "\ud800", "\ud801"
+#: Blocks of up to as many characters are remembered for long.
+SHORT = 64
 #: A single space between two characters that no definition calls white space.
 SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -68,8 +75,10 @@ class RankQueue:
     def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
         if not len(ranks):
             return
-        order = np.argsort(ranks, kind="stable")
-        ranks, positions = ranks[order], positions[order]
+        bits = int(positions.max()).bit_length()
+        both = ranks << bits | positions
+        both.sort()
+        ranks, positions = both >> bits, both & (1 << bits) - 1
         cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
         begins = [0, *cuts.tolist()]
         ends = [*cuts.tolist(), len(ranks)]
@@ -113,16 +122,19 @@ class Vocabulary:
                 if left is not None:
                     right = ranks.get(token[cut:])
                     if right is not None:
-                        keys.append(left * size + right)
+                        keys.append(left * (size + 1) + right)
                         values.append(rank)
         order = np.argsort(np.array(keys, np.int64), kind="stable")
-        self.pair_keys = np.array(keys, np.int64)[order]
-        self.pair_ranks = np.array(values, np.int64)[order]
-        left, right = np.divmod(self.pair_keys, size)
+        #: keys of pairs in order, and one above all that any pair can have
+        self.pair_keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(np.array(values, np.int64)[order], NONE)
+        left, right = np.divmod(self.pair_keys[:-1], size + 1)
         #: ranks whose token can be part of a pair of lower rank
         self.lowering = np.zeros(size, bool)
-        self.lowering[left[self.pair_ranks < left]] = True
-        self.lowering[right[self.pair_ranks < right]] = True
+        self.lowering[left[self.pair_ranks[:-1] < left]] = True
+        self.lowering[right[self.pair_ranks[:-1] < right]] = True
+        #: ranks of the pairs of single bytes
+        self.byte_pairs = self.pair_rank(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
 
     @classmethod
     def load(cls, path: str, pattern: str) -> "Vocabulary":
@@ -132,11 +144,9 @@ class Vocabulary:
         return cls(ranks, pattern)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        if not len(self.pair_keys):
-            return np.full(len(left), NONE)
-        keys = left * self.size + right
-        at = np.searchsorted(self.pair_keys, keys)
-        at[at == len(self.pair_keys)] = 0
+        """Ranks of the merged pairs; the id ``size`` marks an end and forms none."""
+        keys = left * (self.size + 1) + right
+        at = self.pair_keys.searchsorted(keys)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
@@ -149,24 +159,26 @@ class Vocabulary:
             begin += count
         return out
 
-    def encode_run(self, data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode_run(self, data: bytes | pa.Buffer, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive pre-tokens of ``lengths`` bytes, and how many ids each has."""
         ends = np.cumsum(lengths)
-        total = len(data)
+        total = int(ends[-1]) if len(ends) else 0
         if not total:
             return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
-        ids = self.byte_ids[np.frombuffer(data, np.uint8)]
+        raw = np.frombuffer(data, np.uint8, total)
+        # the place after the last byte is the neighbour of both ends of every pre-token
+        ids = np.append(self.byte_ids[raw], self.size)
         piece = np.repeat(np.arange(len(lengths)), lengths)
-        after = np.arange(1, total + 1)
-        before = np.arange(-1, total - 1)
-        after[ends[lengths > 0] - 1] = NONE
-        before[(ends - lengths)[lengths > 0]] = NONE
-        alive = np.ones(total, bool)
-        current = np.full(total, NONE)
-        inner = np.flatnonzero(after != NONE)
-        current[inner] = self.pair_rank(ids[inner], ids[inner + 1])
+        after = np.arange(1, total + 2)
+        before = np.arange(-1, total)
+        last = ends[lengths > 0] - 1
+        after[last] = after[total] = total
+        before[(ends - lengths)[lengths > 0]] = total
+        current = np.full(total + 1, NONE)
+        current[: total - 1] = self.byte_pairs[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        current[last] = NONE
         queue = RankQueue(self.size)
-        inner = inner[current[inner] != NONE]
+        inner = np.flatnonzero(current != NONE)
         queue.push_all(current[inner], inner)
         while (popped := queue.pop()) is not None:
             rank, at = popped
@@ -174,37 +186,38 @@ class Vocabulary:
             if not len(at):
                 continue
             if len(at) > 1:
-                at = np.unique(at)
-                chained = np.zeros(len(at), bool)
-                chained[1:] = after[at[:-1]] == at[1:]
-                if chained.any():  # a run of overlapping pairs: every other one, from the left
-                    index = np.arange(len(at))
-                    start = np.maximum.accumulate(np.where(chained, 0, index))
-                    at = at[(index - start) % 2 == 0]
-                if self.lowering[rank] and len(at) > 1:
-                    _, first = np.unique(piece[at], return_index=True)
-                    if len(first) < len(at):
-                        rest = np.ones(len(at), bool)
-                        rest[first] = False
-                        queue.push(rank, at[rest])
+                at.sort()
+                if self.lowering[rank]:
+                    owner = piece[at]
+                    first = np.ones(len(at), bool)
+                    np.not_equal(owner[1:], owner[:-1], out=first[1:])
+                    if not first.all():
+                        # overlapping pairs too: what the first merges consume goes stale
+                        queue.push(rank, at[~first])
                         at = at[first]
+                else:
+                    chained = np.zeros(len(at), bool)
+                    np.equal(after[at[:-1]], at[1:], out=chained[1:])
+                    if chained.any():  # a run of overlapping pairs: every other one, from the left
+                        index = np.arange(len(at))
+                        start = np.maximum.accumulate(np.where(chained, 0, index))
+                        at = at[(index - start) % 2 == 0]
             gone = after[at]
             beyond = after[gone]
             ids[at] = rank
-            alive[gone] = False
-            current[gone] = NONE
+            ids[gone] = current[gone] = NONE
             after[at] = beyond
-            inside = beyond != NONE
-            before[beyond[inside]] = at[inside]
-            current[at] = NONE
+            before[beyond] = at
             lead = before[at]
-            lead = lead[lead != NONE]
-            touched = np.concatenate((at[inside], lead))
-            if len(touched):
-                touched = np.unique(touched)
-                current[touched] = found = self.pair_rank(ids[touched], ids[after[touched]])
-                some = found != NONE
-                queue.push_all(found[some], touched[some])
+            if len(at) > 1:  # neighbours that are merged in this step are among ``at``
+                other = np.ones(len(at), bool)
+                np.not_equal(beyond[:-1], at[1:], out=other[1:])
+                lead = lead[other]
+            touched = np.concatenate((at, lead))
+            current[touched] = found = self.pair_rank(ids[touched], ids[after[touched]])
+            some = np.flatnonzero(found != NONE)
+            queue.push_all(found[some], touched[some])
+        alive = np.flatnonzero(ids[:total] != NONE)
         return ids[alive], np.bincount(piece[alive], minlength=len(lengths))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -212,6 +225,24 @@ class Vocabulary:
         return b"".join([self.tokens[i] for i in ids])
 
 
+def _spans(array: pa.Array) -> np.ndarray:
+    """Where the values of a large string or binary array begin and end in its buffer."""
+    if not len(array):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(array.buffers()[1], np.int64, len(array) + 1 + array.offset)[array.offset :]
+
+
+def _grouped(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+    """The concatenations of ``values`` between ``offsets``, in their own buffer."""
+    data = values.buffers()[2] or pa.py_buffer(b"")
+    return pa.Array.from_buffers(values.type, len(offsets) - 1, [None, pa.py_buffer(_spans(values)[offsets]), data])
+
+
+def _starts(counts: np.ndarray) -> np.ndarray:
+    """The sums of the counts before each place, and that of all."""
+    return np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+
+
 class Encoder:
     """Encodes whole texts; remembers the ids of blocks, a bounded number of them.
 
@@ -220,22 +251,50 @@ class Encoder:
     can be split into pre-tokens independently. Two kinds have marked keys: a
     text's first block, and blocks with white space at their end or spaces inside.
     This holds for the PATTERN of the public tokenizers; with any other a whole text is one block.
+
+    Blocks are numbered as they are learned; their ids and bytes are rows of Arrow
+    tables. When there are more than ``limit``, or SHORT characters for each of these, half as
+    many stay: the most frequent ones of up to SHORT characters.
     """
 
     def __init__(self, vocabulary: Vocabulary, limit: int = 1 << 17):
         self.vocabulary = vocabulary
         self.limit = limit
         self.by_blocks = vocabulary.pattern.pattern == public_tokenizers.PATTERN
-        self.names = list(map(str, range(vocabulary.size)))
-        #: decimal ids and decoded bytes; None for what isn't a block
-        self.known: dict[str, tuple[str, bytes] | None] = {}
+        self.names = pa.array([b"%d " % rank for rank in range(vocabulary.size)], pa.large_binary())
+        self.tokens = pa.array(vocabulary.tokens, pa.large_binary())
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        #: per block: number of ids (less than 0 for what isn't a block), of uses, and of the key's characters
+        self.counts = self.uses = self.sizes = np.zeros(0, np.int64)
+        #: per block: its ids, the same in decimal with a space after each, the bytes they decode to
+        self.ids = pa.array([], pa.large_list(pa.int32()))
+        self.decimal = self.raw = pa.array([], pa.large_binary())
+
+    def trim(self) -> None:
+        """Once blocks are too many or take too much, keep the short ones of most uses; uses count half from then on."""
+        if not self.by_blocks:
+            self.forget()
+            return
+        if len(self.known) <= self.limit and self.sizes.sum() <= self.limit * SHORT:
+            return
+        short = np.flatnonzero(self.sizes <= SHORT)
+        kept = np.sort(short[np.argsort(self.uses[short], kind="stable")[::-1][: self.limit // 2]])
+        keys = list(self.known)
+        self.known = {keys[number]: at for at, number in enumerate(kept.tolist())}
+        self.counts, self.uses, self.sizes = self.counts[kept], self.uses[kept] // 2, self.sizes[kept]
+        self.ids, self.decimal, self.raw = self.ids.take(kept), self.decimal.take(kept), self.raw.take(kept)
 
     def learn(self, keys: set[str]) -> None:
-        """Encode the blocks of unknown keys, all their pre-tokens in one run of the queue."""
-        plain, odd = [], []
+        """Encode the blocks of unknown keys, all their distinct pre-tokens in one run of the queue."""
+        if not keys:
+            return
+        plain, odd, none = [], [], []
         for key in keys:
             if not key or key[0].isspace() or key[-1].isspace() and key[0] != ODD and key[0] != FIRST:
-                self.known[key] = None
+                none.append(key)
             elif key[0] == FIRST or key[0] == ODD:
                 odd.append(key)
             else:
@@ -245,48 +304,83 @@ class Encoder:
         for key in odd:
             begins.append(len(pieces))
             pieces += self.vocabulary.pattern.findall(key[1:] if key[0] == FIRST else " " + key[1:])
-        data = "".join(pieces).encode()
-        letters = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        if len(data) > int(letters.sum()):
-            at = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data))
-            letters = np.diff(at[np.concatenate(([0], np.cumsum(letters)))])
-        ids, counts = self.vocabulary.encode_run(data, letters)
-        ends = np.concatenate(([0], np.cumsum(counts)))[[*begins[1:], len(pieces)]].tolist() if begins else []
-        ids = ids.tolist()
-        names = list(map(self.names.__getitem__, ids))
-        raw = list(map(self.vocabulary.tokens.__getitem__, ids))
-        begin = 0
-        for key, end in zip(plain + odd, ends):
-            self.known[key] = (" ".join(names[begin:end]), b"".join(raw[begin:end]))
-            begin = end
+        distinct = pa.array(pieces, pa.large_string()).dictionary_encode()
+        which = distinct.indices.to_numpy()
+        ids, counts = self.vocabulary.encode_run(distinct.dictionary.buffers()[2], np.diff(_spans(distinct.dictionary)))
+        # the ids of each piece in the place of each of its occurrences
+        starts, sizes = _starts(counts)[which], counts[which]
+        ends = _starts(sizes)
+        ids = ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        offsets = ends[np.array([*begins, *[len(pieces)] * (len(none) + 1)], np.int64)]
+        ordered = plain + odd + none
+        for key in ordered:
+            self.known[key] = len(self.known)
+        counts = np.diff(offsets)
+        counts[len(counts) - len(none) :] = -1
+        self.counts = np.concatenate((self.counts, counts))
+        self.uses = np.concatenate((self.uses, np.zeros(len(counts), np.int64)))
+        self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, ordered), np.int64, len(ordered))))
+        self.ids = pa.concat_arrays([self.ids, pa.LargeListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))])
+        self.decimal = pa.concat_arrays([self.decimal, _grouped(self.names.take(ids), offsets)])
+        self.raw = pa.concat_arrays([self.raw, _grouped(self.tokens.take(ids), offsets)])
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        """The blocks' numbers; unknown ones are learned."""
+        self.learn(set(keys).difference(self.known))
+        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+
+    def blocks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the blocks of all texts, and where each text's begin; blocks without ids are left out."""
+        self.trim()
+        if not self.by_blocks:
+            return self.numbers([FIRST + text for text in texts.to_pylist()]), np.arange(len(texts) + 1)
+        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.flatten()
+        later = np.ones(len(words), bool)
+        later[offsets[:-1]] = False
+        rest = words.filter(pa.array(later)).dictionary_encode()
+        keys = rest.dictionary.to_pylist()
+        firsts = [FIRST + word for word in words.take(pa.array(offsets[:-1])).to_pylist()]
+        numbers = self.numbers(keys + firsts)
+        at = np.empty(len(words), np.int64)
+        at[later] = numbers[rest.indices.to_numpy()]
+        at[offsets[:-1]] = numbers[len(keys) :]
+        none = np.flatnonzero(self.counts[at] < 0)
+        if len(none):
+            runs = np.split(at, offsets[1:-1])
+            unlike = np.unique(np.searchsorted(offsets, none, "right") - 1).tolist()
+            split = []
+            for row in unlike:
+                parts = SPLIT.split(texts[row].as_py())
+                split.append([FIRST + parts[0], *[ODD + part if " " in part or part[-1].isspace() else part for part in parts[1:]]])
+            self.learn(set().union(*split).difference(self.known))
+            for row, parts in zip(unlike, split):
+                runs[row] = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+            at, offsets = np.concatenate(runs), _starts([len(run) for run in runs])
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        filled = self.counts[at] > 0
+        return at[filled], _starts(filled)[offsets]
+
+    def encode_ids(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All ids of the texts in order, and where each text's begin."""
+        at, offsets = self.blocks(texts)
+        return self.ids.take(at).flatten(), _starts(self.counts[at])[offsets]
+
+    def encode_rows(self, texts: pa.Array) -> Iterator[tuple[int, memoryview, memoryview]]:
+        """For each text the number of its ids, these in decimal with spaces between them, and the bytes they decode to."""
+        at, offsets = self.blocks(texts)
+        counts = np.diff(_starts(self.counts[at])[offsets]).tolist()
+        decimal, raw = self.decimal.take(at), self.raw.take(at)
+        names, pieces = (memoryview(values.buffers()[2] or b"") for values in (decimal, raw))
+        name_at, piece_at = _spans(decimal)[offsets].tolist(), _spans(raw)[offsets].tolist()
+        for row, count in enumerate(counts):
+            end = name_at[row + 1] - 1 if count else name_at[row]  # without the last id's space
+            yield count, names[name_at[row] : end], pieces[piece_at[row] : piece_at[row + 1]]
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """For each text its ids, in decimal with spaces between them, and the bytes they decode to."""
-        if len(self.known) > self.limit or not self.by_blocks:
-            self.known.clear()
-        known = self.known
-        if not self.by_blocks:
-            self.learn({FIRST + text for text in texts})
-            return [known[FIRST + text] for text in texts]
-        split = [text.split(" ") for text in texts]
-        for parts in split:
-            parts[0] = FIRST + parts[0]
-        self.learn(set().union(*split).difference(known))
-        found = [list(map(known.__getitem__, parts)) for parts in split]
-        unlike = [at for at, blocks in enumerate(found) if None in blocks]
-        if unlike:
-            for at in unlike:
-                split[at] = parts = SPLIT.split(texts[at])
-                parts[1:] = [ODD + part if " " in part or part[-1].isspace() else part for part in parts[1:]]
-                parts[0] = FIRST + parts[0]
-            self.learn(set().union(*(split[at] for at in unlike)).difference(known))
-            for at in unlike:
-                found[at] = list(map(known.__getitem__, split[at]))
-        out = []
-        for blocks in found:
-            ids, raw = zip(*blocks)
-            out.append((" ".join(ids if ids[0] else ids[1:]), b"".join(raw)))
-        return out
+        return [(str(ids, "ascii"), bytes(raw)) for _, ids, raw in self.encode_rows(pa.array(texts, pa.large_string()))]
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -306,6 +400,18 @@ def _slices(texts: list, most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def _parts(texts: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
+    """The texts in runs of about ``most`` bytes each, so that memory doesn't follow the batch."""
+    begin = size = 0
+    for at, length in enumerate(pc.binary_length(texts).to_pylist(), 1):
+        size += length
+        if size >= most:
+            yield texts[begin:at]
+            begin, size = at, 0
+    if begin < len(texts):
+        yield texts[begin:]
+
+
 RESULT = T.StructType(
     [
         T.StructField("n_tokens", T.LongType()),
@@ -322,11 +428,10 @@ def encode_digests(text: Column, path: str, pattern: str) -> Column:
     def digest(batch: pa.Array) -> pa.Array:
         bpe = encoder(path, pattern)
         counts, id_hashes, decoded_hashes = [], [], []
-        texts = batch.to_pylist()
-        for begin, end in _slices(texts, 2_000_000):
-            for ids, raw in bpe.encode_batch(texts[begin:end]):
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                id_hashes.append(hashlib.sha256(ids.encode()).hexdigest())
+        for texts in _parts(batch):
+            for count, ids, raw in bpe.encode_rows(texts):
+                counts.append(count)
+                id_hashes.append(hashlib.sha256(ids).hexdigest())
                 decoded_hashes.append(hashlib.sha256(raw).hexdigest())
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(decoded_hashes, pa.string())], names=RESULT.names)
 
@@ -339,12 +444,12 @@ def encode_ids(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def encode(batch: pa.Array) -> pa.Array:
         bpe = encoder(path, pattern)
-        texts = batch.to_pylist()
-        out = []
-        for begin, end in _slices(texts, 2_000_000):
-            for ids, _ in bpe.encode_batch([text or "" for text in texts[begin:end]]):
-                out.append(np.array(ids.split(), np.int32))
-        return pa.array(out, pa.list_(pa.int32()))
+        out = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for texts in _parts(batch.fill_null("")):
+            ids, offsets = bpe.encode_ids(texts)
+            out[0].append(ids.to_numpy())
+            out[1].append(out[1][-1][-1] + offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(out[1]), pa.int32()), np.concatenate(out[0]))
 
     return encode(text)
 

@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,6 +85,62 @@ def test_rank_queue_equals_one_merge_at_a_time(pieces):
     assert vocabulary.encode_pieces(pieces) == [slow(p) for p in pieces]
 
 
+def test_overlapping_pairs_of_ranks_that_allow_lower_ones():
+    def slow(ranks, piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[p] for p in parts]
+
+    rng = random.Random(1)
+    cases = [[b"aaa", b"aa"]] + [list({bytes(rng.choices(b"ab", k=rng.randint(2, 5))) for _ in range(10)}) for _ in range(300)]
+    for tokens in cases:
+        ranks = {bytes([b]): b for b in range(256)}
+        for token in tokens:
+            ranks[token] = len(ranks)
+        pieces = [b"aaaaaa", b""] + [bytes(rng.choices(b"ab", k=rng.randint(0, 14))) for _ in range(6)]
+        assert bpe.Vocabulary(ranks, r".+").encode_pieces(pieces) == [slow(ranks, p) for p in pieces]
+
+
+def test_bpe_encodes_a_pre_token_once_and_keeps_frequent_blocks(monkeypatch):
+    """The queue runs over distinct pre-tokens, and over none of a frequent block again, however many rare ones pass."""
+    encoder, runs = bpe.Encoder(bpe.Vocabulary.load(RANKS, public_tokenizers.PATTERN), limit=50), []
+    encode_run = encoder.vocabulary.encode_run
+
+    def counted(data, lengths):
+        runs.append(int(lengths.sum()))
+        return encode_run(data, lengths)
+
+    monkeypatch.setattr(encoder.vocabulary, "encode_run", counted)
+    assert encoder.encode_batch(["qzx, qzx. qzx; (qzx qzx"])[0][1] == b"qzx, qzx. qzx; (qzx qzx"
+    assert runs == [len("qzx" ",." ";" " qzx" " (")]
+    frequent = " ".join(f"often{n}" for n in range(20))
+    runs.clear()
+    for batch in range(10):
+        rare = "".join(f" {batch}{n}" for n in range(100, 140))
+        text = f" {frequent} {frequent}{rare}"
+        assert encoder.encode_batch([text])[0][1] == text.encode()
+    # a rare block is a number of its own
+    assert sum(runs[1:]) == sum(len(f" {batch}{n}") for batch in range(1, 10) for n in range(100, 140))
+
+
+def test_bpe_forgets_and_cuts_as_it_likes(tiktoken_encoder):
+    texts = [t or "" for t in ODD] + ["", " x", "x ", "  ", "new\n", "new", "a a  a", "é" * 9 + " é"]
+    for limit in (0, 1, 3, 1000):
+        encoder = bpe.Encoder(bpe.Vocabulary.load(RANKS, public_tokenizers.PATTERN), limit=limit)
+        for batch in [[t] for t in texts] + [texts, [], texts[::-1]]:
+            for text, (ids, raw) in zip(batch, encoder.encode_batch(batch), strict=True):
+                assert [int(i) for i in ids.split()] == tiktoken_encoder.encode_ordinary(text) and raw == text.encode()
+    for text in [f"{n}" + "語" * 3000 for n in range(60)] + [f"a \n{n}" + "語" * 3000 for n in range(60)]:  # long blocks go soon
+        assert encoder.encode_batch([text])[0][1] == text.encode()
+        assert sum(map(len, encoder.known)) < 1000 * bpe.SHORT + 3 * len(text)
+    whole = pa.array(["x", *texts, "y"])[1:-1]  # with an offset
+    assert [t for part in bpe._parts(whole, 3) for t in part.to_pylist()] == texts
+    rows = [(n, bytes(ids).decode()) for part in bpe._parts(whole, 3) for n, ids, _ in encoder.encode_rows(part)]
+    assert rows == [(len(ids), " ".join(map(str, ids))) for ids in map(tiktoken_encoder.encode_ordinary, texts)]
+
+
 def test_bpe_query_rows(spark, tiktoken_encoder):
     df = docs_of(spark, ODD + ["same", "same"], [None] + list(range(1, len(ODD))) + [5, 5])
     got = bpe.encode_documents(df, RANKS, public_tokenizers.PATTERN).collect()
